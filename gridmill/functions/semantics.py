@@ -125,18 +125,17 @@ def sample_std(c: Column) -> Column:
 def skew(c: Column) -> Column:
     """Bias-adjusted skewness; null below three values, 0 without spread."""
     n = F.count(c).cast("double")
-    x = c.cast("double")
-    g1 = F.when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(F.skewness(x))
+    flat = F.min(c) == F.max(c)
+    g1 = F.when(flat, F.lit(0.0)).otherwise(F.skewness(c.cast("double")))
     return F.when(n > 2, g1 * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
 
 
 def kurt(c: Column) -> Column:
-    """Bias-adjusted excess kurtosis; null below four values."""
+    """Bias-adjusted excess kurtosis; null below four values, 0 without spread."""
     n = F.count(c).cast("double")
-    x = c.cast("double")
-    g2 = F.when(F.stddev_pop(x) == 0, F.lit(None).cast("double")).otherwise(F.kurtosis(x))
-    adjusted = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    return F.when(n > 3, F.when(F.stddev_pop(x) == 0, F.lit(0.0)).otherwise(adjusted))
+    flat = F.min(c) == F.max(c)
+    adjusted = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c.cast("double")) + 6)
+    return F.when(n > 3, F.when(flat, F.lit(0.0)).otherwise(adjusted))
 
 
 def pearson(x: Column, y: Column) -> Column:

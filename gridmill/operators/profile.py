@@ -342,26 +342,62 @@ def eda_stats(df: DataFrame, columns: Sequence[str] | None = None, max_columns:
     return _tall_stats(df, names, stats)
 
 
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row with a column ``r<i>`` per pair: Pearson over rows where both are
+    present, null when one side does not vary there.
+
+    Columns are shifted by their mean first (one cheap pass), so plain sums are
+    accurate; a pair without missing values then needs one product sum only.
+    """
+    names = sorted({c for p in pairs for c in p})
+    head = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", F.count), ("m", F.avg))],
+    ).first()
+    place = {c: i for i, c in enumerate(names)}
+    whole = {c: head[f"n{i}"] == head["n"] for c, i in place.items()}
+    shifted = df.select(
+        *[(col(c).cast("double") - F.lit(head[f"m{i}"] or 0.0)).alias(f"x{i}") for c, i in place.items()]
+    )
+    aggs: dict[str, Column] = {}
+
+    def total(x: Column, name: str) -> Column:
+        aggs.setdefault(name, F.sum(x).alias(name))
+        return F.col(name)
+
+    results = []
+    for i, (cx, cy) in enumerate(pairs):
+        ix, iy = place[cx], place[cy]
+        x, y = F.col(f"x{ix}"), F.col(f"x{iy}")
+        if whole[cx] and whole[cy]:
+            n = F.lit(float(head["n"]))
+            sums = [total(x, f"s{ix}"), total(y, f"s{iy}"), total(x * x, f"q{ix}"), total(y * y, f"q{iy}")]
+        else:
+            both = x.isNotNull() & y.isNotNull()
+            n = total(F.when(both, 1.0), f"n{i}")
+            sums = [total(F.when(both, v), f"{k}{i}") for k, v in (("a", x), ("b", y), ("c", x * x), ("d", y * y))]
+        sx, sy, sxx, syy = sums
+        sxy = total(x * y, f"p{min(ix, iy)}_{max(ix, iy)}")
+        varies = lambda s, q: q - s * s / n > 1e-12 * q  # noqa: E731,B023
+        r = F.try_divide(sxy - sx * sy / n, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
+        results.append(F.when((n > 1) & varies(sx, sxx) & varies(sy, syy), r).alias(f"r{i}"))
+    return shifted.agg(*aggs.values()).select(*results)
+
+
 def corr_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4, max_columns: int = 10
 ) -> DataFrame:
     """(x, y, r) for every ordered pair of columns, from one aggregation."""
     names = list(columns or S.numeric_columns(df))[:max_columns]
-    pairs = list(combinations(range(len(names)), 2))
-    aggs = [S.pearson(col(names[i]), col(names[j])).alias(f"r{i}_{j}") for i, j in pairs]
-    selfs = [
-        F.when(F.stddev_pop(col(c).cast("double")) > 0, F.lit(1.0)).alias(f"r{i}_{i}") for i, c in enumerate(names)
-    ]
+    pairs = [(names[i], names[j]) for i, j in combinations(range(len(names)), 2)]
+    pairs += [(c, c) for c in names]
+    at = {frozenset(p): i for i, p in enumerate(pairs)}
     cells = [
-        F.struct(
-            F.lit(names[i]).alias("x"),
-            F.lit(names[j]).alias("y"),
-            F.round(F.col(f"r{min(i, j)}_{max(i, j)}"), digits).alias("r"),
-        )
-        for i in range(len(names))
-        for j in range(len(names))
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.round(F.col(f"r{at[frozenset((x, y))]}"), digits).alias("r"))
+        for x in names
+        for y in names
     ]
-    return df.agg(*aggs, *selfs).select(F.inline(F.array(*cells)))
+    return pair_correlations(df, pairs).select(F.inline(F.array(*cells)))
 
 
 def category_distributions(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, max_columns: int = 6) -> DataFrame:
