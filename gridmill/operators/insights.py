@@ -128,7 +128,7 @@ def _finding(condition: Column, kind: str, title: Column, body: Column, severity
     )
 
 
-def insight_rows(facts: DataFrame, value: str | None) -> DataFrame:
+def insight_rows(facts: DataFrame, value: str | None, large_rows: int = LARGE_ROWS) -> DataFrame:
     """(segment, type, title, body, severity) for every rule that fires."""
     name = F.lit(value or "")
     g = F.col("growth")
@@ -173,7 +173,7 @@ def insight_rows(facts: DataFrame, value: str | None) -> DataFrame:
                 F.lit("warning"),
             ),
             _finding(
-                F.col("n_rows") > LARGE_ROWS, "scale", F.lit("Large Dataset"),
+                F.col("n_rows") > large_rows, "scale", F.lit("Large Dataset"),
                 F.concat(F.lit("Dataset has "), F.format_number("n_rows", 0), F.lit(" rows.")), F.lit("info"),
             ),
             _finding(
@@ -189,10 +189,16 @@ def insight_rows(facts: DataFrame, value: str | None) -> DataFrame:
     return facts.select("segment", F.inline(findings))
 
 
-def insights(df: DataFrame, roles: dict[str, str] | None = None, tiebreak: str | None = None, by: str | None = None) -> DataFrame:
+def insights(
+    df: DataFrame,
+    roles: dict[str, str] | None = None,
+    tiebreak: str | None = None,
+    by: str | None = None,
+    large_rows: int = LARGE_ROWS,
+) -> DataFrame:
     """Findings for the table, or per segment when ``by`` is given."""
     from gridmill.operators.typing import detect_kpi_roles
 
     roles = detect_kpi_roles(df) if roles is None else roles
     facts = segment_facts(df, by, roles, tiebreak) if by else table_facts(df, roles, tiebreak=tiebreak)
-    return insight_rows(facts, roles.get("value"))
+    return insight_rows(facts, roles.get("value"), large_rows)

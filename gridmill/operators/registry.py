@@ -43,7 +43,10 @@ def with_primary_metric(runs: DataFrame, metrics: str = "metrics", problem_type:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append run rows; stored predictions are cut to the display limit."""
+    """Append run rows; stored predictions are cut to the display limit.
+
+    Files are sorted by user, so a reader of one user skips most row groups.
+    """
     schema = T.StructType.fromDDL(RUN_SCHEMA)
     cut = {
         c: F.to_json(F.slice(F.from_json(c, "array<string>"), 1, MAX_PREDICTIONS)) for c in ("y_true_json", "y_pred_json")
@@ -52,7 +55,7 @@ def append_runs(runs: DataFrame, path: str) -> None:
     for f in schema:
         value = F.col(f.name) if f.name in runs.columns else F.lit(None)
         cols.append((cut[f.name] if f.name in cut and f.name in runs.columns else value).cast(f.dataType).alias(f.name))
-    runs.select(*cols).write.mode("append").partitionBy("user_id").parquet(path)
+    runs.select(*cols).sortWithinPartitions("user_id", "created_at").write.mode("append").parquet(path)
 
 
 def append_marks(marks: DataFrame, path: str) -> None:

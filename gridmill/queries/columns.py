@@ -474,7 +474,8 @@ def planner_profile_sql(dataset: str, view: str, numbers: dict[str, int], texts:
         for c, i in numbers.items()
     ]
     parts += [
-        f"SELECT '{dataset}', {i}::INTEGER, '{c}', 'category', NULL, NULL, NULL, NULL, n_unique, {_CARD}, top FROM ("
+        f"SELECT '{dataset}' AS dataset, {i}::INTEGER AS ordinal, '{c}' AS \"column\", 'category' AS kind, NULL::DOUBLE AS min, "
+        f"NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS missing_pct, n_unique, {_CARD} AS cardinality, top FROM ("
         f"SELECT count(DISTINCT {c}) AS n_unique, (SELECT {c} FROM ({view}) WHERE {c} IS NOT NULL GROUP BY 1 "
         f"ORDER BY count(*) DESC, 1 LIMIT 1) AS top FROM ({view}))"
         for c, i in texts.items()
