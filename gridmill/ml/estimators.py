@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import Binarizer, MinMaxScaler
+from pyspark.ml.feature import Binarizer
 from pyspark.sql import DataFrame
 
 from gridmill.functions.semantics import SEED
@@ -81,12 +81,6 @@ def _svc(p: dict, ctx: Context):
     return C.OneVsRest(classifier=base, **_weights(ctx))
 
 
-def _multinomial_nb(p: dict, ctx: Context):
-    # counts cannot be negative, so scaled numbers are moved to [0, 1] first
-    scale = MinMaxScaler(inputCol="features", outputCol="nonnegative")
-    return Pipeline(stages=[scale, C.NaiveBayes(featuresCol="nonnegative", modelType="multinomial", smoothing=p.get("alpha", 1.0), **_weights(ctx))])
-
-
 def _bernoulli_nb(p: dict, ctx: Context):
     bits = Binarizer(inputCol="features", outputCol="bits", threshold=0.0)
     return Pipeline(stages=[bits, C.NaiveBayes(featuresCol="bits", modelType="bernoulli", smoothing=p.get("alpha", 1.0), **_weights(ctx))])
@@ -123,7 +117,7 @@ FACTORIES: dict[str, Factory] = {
     "sgd_classifier": lambda p, c: C.LogisticRegression(regParam=p.get("alpha", 1e-4), maxIter=p.get("max_iter", 100), **_weights(c)),
     "knn_clf": lambda p, c: Fitter(lambda df: models.fit_neighbours(df, p.get("n_neighbors", 5), True)),
     "gaussian_nb": lambda p, c: C.NaiveBayes(modelType="gaussian", **_weights(c)),
-    "multinomial_nb": _multinomial_nb,
+    "multinomial_nb": lambda p, c: Fitter(lambda df: models.fit_multinomial_nb(df, p.get("alpha", 1.0))),
     "bernoulli_nb": _bernoulli_nb,
     "linear_svc": _svc,
     "decision_tree_clf": lambda p, c: C.DecisionTreeClassifier(maxDepth=_depth(p), seed=SEED, **_min_split(p), **_weights(c)),

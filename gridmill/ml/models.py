@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,38 +57,38 @@ def _score_linear(state: dict, df: DataFrame) -> DataFrame:
     return _with_array(df, lambda x: {"prediction": dot(x, state["coef"]) + F.lit(state["intercept"])})
 
 
-def _by_best(scores: list[tuple[float, Column]], probability: list[Column] | None = None) -> dict[str, Column]:
-    """The class with the largest score; the smaller class wins a tie."""
-    best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-float(c)).alias("c")) for c, s in scores]))
-    out = {"prediction": -best["c"]}
-    if probability is not None:
-        out["probability"] = F.array(*probability)
-    return out
-
-
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    e = [F.exp(s - top) for s in scores]
-    total = sum(e, F.lit(0.0))
-    return [x / total for x in e]
+def _decided(df: DataFrame, classes: list[float], scores: Column, probability: bool) -> DataFrame:
+    """Prediction (the smaller class wins a tie) and probability from an array of
+    scores, which is computed once as a column of its own."""
+    out = df.withColumn("__s", scores)
+    best = F.array_position("__s", F.array_max("__s")).cast("int")
+    new = {"prediction": F.get(F.array(*[F.lit(float(c)) for c in classes]), best - 1)}
+    if probability:
+        top = F.array_max("__s")
+        new["__e"] = F.transform("__s", lambda s: F.exp(s - top))
+    out = out.withColumns(new)
+    if probability:
+        total = F.aggregate("__e", F.lit(0.0), lambda a, v: a + v)
+        out = out.withColumn("probability", F.transform("__e", lambda v: v / total)).drop("__e")
+    return out.drop("__s")
 
 
 def _score_classes(state: dict, df: DataFrame) -> DataFrame:
-    def build(x: Column) -> dict[str, Column]:
-        scores = []
-        for c, w, b, center, m in zip(
-            state["classes"], state["coef"], state["intercept"], state["center"], state["matrix"]
-        ):
-            s = F.lit(b)
-            if w is not None:
-                s = s + dot(x, w)
-            if m is not None:
-                s = s - quadratic(x, center, np.array(m)) / 2
-            scores.append((c, s))
-        prob = _softmax([s for _, s in scores]) if state["probabilistic"] else None
-        return _by_best(scores, prob)
-
-    return _with_array(df, build)
+    x = F.col("__x")
+    if state.get("floor") is not None:
+        floor = F.array(*[F.lit(float(v)) for v in state["floor"]])
+        array = F.zip_with(as_array("features"), floor, lambda v, m: F.greatest(v - m, F.lit(0.0)))
+    else:
+        array = as_array("features")
+    scores = []
+    for w, b, center, m in zip(state["coef"], state["intercept"], state["center"], state["matrix"]):
+        s = F.lit(b)
+        if w is not None:
+            s = s + dot(x, w)
+        if m is not None:
+            s = s - quadratic(x, center, np.array(m)) / 2
+        scores.append(s)
+    return _decided(df.withColumn("__x", array), state["classes"], F.array(*scores), state["probabilistic"]).drop("__x")
 
 
 # --- linear regression variants ---------------------------------------------
@@ -158,7 +159,7 @@ def _class_moments(df: DataFrame) -> dict[float, np.ndarray]:
     return dict(sorted(found.items()))
 
 
-def _class_state(classes, coef, intercept, center=None, matrix=None, probabilistic=True) -> ExpressionModel:
+def _class_state(classes, coef, intercept, center=None, matrix=None, probabilistic=True, floor=None) -> ExpressionModel:
     k = len(classes)
     return ExpressionModel(
         "classes",
@@ -169,6 +170,7 @@ def _class_state(classes, coef, intercept, center=None, matrix=None, probabilist
             "center": center or [None] * k,
             "matrix": matrix or [None] * k,
             "probabilistic": probabilistic,
+            "floor": floor,
         },
     )
 
@@ -217,6 +219,23 @@ def fit_qda(df: DataFrame, floor: float = 1e-6) -> ExpressionModel:
     return _class_state(list(moments), None, intercept, center, matrix)
 
 
+def fit_multinomial_nb(df: DataFrame, alpha: float = 1.0) -> ExpressionModel:
+    """Multinomial naive Bayes on features moved to start at 0.
+
+    Counts cannot be negative, so each feature is taken relative to its smallest
+    training value; a smaller value met later counts as 0.
+    """
+    floor = df.select(Summarizer.min(F.col("features")).alias("m")).first()["m"].toArray()
+    moments = _class_moments(df)
+    n = sum(m[-1, -1] for m in moments.values())
+    coef, intercept = [], []
+    for m in moments.values():
+        counts = np.maximum(m[-1, :-1] - m[-1, -1] * floor, 0.0) + alpha
+        coef.append(np.log(counts / counts.sum()).tolist())
+        intercept.append(np.log(m[-1, -1] / n))
+    return _class_state(list(moments), coef, intercept, floor=floor.tolist())
+
+
 # --- boosting of weighted trees ---------------------------------------------
 
 class TreeVote:
@@ -232,13 +251,15 @@ class TreeVote:
             scored = t.transform(out)
             out = scored.drop(*[c for c in ("rawPrediction", "probability") if c not in df.columns])
         votes = [F.struct(F.col(f"__p{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)]
+        total = F.lit(float(sum(self.weights)) or 1.0)
         if self.classes is not None:
             scores = [
-                (c, sum((F.when(F.col(f"__p{i}") == c, F.lit(float(w))).otherwise(0.0) for i, w in enumerate(self.weights)), F.lit(0.0)))
+                sum((F.when(F.col(f"__p{i}") == c, F.lit(float(w))).otherwise(0.0) for i, w in enumerate(self.weights)), F.lit(0.0)) / total
                 for c in self.classes
             ]
-            total = F.lit(float(sum(self.weights)) or 1.0)
-            new = _by_best(scores, [s / total for _, s in scores])
+            shares = F.array(*scores)
+            out = _decided(out.withColumn("probability", shares), self.classes, F.col("probability"), False)
+            new = {}
         else:
             half = F.lit(sum(self.weights) / 2)
             start = F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("p"))
@@ -250,7 +271,7 @@ class TreeVote:
                 ),
             )
             new = {"prediction": walk["p"]}
-        return out.withColumns(new).drop(*[f"__p{i}" for i in range(len(self.trees))])
+        return (out.withColumns(new) if new else out).drop(*[f"__p{i}" for i in range(len(self.trees))])
 
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()

@@ -48,7 +48,7 @@ class Fitted:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` plus ``prediction`` and, where known, ``probability`` as an array."""
-        wanted = [c for c in df.columns if c not in ("features", "prediction", "probability", "label", "weight")]
+        wanted = [c for c in df.columns if c not in ("features", "prediction", "probability")]
         scored = self.model.transform(self.preprocessor.transform(df.select(*[col(c) for c in wanted])))
         out = [col(c) for c in wanted] + [F.col("prediction").cast("double").alias("prediction")]
         if "probability" in scored.columns and self.problem_type == "classification":
@@ -103,7 +103,7 @@ def _labelled(df: DataFrame, target: str, classes: list | None) -> DataFrame:
 def _fit(train: DataFrame, target: str, algo_id: str, params: dict | None, problem: str, classes, weights: dict | None, dates) -> Fitted:
     """Fit the preprocessor and the estimator on these rows only."""
     p = prep.build_preprocessor(train, target, dates=dates)
-    rows = p.transform(_labelled(train, target, classes).filter(F.col("label").isNotNull()))
+    rows = _labelled(p.transform(train), target, classes).filter(F.col("label").isNotNull())
     keep = ["features", "label"]
     if weights:
         w = F.coalesce(*[F.when(F.col("label") == float(i), F.lit(x)) for i, x in enumerate(weights)], F.lit(1.0))

@@ -12,6 +12,7 @@ from gridmill.queries import tables as t
 from gridmill.queries.columns import planner_profile_sql
 from gridmill.queries.kpis import ORDER_ROLES, growth_sql
 from gridmill.queries.tables import load
+from gridmill.session import pinned
 
 # --- findings ---------------------------------------------------------------
 
@@ -160,7 +161,7 @@ def profiles(spark, sf):
             df = df.select("url", "html")
         one = profile.planner_profile(df, name)
         out = one if out is None else out.unionByName(one)
-    return out
+    return pinned(out)
 
 
 _RULES_SQL = f"""

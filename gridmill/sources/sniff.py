@@ -63,14 +63,16 @@ def sniff_encoding(spark: SparkSession, path: str, first: int | None = None) ->
     )
     seen = facts.groupBy("file").agg(
         F.max("bom8").alias("bom8"), F.max("bom16").alias("bom16"),
-        F.count(F.when(F.col("odd_zero") & ~F.col("even_zero"), 1)).alias("le"), F.count(F.when(F.col("even_zero") & ~F.col("odd_zero"), 1)).alias("be"),
+        F.count(F.when(F.col("odd_zero") & ~F.col("even_zero"), 1)).alias("le"),
         F.max(F.col("odd_zero") | F.col("even_zero")).alias("zeros"),
         F.min("utf8").alias("utf8"), F.max("windows").alias("windows"),
     )
     name = (
         F.when(F.col("bom16"), "utf-16")
         .when(F.col("bom8"), "utf-8-sig")
-        .when(F.col("zeros"), F.when(F.col("be") > F.col("le"), "utf-16-be").otherwise("utf-16-le"))
+        # a line break cuts a little-endian pair in two, so only some lines show
+        # the zero in second place; big-endian text never does
+        .when(F.col("zeros"), F.when(F.col("le") > 0, "utf-16-le").otherwise("utf-16-be"))
         .when(F.col("utf8"), "utf-8")
         .when(F.col("windows"), "cp1252")
         .otherwise("latin-1")
