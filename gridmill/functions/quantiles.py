@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.functions.joins import small_side
 from gridmill.functions.semantics import col
+from gridmill.session import pinned
 
 SMALL_ROWS = 1_000_000
 SKETCH_ACCURACY = 20_000
@@ -92,6 +94,8 @@ def ranked_quantiles(
         F.percentile_approx(col(value), F.array(*[F.lit(g) for g in grid]), F.lit(SKETCH_ACCURACY)).alias("__cuts"),
         F.count(F.lit(1)).alias("__n"),
     )
+    if not few_keys:
+        cuts = small_side(pinned(cuts))
     n = F.col("__n").cast("double")
     wanted = F.array(
         *[

@@ -87,9 +87,14 @@ def dot(vector: Column, weights) -> Column:
 
 
 def quadratic(vector: Column, center, matrix: np.ndarray) -> Column:
-    """``(x - c)' M (x - c)`` for a symmetric positive ``M``, via its factor."""
-    values, vectors = np.linalg.eigh(matrix)
-    factor = vectors * np.sqrt(np.clip(values, 0, None))
-    c = np.asarray(center)
-    parts = [dot(vector, factor[:, j]) - F.lit(float(c @ factor[:, j])) for j in range(factor.shape[1])]
-    return sum((p * p for p in parts), F.lit(0.0))
+    """``(x - c)' M (x - c)`` per row, as one matrix product per Arrow batch."""
+    c, m = np.asarray(center, dtype=float), np.asarray(matrix, dtype=float)
+
+    @F.pandas_udf("double")
+    def form(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        d = np.stack(x.to_numpy()) - c
+        return pd.Series(np.einsum("ij,jk,ik->i", d, m, d))
+
+    return form(vector)

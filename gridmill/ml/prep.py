@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
+from gridmill.functions.joins import is_small, small_side
 from gridmill.functions.positions import with_position
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
 from gridmill.operators import profile
-from gridmill.operators.clean import SMALL_DICTIONARY, code_table, label_encode
+from gridmill.operators.clean import code_table, label_encode
 from gridmill.plans.catalog import algorithm
+from gridmill.session import pinned
 
 ONE_HOT_LIMIT = 50
 CHECKED_COLUMNS = 30
@@ -154,7 +156,7 @@ class Preprocessor:
     ordinal: list[str] = field(default_factory=list)
     modes: dict[str, str] = field(default_factory=dict)
     codes: dict[str, DataFrame] = field(default_factory=dict, repr=False)
-    code_sizes: dict[str, int] = field(default_factory=dict)
+    small_codes: dict[str, bool] = field(default_factory=dict)
 
     @property
     def inputs(self) -> list[str]:
@@ -178,7 +180,7 @@ class Preprocessor:
             parts += [F.when(value == v, 1.0).otherwise(0.0) for v in values]
         for i, c in enumerate(self.ordinal):
             table = self.codes[c].select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__o{i}"))
-            if self.code_sizes[c] <= SMALL_DICTIONARY:
+            if self.small_codes[c]:
                 table = F.broadcast(table)
             value = F.coalesce(raw(c).cast("string"), F.lit(self.modes.get(c)))
             out = out.join(table, value == F.col(f"__v{i}"), "left")
@@ -224,7 +226,8 @@ def build_preprocessor(
             p.one_hot = {c: sorted(r["value"] for r in seen if r["column"] == c) for c in low}
         for c in p.ordinal:
             p.codes[c] = code_table(train.filter(col(c).isNotNull()), c)
-            p.code_sizes[c] = tops[c]["n_unique"]
+            p.codes[c] = pinned(p.codes[c])
+            p.small_codes[c] = is_small(p.codes[c])
     if not p.inputs:
         raise S.ColumnError("no usable feature columns")
     return p
@@ -268,7 +271,7 @@ def stratified_split(
     keyed = df.withColumns({"__key": k, "__hash": S.seeded_hash(k, seed)})
     placed = with_position(keyed, [label], [F.col("__hash").asc(), F.col("__key").asc()], name="__pos")
     sizes = df.groupBy(col(label).alias("__label")).agg(F.round(F.count(F.lit(1)) * F.lit(frac)).alias("__cut"))
-    joined = placed.join(sizes, col(label).eqNullSafe(F.col("__label")))
+    joined = placed.join(small_side(sizes), col(label).eqNullSafe(F.col("__label")))
     return joined.select(*[col(c) for c in df.columns], (F.col("__pos") < F.col("__cut")).alias("is_test"))
 
 

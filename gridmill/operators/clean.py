@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
+from gridmill.functions.joins import small_side
 from gridmill.functions.positions import with_position
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
 from gridmill.operators.profile import top_values
+from gridmill.session import pinned
 
 # Name parts of columns that the ETL step parses as dates.
 ETL_DATE_WORDS = ("date", "time", "created", "updated", "timestamp")
-SMALL_DICTIONARY = 1_000_000  # rows of a code table that may be broadcast
 UNKNOWN = "Unknown"
 
 
@@ -129,16 +130,29 @@ def transform(
 ) -> DataFrame:
     """The ETL step: drop duplicate rows, impute, optionally scale, parse dates.
 
-    Columns without nulls keep their type; imputed numbers become double.
+    Columns without nulls keep their type; imputed numbers become double. Null
+    counts and ranges do not change when equal rows go, so they come from one
+    pass over the input; the distinct rows are pinned only if values must be
+    imputed from them.
     """
-    if drop_duplicates:
-        df = df.dropDuplicates()
     numeric, text = S.numeric_columns(df), S.text_columns(df)
-    gaps = [c for c in _columns_with_nulls(df) if c in numeric or c in text]
+    ends = [f(col(c).cast("double")) for c in numeric for f in (F.min, F.max)]
+    nulls = [S.count_missing(col(c)) for c in df.columns]
+    row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate([*ends, *nulls])]).first()
+    span = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(numeric)}
+    gaps = [c for i, c in enumerate(df.columns) if row[len(ends) + i] and (c in numeric or c in text)]
+    if drop_duplicates:
+        df = pinned(df.dropDuplicates()) if gaps else df.dropDuplicates()
     values = _fill_values(df, [c for c in gaps if c in numeric], [c for c in gaps if c in text], fill)
-    df = df.select(*[_filled(c, values, numeric).alias(c) if c in values else col(c) for c in df.columns])
+    out = {c: _filled(c, values, numeric) for c in gaps}
     if normalize:
-        df = minmax(df, numeric)
+        for c, (lo, hi) in span.items():
+            if c in values and values[c] is not None:
+                lo = values[c] if lo is None else min(lo, values[c])
+                hi = values[c] if hi is None else max(hi, values[c])
+            if lo is not None and hi > lo:
+                out[c] = (out.get(c, col(c).cast("double")) - F.lit(lo)) / F.lit(hi - lo)
+    df = df.select(*[out[c].alias(c) if c in out else col(c) for c in df.columns])
     return parse_dates(df) if parse else df
 
 
@@ -147,11 +161,6 @@ def _filled(name: str, values: dict[str, object], numeric: Sequence[str]) -> Col
     return F.coalesce(c, F.lit(values[name]))
 
 
-def _columns_with_nulls(df: DataFrame) -> list[str]:
-    row = df.agg(*[S.count_missing(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if row[i]]
-
-
 def clean(df: DataFrame) -> DataFrame:
     """Drop duplicate rows, then median for numbers and most frequent text."""
     return transform(df, fill="median", parse=False)
@@ -228,9 +237,7 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     out = df
     for c in columns:
         codes = code_table(df, c).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-        if codes.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
-            codes = F.broadcast(codes)
-        joined = out.join(codes, S.label_of(col(c)) == F.col("__value"), "left")
+        joined = out.join(small_side(codes), S.label_of(col(c)) == F.col("__value"), "left")
         out = joined.select(*[F.col("__code").alias(x) if x == c else col(x) for x in df.columns])
     return out
 

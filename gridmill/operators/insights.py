@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
+from gridmill.functions.joins import small_side
 from gridmill.functions.positions import with_position
 from gridmill.functions.quantiles import column_quantiles, grouped_quantile
 from gridmill.functions.semantics import col
@@ -55,7 +56,7 @@ def segment_facts(df: DataFrame, by: str, roles: dict[str, str], tiebreak: str |
     )
     low = grouped_quantile(seg, ["segment"], value, 0.25, "q1")
     high = grouped_quantile(seg, ["segment"], value, 0.75, "q3")
-    fences = low.join(high, "segment")
+    fences = small_side(low.join(high, "segment"))
     spread = IQR_FENCE * (F.col("q3") - F.col("q1"))
     v = col(value).cast("double")
     beyond = (v < F.col("q1") - spread) | (v > F.col("q3") + spread)
@@ -113,7 +114,7 @@ def _segment_growth(seg: DataFrame, date: str, value: str, tiebreak: str | None)
     placed = with_position(flat, ["segment"], [F.col("d").asc(), F.col("t").asc()])
     sizes = flat.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     first = F.col("pos") < F.floor(F.col("n") / 2)
-    halves = placed.join(sizes, "segment").groupBy("segment").agg(
+    halves = placed.join(small_side(sizes), "segment").groupBy("segment").agg(
         S.total(F.when(first, F.col("v"))).alias("a"), S.total(F.when(~first, F.col("v"))).alias("b")
     )
     return halves.select(

@@ -118,6 +118,8 @@ def period_growth(df: DataFrame, date: str, value: str, tiebreak: str | None = N
     the cut need an order among themselves: sums per date settle all others,
     and the cut inside that date is a rank threshold on the tie-break column.
     """
+    if tiebreak:
+        S.require_numeric(df, tiebreak)
     flat = df.select(
         S.time_col(df, date).alias("d"),
         col(value).alias("v"),
