@@ -197,12 +197,13 @@ def planner_profile(df: DataFrame, dataset: str = "table", dates: Sequence[str]
             )
         )
     if text:
-        known = distinct_counts(df, text).join(top_values(df, text).select("column", "value"), "column", "left")
+        known = _names(df, text).join(top_values(df, text), "column", "left")
+        unique = F.coalesce("n_unique", F.lit(0).cast("bigint"))
         parts.append(
             known.select(
                 "column", F.lit("category").alias("kind"), blank.alias("min"), blank.alias("max"),
-                blank.alias("mean"), blank.alias("missing_pct"), "n_unique",
-                cardinality_class(F.col("n_unique")).alias("cardinality"), F.col("value").alias("top"),
+                blank.alias("mean"), blank.alias("missing_pct"), unique.alias("n_unique"),
+                cardinality_class(unique).alias("cardinality"), F.col("value").alias("top"),
             )
         )
     if dated:

@@ -125,8 +125,8 @@ def _hist(view: str, c: str, bins: int, digits: int = 4) -> str:
 
 
 _chart("c12_histogram", t.lineitem_nulls, "histogram", {"x": "l_extendedprice"}, _hist(t.LINEITEM_NULLS, "l_extendedprice", 20))
-register("c12_histogram_constant", _hist("SELECT 5.0::DOUBLE AS k FROM supplier", "k", 20))(
-    lambda spark, sf: charts.build_chart(load(spark, sf, "supplier").select(F.lit(5.0).alias("k")), "histogram", {"x": "k"})
+register("c12_histogram_constant", _hist("SELECT 5.0::DOUBLE AS k FROM customer", "k", 20))(
+    lambda spark, sf: charts.build_chart(load(spark, sf, "customer").select(F.lit(5.0).alias("k")), "histogram", {"x": "k"})
 )
 
 

@@ -45,15 +45,14 @@ def sniff_delimiter(spark: SparkSession, path: str, first: int | None = None) ->
 def sniff_encoding(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """(file, encoding) from the bytes of every line, in a splittable scan.
 
-    Byte-order marks win; then zero bytes mean UTF-16; plain or valid UTF-8 is
-    UTF-8; bytes in 0x80..0x9F mean a Windows page, other high bytes Latin-1.
+    A UTF-16 mark wins; then zero bytes mean UTF-16; plain or valid UTF-8 is
+    UTF-8 (the line reader skips its mark); bytes in 0x80..0x9F mean a Windows page, other high bytes Latin-1.
     """
     raw = F.col("value").cast("binary")
     hexed = F.hex(raw)
     pairs = lambda p: F.regexp_like(hexed, F.lit(f"^(..)*{p}"))
     facts = _lines(spark, path, first).select(
         "file",
-        hexed.startswith("EFBBBF").alias("bom8"),
         (hexed.startswith("FFFE") | hexed.startswith("FEFF")).alias("bom16"),
         # in little-endian text the second byte of a plain letter is zero
         F.regexp_like(hexed, F.lit("^(....)*..00")).alias("odd_zero"),
@@ -62,14 +61,13 @@ def sniff_encoding(spark: SparkSession, path: str, first: int | None = None) ->
         pairs("[89].").alias("windows"),
     )
     seen = facts.groupBy("file").agg(
-        F.max("bom8").alias("bom8"), F.max("bom16").alias("bom16"),
+        F.max("bom16").alias("bom16"),
         F.count(F.when(F.col("odd_zero") & ~F.col("even_zero"), 1)).alias("le"),
         F.max(F.col("odd_zero") | F.col("even_zero")).alias("zeros"),
         F.min("utf8").alias("utf8"), F.max("windows").alias("windows"),
     )
     name = (
         F.when(F.col("bom16"), "utf-16")
-        .when(F.col("bom8"), "utf-8-sig")
         # a line break cuts a little-endian pair in two, so only some lines show
         # the zero in second place; big-endian text never does
         .when(F.col("zeros"), F.when(F.col("le") > 0, "utf-16-le").otherwise("utf-16-be"))

@@ -100,7 +100,7 @@ def read_delimited(
     too_long = F.size(F.split(bare, f"\\Q{sep}\\E", -1)) > len(names)
     # the reader wants a data column next to the corrupt-record column
     anchored = too_long | (F.coalesce(F.length(col(names[0]).cast("string")), F.lit(0)) < 0)
-    clean = [F.regexp_replace(col(n), "^﻿", "").alias(n) if isinstance(schema[n].dataType, T.StringType) and encoding == "utf-8-sig" else col(n) for n in names]
+    clean = [col(n) for n in names]
     out = rows.withColumn("_rejected", anchored)
     if keep_rejected:
         return out.select(*clean, "_rejected")
