@@ -1,25 +1,70 @@
 """Exact quantiles that never gather one column in one task.
 
-Small inputs use the built-in exact ``percentile``. Beyond ``SMALL_ROWS`` rows
-(per key) a sketch proposes cut points, the rows between the cuts are counted
-exactly, and only the narrow slice that holds the wanted rank is sorted. The
-sketch decides how narrow the slice is, never the answer.
+Small inputs use the built-in exact ``percentile``. Beyond that a bounded sample
+proposes a narrow bracket around every wanted rank; one pass then counts exactly
+what lies below a bracket and keeps only the values inside. The sample decides
+how narrow a bracket is, never the answer: a bracket that misses its rank is
+opened, one that holds too much is sampled again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.joins import small_side
-from gridmill.functions.semantics import col
+from gridmill.functions.semantics import SEED, col
 from gridmill.session import pinned
 
-SMALL_ROWS = 1_000_000
-SKETCH_ACCURACY = 20_000
-_MAX_COLUMNS_PER_PASS = 10
+SMALL_ROWS = 100_000  # rows for the one-task aggregate over whole columns
+SMALL_GROUP_ROWS = 1_000_000  # rows of the largest group for the grouped form
+SAMPLE_ROWS = 50_000  # rows of the sample that proposes the brackets
+BRACKET_ROWS = 5_000_000  # a bracket expected to hold more is sampled again
+GROUP_SKETCH_ACCURACY = 20_000
+_MAX_COLUMNS_PER_PASS = 12
+_MAX_ROUNDS = 8
+
+
+@dataclass
+class _Bracket:
+    """Where one wanted quantile of one column lies."""
+
+    column: int
+    place: int  # position of the probability in the caller's list
+    rank: float  # 0-based, between two rows when not whole
+    total: int
+    low: float = -math.inf
+    high: float = math.inf
+    expected: float = math.inf  # rows thought to be inside
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.rank), math.ceil(self.rank)
+
+    def reopen(self) -> None:
+        self.low, self.high, self.expected = -math.inf, math.inf, float(self.total)
+
+    def aim(self, sample: np.ndarray, below: int, inside: int) -> None:
+        """Set the ends six standard errors around the rank within a sorted
+        sample of the ``inside`` values that follow ``below`` smaller ones."""
+        m = len(sample)
+        if not m or not inside:
+            return
+        share = min(1.0, max(0.0, (self.rank - below) / inside))
+        slack = 6.0 * math.sqrt(m * share * (1.0 - share)) + 2.0
+        i, j = math.floor(share * m - slack), math.ceil(share * m + slack)
+        if i >= 0:
+            self.low = float(sample[i])
+        if j < m:
+            self.high = float(sample[j])
+        # only what the sample shows; a value that fills the bracket stays cheap
+        self.expected = inside * min(1.0, (j - i) / m)
 
 
 def column_quantiles(
@@ -30,41 +75,133 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns: ``{column: [q, …]}``.
 
-    Only ``len(columns) * len(probs)`` numbers reach the driver.
+    Only a bounded sample and a few numbers per column and probability reach
+    the driver.
     """
-    columns, probs = list(columns), list(probs)
-    if not columns:
-        return {}
-    if (df.count() if n_rows is None else n_rows) <= SMALL_ROWS:
-        out: dict[str, list[float | None]] = {}
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        for start in range(0, len(columns), _MAX_COLUMNS_PER_PASS):
-            part = columns[start : start + _MAX_COLUMNS_PER_PASS]
-            row = df.agg(*[F.percentile(col(c).cast("double"), array).alias(f"q{i}") for i, c in enumerate(part)]).first()
-            for i, c in enumerate(part):
-                out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-        return out
-    tall = unpivot_numbers(df, columns)
-    rows = ranked_quantiles(tall, ["column"], "value", probs, few_keys=True).collect()
-    out = {c: [None] * len(probs) for c in columns}
-    for row in rows:
-        out[row["column"]][row["p_index"]] = row["quantile"]
+    columns, probs = list(columns), [float(p) for p in probs]
+    out: dict[str, list[float | None]] = {}
+    n = (df.count() if n_rows is None else n_rows) if columns else 0
+    for start in range(0, len(columns), _MAX_COLUMNS_PER_PASS):
+        part = columns[start : start + _MAX_COLUMNS_PER_PASS]
+        out.update(_by_aggregate(df, part, probs) if n <= SMALL_ROWS else _by_brackets(df, part, probs, n))
     return out
 
 
-def unpivot_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) rows of the non-null numbers."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in columns])
+def _by_aggregate(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    array = F.array(*[F.lit(p) for p in probs])
+    row = df.agg(*[F.percentile(col(c).cast("double"), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {
+        c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i, c in enumerate(columns)
+    }
+
+
+def _by_brackets(df: DataFrame, columns: list[str], probs: list[float], n: int) -> dict[str, list[float | None]]:
+    numbers = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sizes = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
+    sample = numbers.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), SEED).toPandas()
+    brackets = []
+    for i in range(len(columns)):
+        known = np.sort(sample[f"v{i}"].dropna().to_numpy())
+        for j, p in enumerate(probs if sizes[i] else []):
+            b = _Bracket(i, j, (sizes[i] - 1) * p, sizes[i])
+            b.aim(known, 0, sizes[i])
+            brackets.append(b)
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    todo = brackets
+    for _ in range(_MAX_ROUNDS):
+        if not todo:
+            break
+        _narrow(numbers, todo)
+        found = _look_up(numbers, todo)
+        for k, b in enumerate(todo):
+            lo, hi = found.get((k, b.ranks[0])), found.get((k, b.ranks[1]))
+            if lo is None or hi is None:
+                b.reopen()  # the sample missed
+            else:
+                out[columns[b.column]][b.place] = lo + (hi - lo) * (b.rank - b.ranks[0])
+        todo = [b for b in todo if out[columns[b.column]][b.place] is None]
+    return out
+
+
+def _look_up(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """``{(bracket, rank): value}`` for the wanted ranks that lie inside.
+
+    Tasks emit one count of smaller values per bracket and the (value, count)
+    pairs inside; the running count per bracket then tells every rank.
+    """
+    where = [(b.column, b.low, b.high) for b in brackets]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        below = np.zeros(len(where), dtype=np.int64)
+        for pdf in batches:
+            arrays = [pdf[c].to_numpy(dtype=float) for c in pdf.columns]
+            parts = []
+            for k, (c, low, high) in enumerate(where):
+                x = arrays[c]
+                below[k] += int((x < low).sum())
+                v, m = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                parts.append(pd.DataFrame({"k": k, "v": v, "m": m}))
+            yield pd.concat(parts)
+        # counts of smaller values carry no value of their own and sort first
+        yield pd.DataFrame({"k": np.arange(len(where)), "v": pd.array([None] * len(where), dtype="Float64"), "m": below})
+
+    pairs = numbers.mapInPandas(fold, "k int, v double, m bigint").groupBy("k", "v").agg(F.sum("m").alias("m"))
+    run = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = pairs.withColumn("e", F.sum("m").over(run)).withColumn("s", F.col("e") - F.col("m"))
+    wanted = F.get(
+        F.array(*[F.array(*[F.lit(r).cast("bigint") for r in sorted(set(b.ranks))]) for b in brackets]), F.col("k")
     )
-    return df.select(pairs.alias("kv")).select("kv.column", "kv.value").filter(F.col("value").isNotNull())
+    hits = placed.filter(F.col("v").isNotNull()).select(
+        "k", "v", F.explode(F.filter(wanted, lambda r: (r >= F.col("s")) & (r < F.col("e")))).alias("rank")
+    )
+    return {(r["k"], r["rank"]): r["v"] for r in hits.collect()}
+
+
+def _narrow(numbers: DataFrame, brackets: list[_Bracket]) -> None:
+    """Sample again inside brackets that are expected to hold very many rows."""
+    for _ in range(_MAX_ROUNDS):
+        wide = [b for b in brackets if b.expected > BRACKET_ROWS and b.low < b.high]
+        if not wide:
+            return
+        where = [(b.column, b.low, b.high, min(1.0, SAMPLE_ROWS / len(wide) / b.expected)) for b in wide]
+
+        def probe(batches: Iterator[pd.DataFrame], where=where) -> Iterator[pd.DataFrame]:
+            rng = np.random.RandomState(SEED)
+            below, inside = np.zeros(len(where), dtype=np.int64), np.zeros(len(where), dtype=np.int64)
+            for pdf in batches:
+                arrays = [pdf[c].to_numpy(dtype=float) for c in pdf.columns]
+                for k, (c, low, high, rate) in enumerate(where):
+                    x = arrays[c]
+                    below[k] += int((x < low).sum())
+                    x = x[(x >= low) & (x <= high)]
+                    inside[k] += len(x)
+                    some = x[rng.random_sample(len(x)) < rate]
+                    if len(some):
+                        yield pd.DataFrame({"k": k, "v": some, "below": 0, "inside": 0})
+            yield pd.DataFrame({"k": np.arange(len(where)), "v": np.nan, "below": below, "inside": inside})
+
+        rows = numbers.mapInPandas(probe, "k int, v double, below bigint, inside bigint")
+        facts = rows.groupBy("k").agg(
+            F.sum("below").alias("below"), F.sum("inside").alias("inside"),
+            F.array_sort(F.collect_list(F.when(~F.isnan("v"), F.col("v")))).alias("sample"),
+        )
+        before = [b.expected for b in wide]
+        for r in facts.collect():
+            b = wide[r["k"]]
+            lo, hi = b.ranks
+            if lo < r["below"] or hi >= r["below"] + r["inside"]:
+                b.reopen()
+            else:
+                b.aim(np.array(r["sample"]), r["below"], r["inside"])
+        if all(b.expected >= was for b, was in zip(wide, before)):
+            return
 
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile") -> DataFrame:
     """One exact quantile per group, whatever the size of the largest group."""
     keys = list(keys)
     largest = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= SMALL_ROWS:
+    if largest <= SMALL_GROUP_ROWS:
         return df.groupBy(*[col(k) for k in keys]).agg(
             F.percentile(col(value).cast("double"), F.lit(float(p))).alias(name)
         )
@@ -88,10 +225,10 @@ def ranked_quantiles(
     number of keys is bounded (column names, say), so cuts may be broadcast.
     """
     probs = [float(p) for p in probs]
-    slack = 2.0 / SKETCH_ACCURACY
+    slack = 2.0 / GROUP_SKETCH_ACCURACY
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
     cuts = df.groupBy(*[col(k) for k in keys]).agg(
-        F.percentile_approx(col(value), F.array(*[F.lit(g) for g in grid]), F.lit(SKETCH_ACCURACY)).alias("__cuts"),
+        F.percentile_approx(col(value), F.array(*[F.lit(g) for g in grid]), F.lit(GROUP_SKETCH_ACCURACY)).alias("__cuts"),
         F.count(F.lit(1)).alias("__n"),
     )
     if not few_keys:
@@ -199,18 +336,13 @@ def value_at_rank(df: DataFrame, value: str, rank: int, n_rows: int) -> float |
     if rank < 0 or rank >= n_rows:
         return None
     p = rank / max(n_rows - 1, 1)
-    slack = 2.0 / SKETCH_ACCURACY
+    slack = 2.0 / GROUP_SKETCH_ACCURACY
     tall = df.select(F.lit(0).alias("__one"), col(value).alias("__x")).filter(F.col("__x").isNotNull())
     cuts = tall.groupBy("__one").agg(
         F.percentile_approx(
-            "__x", F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))), F.lit(SKETCH_ACCURACY)
+            "__x", F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))), F.lit(GROUP_SKETCH_ACCURACY)
         ).alias("__cuts")
     )
     target = cuts.select("__one", F.lit(rank).cast("bigint").alias("__rank"))
     row = order_statistics(tall, ["__one"], "__x", cuts, target, few_keys=True).first()
     return row["__value"] if row else None
-
-
-def interpolated(c: Column) -> Column:
-    """Exact median as an aggregate, for groups known to be small."""
-    return F.percentile(c.cast("double"), F.lit(0.5))

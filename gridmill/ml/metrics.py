@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
+from gridmill.functions.pairs import correlations_from, pair_sums
 from gridmill.functions.positions import running_total
 from gridmill.functions.semantics import col
-from gridmill.operators import profile
 
 _EPS = 2.220446049250313e-16
 
@@ -125,18 +126,11 @@ def univariate_scores(df: DataFrame, target: str, classification: bool, k: int =
     if classification:
         scores = _anova(df, target, names)
     else:
-        flat = df.filter(col(target).isNotNull())
-        rs = profile.pair_correlations(flat, [(c, target) for c in names])
-        counts = flat.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)])
-        wide = rs.select("*", *[counts.select(F.col(f"n{i}")).scalar().alias(f"n{i}") for i in range(len(names))])
-        pairs = [
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.try_divide(F.col(f"r{i}") * F.col(f"r{i}"), 1 - F.col(f"r{i}") * F.col(f"r{i}")) .__mul__(F.col(f"n{i}") - 2).alias("score"),
-            )
-            for i, c in enumerate(names)
-        ]
-        scores = wide.select(F.inline(F.array(*pairs)))
+        n, *_ = pair = pair_sums(df, [*names, target])
+        r = correlations_from(pair)[:-1, -1]
+        f = r * r / (1 - r * r) * (n[:-1, -1] - 2)
+        rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(names, f)]
+        scores = S.small_frame(df.sparkSession, rows, "feature string, score double")
     best = scores.select("feature", F.round("score", 4).alias("score"))
     return best.orderBy(F.desc_nulls_last("score"), "feature").limit(k)
 

@@ -6,12 +6,14 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
 from gridmill.functions.joins import is_small, small_side
+from gridmill.functions.pairs import correlations
 from gridmill.functions.positions import with_position
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
@@ -92,13 +94,9 @@ def constant_check(df: DataFrame, target: str) -> DataFrame:
 def leakage_checks(df: DataFrame, target: str) -> DataFrame:
     """A warning for every number column that nearly equals the target."""
     names = [c for c in S.numeric_columns(df) if c != target][:CHECKED_COLUMNS]
-    row = profile.pair_correlations(df, [(c, target) for c in names])
-    checks = [
-        (F.abs(F.col(f"r{i}")) > LEAK_LIMIT, "warning", "leakage",
-         F.concat(F.lit(f"Column '{c}' has "), F.format_string("%.3f", F.round(F.abs(F.col(f"r{i}")), 3)), F.lit(" correlation with the target")))
-        for i, c in enumerate(names)
-    ]
-    return _fired(row, checks)
+    found = np.abs(correlations(df, [*names, target])[:-1, -1])
+    rows = [("warning", "leakage", f"Column '{c}' has {r:.3f} correlation with the target") for c, r in zip(names, found) if r > LEAK_LIMIT]
+    return S.small_frame(df.sparkSession, rows, "level string, code string, message string")
 
 
 def id_checks(df: DataFrame, target: str) -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
-from gridmill.functions.quantiles import SMALL_ROWS, grouped_quantile, value_at_rank
+from gridmill.functions.quantiles import grouped_quantile, value_at_rank
 from gridmill.functions.semantics import col
 from gridmill.operators.clean import duplicate_count
 from gridmill.operators.profile import completeness, distinct_counts
 from gridmill.operators.typing import detect_kpi_roles
 
+SMALL_ROWS = 1_000_000  # rows that one window may number
+
+
 # --- grouped aggregates -----------------------------------------------------
 
 def aggregate(df: DataFrame, keys: Sequence[str], value: str, agg: str = "sum", name: str = "value") -> DataFrame:

@@ -8,12 +8,14 @@ values of all columns together).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmill.functions import semantics as S
+from gridmill.functions.pairs import correlations
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
 
@@ -33,10 +35,24 @@ def value_counts_long(df: DataFrame, columns: Sequence[str], missing_as_text: bo
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n_unique); a column without values counts 0."""
+    """(column, n_unique); a column without values counts 0.
+
+    Columns are counted together in their own kind: whole numbers and floats
+    are shuffled as numbers, everything else as text.
+    """
     if not columns:
         return S.small_frame(df.sparkSession, [], "column string, n_unique bigint")
-    found = value_counts_long(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        dt = df.schema[c].dataType
+        whole = isinstance(dt, T.IntegralType)
+        kinds.setdefault("bigint" if whole else "double" if isinstance(dt, T.FractionalType) and not isinstance(dt, T.DecimalType) else "string", []).append(c)
+    found = None
+    for kind, names in kinds.items():
+        entries = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(kind).alias("value")) for c in names])
+        tall = df.select(F.inline(entries)).filter(F.col("value").isNotNull()).distinct()
+        part = tall.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        found = part if found is None else found.unionByName(part)
     names = _names(df, columns)
     return names.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_unique"))
 
@@ -140,7 +156,11 @@ def profile_columns(df: DataFrame, style: str = "preview", max_columns: int = 30
         },
     )
     medians = column_quantiles(df, numeric, [0.5])
-    tops = top_values(df, columns)
+    others = [c for c in columns if c not in numeric]
+    tops = top_values(df, others)
+    if numeric:
+        blank = [F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("count")]
+        tops = tops.unionByName(distinct_counts(df, numeric).select("column", *blank, "n_unique"))
     median = F.lit(None).cast("double")
     for c in numeric:
         median = F.when(F.col("column") == c, F.lit(medians[c][0]).cast("double")).otherwise(median)
@@ -225,17 +245,63 @@ def planner_profile(df: DataFrame, dataset: str = "table", dates: Sequence[str]
 def ml_numeric_profile(df: DataFrame, max_columns: int = 25) -> DataFrame:
     """(column, min, max, mean, std, missing_pct, skew, outlier_rate) of numbers."""
     names = S.numeric_columns(df)[:max_columns]
-    q = column_quantiles(df, names, [0.25, 0.75])
-    stats = {
-        "min": _number(F.min, df, 3),
-        "max": _number(F.max, df, 3),
-        "mean": _number(S.mean, df, 3),
-        "std": _number(S.sample_std, df, 3),
-        "missing_pct": _share_missing(1),
-        "skew": lambda c: F.round(F.coalesce(S.skew(col(c)), F.lit(0.0)), 2),
-        "outlier_rate": lambda c: F.round(_outlier_rate(col(c), *q[c]), 3),
-    }
-    return _tall_stats(df, names, stats).filter(F.col("mean").isNotNull())
+    facts = shape_facts(df, names, column_quantiles(df, names, [0.25, 0.5, 0.75]))
+    rate = F.when(F.col("q3") > F.col("q1"), F.try_divide(F.col("outliers"), F.col("n"))).otherwise(0.0)
+    return facts.filter("n > 0").select(
+        "column", *[F.round(c, 3).alias(c) for c in ("min", "max", "mean", "std")],
+        F.round(F.try_divide(F.col("missing"), F.col("n") + F.col("missing")) * 100, 1).alias("missing_pct"),
+        F.round(F.coalesce("skew", F.lit(0.0)), 2).alias("skew"), F.round(rate, 3).alias("outlier_rate"),
+    )
+
+
+def shape_facts(df: DataFrame, columns: Sequence[str], quartiles: dict[str, list[float | None]]) -> DataFrame:
+    """(column, n, missing, min, max, mean, std, skew, kurtosis, q1, median, q3,
+    outliers) from one scan.
+
+    Powers are summed around the median, which lies within one deviation of the
+    mean, so plain sums are accurate and stay inside generated code where four
+    separate moment aggregates per column would not.
+    """
+    numbers = df.select(
+        *[(col(c).cast("double") - F.lit(quartiles[c][1] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)]
+    )
+    aggs, entries = [F.count(F.lit(1)).alias("rows")], []
+    for i, c in enumerate(columns):
+        x = F.col(f"x{i}")
+        q1, q2, q3 = quartiles[c]
+        shift = q2 or 0.0
+        fences = (None, None) if q1 is None else (q1 - shift, q3 - shift)
+        parts = {
+            "n": F.count(x), "s1": F.sum(x), "s2": F.sum(x * x), "s3": F.sum(x * x * x), "s4": F.sum(x * x * x * x),
+            "lo": F.min(x), "hi": F.max(x), "outliers": F.count(F.when(outside(x, *fences), 1)),
+        }
+        aggs += [a.alias(f"{k}_{i}") for k, a in parts.items()]
+        entries.append(
+            F.struct(
+                F.lit(c).alias("column"), F.lit(shift).alias("c"), *[F.lit(v).cast("double").alias(k) for k, v in zip(("q1", "median", "q3"), quartiles[c])],
+                *[F.col(f"{k}_{i}").alias(k) for k in parts],
+            )
+        )
+    tall = numbers.agg(*aggs).select("rows", F.inline(F.array(*entries)))
+    n = F.col("n").cast("double")
+    a, b, c3, d = [F.try_divide(F.col(k), n) for k in ("s1", "s2", "s3", "s4")]
+    m2 = b - a * a
+    m3 = c3 - 3 * a * b + 2 * a * a * a
+    m4 = d - 4 * a * c3 + 6 * a * a * b - 3 * a * a * a * a
+    flat = F.col("lo") == F.col("hi")
+    zero = F.lit(0.0)
+    moments = tall.withColumns({"m1": a, "m2": F.when(flat, zero).otherwise(m2), "m3": m3, "m4": m4})
+    skew = F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+    excess = F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")) - 3
+    kurtosis = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * excess + 6)
+    return moments.select(
+        "column", "n", (F.col("rows") - F.col("n")).alias("missing"),
+        (F.col("lo") + F.col("c")).alias("min"), (F.col("hi") + F.col("c")).alias("max"), (F.col("m1") + F.col("c")).alias("mean"),
+        F.sqrt(F.col("m2") * F.try_divide(n, n - 1)).alias("std"),
+        F.when(n > 2, F.when(flat, zero).otherwise(skew)).alias("skew"),
+        F.when(n > 3, F.when(flat, zero).otherwise(kurtosis)).alias("kurtosis"),
+        "q1", "median", "q3", "outliers",
+    )
 
 
 def outside(c: Column, q1: float | None, q3: float | None) -> Column:
@@ -247,12 +313,6 @@ def outside(c: Column, q1: float | None, q3: float | None) -> Column:
     return (c.cast("double") < F.lit(q1 - spread)) | (c.cast("double") > F.lit(q3 + spread))
 
 
-def _outlier_rate(c: Column, q1: float | None, q3: float | None) -> Column:
-    if q1 is None or q3 - q1 <= 0:
-        return F.lit(0.0)
-    return F.try_divide(F.count(F.when(outside(c, q1, q3), 1)), F.count(c))
-
-
 def ml_categorical_profile(df: DataFrame, skip: Sequence[str] = (), max_columns: int = 25) -> DataFrame:
     """(column, n_unique, cardinality, missing_pct, top_value) of text and booleans.
 
@@ -325,80 +385,22 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
 def eda_stats(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = 12) -> DataFrame:
     """One row per number column: centre, spread, quartiles, shape, outliers."""
     names = list(columns or S.numeric_columns(df)[:max_columns])
-    q = column_quantiles(df, names, [0.25, 0.5, 0.75])
-    at = {c: dict(zip(("q1", "median", "q3"), q[c])) for c in names}
-    stats = {
-        "mean": _number(S.mean, df, 4),
-        "median": lambda c: F.round(F.lit(at[c]["median"]).cast("double"), 4),
-        "std": _number(S.sample_std, df, 4),
-        "min": _number(F.min, df, 4),
-        "max": _number(F.max, df, 4),
-        "q1": lambda c: F.round(F.lit(at[c]["q1"]).cast("double"), 4),
-        "q3": lambda c: F.round(F.lit(at[c]["q3"]).cast("double"), 4),
-        "skew": lambda c: F.round(S.skew(col(c)), 4),
-        "kurtosis": lambda c: F.round(S.kurt(col(c)), 4),
-        "missing": _missing,
-        "outliers": lambda c: F.count(F.when(outside(col(c), at[c]["q1"], at[c]["q3"]), 1)),
-    }
-    return _tall_stats(df, names, stats)
-
-
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row with a column ``r<i>`` per pair: Pearson over rows where both are
-    present, null when one side does not vary there.
-
-    Columns are shifted by their mean first (one cheap pass), so plain sums are
-    accurate; a pair without missing values then needs one product sum only.
-    """
-    names = sorted({c for p in pairs for c in p})
-    head = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", F.count), ("m", F.avg))],
-    ).first()
-    place = {c: i for i, c in enumerate(names)}
-    whole = {c: head[f"n{i}"] == head["n"] for c, i in place.items()}
-    shifted = df.select(
-        *[(col(c).cast("double") - F.lit(head[f"m{i}"] or 0.0)).alias(f"x{i}") for c, i in place.items()]
-    )
-    aggs: dict[str, Column] = {}
-
-    def total(x: Column, name: str) -> Column:
-        aggs.setdefault(name, F.sum(x).alias(name))
-        return F.col(name)
-
-    results = []
-    for i, (cx, cy) in enumerate(pairs):
-        ix, iy = place[cx], place[cy]
-        x, y = F.col(f"x{ix}"), F.col(f"x{iy}")
-        if whole[cx] and whole[cy]:
-            n = F.lit(float(head["n"]))
-            sums = [total(x, f"s{ix}"), total(y, f"s{iy}"), total(x * x, f"q{ix}"), total(y * y, f"q{iy}")]
-        else:
-            both = x.isNotNull() & y.isNotNull()
-            n = total(F.when(both, 1.0), f"n{i}")
-            sums = [total(F.when(both, v), f"{k}{i}") for k, v in (("a", x), ("b", y), ("c", x * x), ("d", y * y))]
-        sx, sy, sxx, syy = sums
-        sxy = total(x * y, f"p{min(ix, iy)}_{max(ix, iy)}")
-        varies = lambda s, q: q - s * s / n > 1e-12 * q  # noqa: E731,B023
-        r = F.try_divide(sxy - sx * sy / n, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
-        results.append(F.when((n > 1) & varies(sx, sxx) & varies(sy, syy), r).alias(f"r{i}"))
-    return shifted.agg(*aggs.values()).select(*results)
+    facts = shape_facts(df, names, column_quantiles(df, names, [0.25, 0.5, 0.75]))
+    shown = ("mean", "median", "std", "min", "max", "q1", "q3", "skew", "kurtosis")
+    return facts.select("column", *[F.round(c, 4).alias(c) for c in shown], "missing", "outliers")
 
 
 def corr_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4, max_columns: int = 10
 ) -> DataFrame:
-    """(x, y, r) for every ordered pair of columns, from one aggregation."""
+    """(x, y, r) for every ordered pair of columns, null without variation."""
     names = list(columns or S.numeric_columns(df))[:max_columns]
-    pairs = [(names[i], names[j]) for i, j in combinations(range(len(names)), 2)]
-    pairs += [(c, c) for c in names]
-    at = {frozenset(p): i for i, p in enumerate(pairs)}
-    cells = [
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.round(F.col(f"r{at[frozenset((x, y))]}"), digits).alias("r"))
-        for x in names
-        for y in names
+    r = correlations(df, names)
+    rows = [
+        (x, y, None if np.isnan(r[i, j]) else float(r[i, j])) for i, x in enumerate(names) for j, y in enumerate(names)
     ]
-    return pair_correlations(df, pairs).select(F.inline(F.array(*cells)))
+    cells = S.small_frame(df.sparkSession, rows, "x string, y string, r double")
+    return cells.withColumn("r", F.round("r", digits))
 
 
 def category_distributions(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, max_columns: int = 6) -> DataFrame:

@@ -36,7 +36,7 @@ def test_column_quantiles(skewed, monkeypatch):
 
 def test_grouped_quantile_with_a_hot_group(skewed, monkeypatch):
     pdf, df = skewed
-    monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
+    monkeypatch.setattr(quantiles, "SMALL_GROUP_ROWS", 0)
     got = {r["g"]: r["quantile"] for r in quantiles.grouped_quantile(df, ["g"], "v", 0.9).collect()}
     assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.9).to_dict())
 
@@ -44,11 +44,43 @@ def test_grouped_quantile_with_a_hot_group(skewed, monkeypatch):
 def test_a_poor_sketch_changes_nothing(skewed, monkeypatch):
     pdf, df = skewed
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 3)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 6)
     got = quantiles.column_quantiles(df, ["v"], [0.25, 0.5, 0.75])
     assert got["v"] == pytest.approx(pdf["v"].quantile([0.25, 0.5, 0.75]).tolist())
 
 
+def test_wide_brackets_are_narrowed(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 300)
+    got = quantiles.column_quantiles(df, ["v", "id"], [0.1, 0.5, 0.9])
+    for c in ("v", "id"):
+        assert got[c] == pytest.approx(pdf[c].quantile([0.1, 0.5, 0.9]).tolist())
+
+
+def test_a_sample_that_misses_the_rank(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
+    aim = quantiles._Bracket.aim
+
+    def wrong(self, sample, below, inside):
+        aim(self, sample, below, inside)
+        self.low, self.high = 1e6, 2e6
+
+    monkeypatch.setattr(quantiles._Bracket, "aim", wrong)
+    got = quantiles.column_quantiles(df, ["v"], [0.25, 0.5])
+    assert got["v"] == pytest.approx(pdf["v"].quantile([0.25, 0.5]).tolist())
+
+
+def test_grouped_quantile_with_a_poor_sketch(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(quantiles, "SMALL_GROUP_ROWS", 0)
+    monkeypatch.setattr(quantiles, "GROUP_SKETCH_ACCURACY", 3)
+    got = {r["g"]: r["quantile"] for r in quantiles.grouped_quantile(df, ["g"], "v", 0.3).collect()}
+    assert got == pytest.approx(pdf.groupby("g")["v"].quantile(0.3).to_dict())
+
+
 def test_positions_with_a_hot_key(skewed, monkeypatch):
     pdf, df = skewed
     monkeypatch.setattr(positions, "SMALL_GROUP_ROWS", 0)
