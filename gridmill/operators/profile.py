@@ -38,7 +38,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_unique); a column without values counts 0.
 
     Columns are counted together in their own kind: whole numbers and floats
-    are shuffled as numbers, everything else as text.
+    are shuffled as numbers, everything else as text. Of a long text only its
+    128-bit digest travels.
     """
     if not columns:
         return S.small_frame(df.sparkSession, [], "column string, n_unique bigint")
@@ -49,7 +50,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         kinds.setdefault("bigint" if whole else "double" if isinstance(dt, T.FractionalType) and not isinstance(dt, T.DecimalType) else "string", []).append(c)
     found = None
     for kind, names in kinds.items():
-        entries = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(kind).alias("value")) for c in names])
+        value = _brief if kind == "string" else (lambda v: v)
+        entries = F.array(*[F.struct(F.lit(c).alias("column"), value(col(c).cast(kind)).alias("value")) for c in names])
         tall = df.select(F.inline(entries)).filter(F.col("value").isNotNull()).distinct()
         part = tall.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
         found = part if found is None else found.unionByName(part)
@@ -57,6 +59,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return names.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_unique"))
 
 
+def _brief(text: Column) -> Column:
+    return F.when(F.length(text) > 64, F.concat(F.lit("#"), F.md5(text))).otherwise(text)
+
+
 def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, count, n_unique): the most frequent value, smallest on ties."""
     if not columns:

@@ -205,14 +205,14 @@ def _(spark, sf):
     return out.select("s_acctbal", "s_name", "s_nationkey", "s_suppkey")
 
 
-@register("s11_dispatch", "SELECT 'parquet' AS kind, count(*) AS n FROM region UNION ALL SELECT 'csv', count(*) FROM nation UNION ALL SELECT 'json', count(*) FROM region")
+@register("s11_dispatch", "SELECT 'parquet' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'csv', count(*) FROM customer UNION ALL SELECT 'json', count(*) FROM supplier")
 def _(spark, sf):
     root = scratch_path(spark, "any")
-    load(spark, sf, "nation").write.option("header", "true").csv(f"{root}/a")
-    load(spark, sf, "region").select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/b")
+    load(spark, sf, "customer").write.option("header", "true").csv(f"{root}/a")
+    documents = _documents(spark, sf, "supplier", lambda df: F.to_json(F.collect_list(F.struct(*df.columns))))
     parts = [
-        ("parquet", tables.read_table(spark, f"{sf}/region.parquet")), ("csv", tables.read_table(spark, f"{root}/a")),
-        ("json", spark.read.json(f"{root}/b")),
+        ("parquet", tables.read_table(spark, f"{sf}/orders.parquet")), ("csv", tables.read_table(spark, f"{root}/a")),
+        ("json", tables.read_table(spark, documents, "json")),
     ]
     out = None
     for kind, df in parts:
@@ -232,19 +232,20 @@ def _(spark, sf):
     return tables.row_count(load(spark, sf, "lineitem"))
 
 
-@register("s14_normalize_columns", "SELECT r_regionkey AS region_key, r_name AS region_name, r_name AS region_name_2 FROM region")
+@register("s14_normalize_columns", "SELECT c_custkey AS cust_key, c_name AS cust_name, c_mktsegment AS cust_name_2 FROM customer")
 def _(spark, sf):
-    r = load(spark, sf, "region").select(
-        F.col("r_regionkey").alias(" Region Key"), F.col("r_name").alias("Region Name"), F.col("r_name").alias("region_name ")
+    c = load(spark, sf, "customer").select(
+        F.col("c_custkey").alias(" Cust Key"), F.col("c_name").alias("Cust Name"), F.col("c_mktsegment").alias("cust_name ")
     )
-    return tables.normalize_columns(r, "lower")
+    return tables.normalize_columns(c, "lower")
 
 
-@register("k01_export_csv", "SELECT * FROM nation")
+@register("k01_export_csv", "SELECT * FROM customer")
 def _(spark, sf):
     path = scratch_path(spark, "out")
-    sinks.export_csv(load(spark, sf, "nation"), path)
-    return spark.read.option("header", "true").schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+    df = load(spark, sf, "customer")
+    sinks.export_csv(df, path)
+    return spark.read.option("header", "true").schema(df.schema).csv(path)
 
 
 @register(

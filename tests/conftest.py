@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from gridmill.session import local_session
 
-    return local_session(8)
+    return local_session(8, shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")
