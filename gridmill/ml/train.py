@@ -196,9 +196,11 @@ def permutation_importance(
 
 
 def _task(df: DataFrame, target: str, algo: dict, date: str | None) -> tuple[str, str]:
-    row = typing.infer_task(df, target, date).first()
     if algo["task"] == "time_series":
         return "time_series", "regression"
+    if date is None and algo["task"] in ("regression", "classification"):
+        return algo["task"], algo["task"]
+    row = typing.infer_task(df, target, date).first()
     if algo["task"] in ("regression", "classification"):
         return algo["task"] if row["task"] != "time_series" else row["task"], algo["task"]
     return row["task"], row["problem_type"]
@@ -258,7 +260,8 @@ def train(
     fitted = _fit(fit_rows, target, algo_id, params, problem, classes, weights, dates)
     result.fitted = fitted
     result.metrics = _rounded(_scores(fitted, test_rows, binary_auc=True))
-    result.n_train, result.n_test = fit_rows.count(), test_rows.count()
+    sizes = {r["is_test"]: r["count"] for r in marked.groupBy("is_test").count().collect()}
+    result.n_train, result.n_test = sizes.get(False, 0), sizes.get(True, 0)
     if repeats:
         rows = permutation_importance(fitted, test_rows, repeats, key=key).collect()
         result.importance = [(r["feature"], r["importance"]) for r in rows]
