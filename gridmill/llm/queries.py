@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import pieces
+from gridmill.llm import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, quality_rules, sharding, toxicity, url_filters
 from gridmill.llm.registry import query, table
+from gridmill.session import scratch_path
 
 
 def tokenizer_model() -> bytes:
@@ -30,3 +31,95 @@ def piece_digests(docs: DataFrame) -> DataFrame:
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return piece_digests(table(spark, sf, "documents"))
+
+
+SHARDS = 16
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in 16 shards of near equal bytes; ``slot`` is the place in the shard, ``virtual_slot`` the hashed slot."""
+    text = F.col("text")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
+    rows = table(spark, sf, "documents").select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    slot_map = sharding.rebalance(rows, "doc_id", F.col("size"), SHARDS, scratch_path(spark, "slot-map"))
+    done = sharding.placed(rows, "doc_id", F.col("size"), slot_map, [], place="slot")
+    return done.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
+    )
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op8_line_dedup", line_dedup.SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select(*line_dedup.digests(done))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
+URL_RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+)
+
+
+@query("op3_url_filters")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages judged by the rules, else by association rules.
+
+    Labelled URLs are those that a rule judges, and those whose path names a labelled document after the
+    language: block for low quality or toxic ones.
+    """
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    url = F.col("url")
+    _, said = url_filters.by_hand(url_filters.host_of(url), url_filters.path_of(url), URL_RULES)
+    number = F.regexp_extract(url_filters.path_of(url), r"^/[a-z]{2}/([0-9]{1,18})(?:[/.]|$)", 1)
+    named = pages.select("url", said.alias("said"), number.try_cast("bigint").alias("doc_id"))
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    judged = F.when(bad, "block").when(F.col("quality").isNotNull(), "allow")
+    labelled = named.join(labels, "doc_id", "left").select("url", F.coalesce("said", judged).alias("label"))
+    return url_filters.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(docs, table(spark, sf, "labels"))
+    return quality_rules.judged(docs, rules, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_id.fit(docs.filter(fold != 2).select("text", "lang"))
+    rows = docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain over the categories that ``labels`` has: low quality first, then toxic."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chain = toxicity.fit(docs, table(spark, sf, "labels"), categories)
+    return toxicity.predict(docs, chain).select(
+        "doc_id", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"), "p_low_quality", "is_low_quality"
+    )
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf, "documents").select("doc_id", "text"))
