@@ -42,13 +42,14 @@ class _Bracket:
     low: float = -math.inf
     high: float = math.inf
     expected: float = math.inf  # rows thought to be inside
+    missed: bool = False  # by a sample; the whole column is looked through then
 
     @property
     def ranks(self) -> tuple[int, int]:
         return math.floor(self.rank), math.ceil(self.rank)
 
     def reopen(self) -> None:
-        self.low, self.high, self.expected = -math.inf, math.inf, float(self.total)
+        self.low, self.high, self.expected, self.missed = -math.inf, math.inf, float(self.total), True
 
     def aim(self, sample: np.ndarray, below: int, inside: int) -> None:
         """Set the ends six standard errors around the rank within a sorted
@@ -87,16 +88,22 @@ def column_quantiles(
     return out
 
 
+def _number(column: str) -> Column:
+    """The column as double; NaN counts as missing."""
+    number = col(column).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def _by_aggregate(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     array = F.array(*[F.lit(p) for p in probs])
-    row = df.agg(*[F.percentile(col(c).cast("double"), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.percentile(_number(c), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
     return {
         c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i, c in enumerate(columns)
     }
 
 
 def _by_brackets(df: DataFrame, columns: list[str], probs: list[float], n: int) -> dict[str, list[float | None]]:
-    numbers = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
     sizes = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
     sample = numbers.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), SEED).toPandas()
     brackets = []
@@ -120,6 +127,8 @@ def _by_brackets(df: DataFrame, columns: list[str], probs: list[float], n: int)
             else:
                 out[columns[b.column]][b.place] = lo + (hi - lo) * (b.rank - b.ranks[0])
         todo = [b for b in todo if out[columns[b.column]][b.place] is None]
+    if todo:
+        raise RuntimeError(f"no quantile found for {sorted({columns[b.column] for b in todo})}")
     return out
 
 
@@ -160,7 +169,7 @@ def _look_up(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, in
 def _narrow(numbers: DataFrame, brackets: list[_Bracket]) -> None:
     """Sample again inside brackets that are expected to hold very many rows."""
     for _ in range(_MAX_ROUNDS):
-        wide = [b for b in brackets if b.expected > BRACKET_ROWS and b.low < b.high]
+        wide = [b for b in brackets if b.expected > BRACKET_ROWS and b.low < b.high and not b.missed]
         if not wide:
             return
         where = [(b.column, b.low, b.high, min(1.0, SAMPLE_ROWS / len(wide) / b.expected)) for b in wide]
@@ -203,10 +212,10 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
     largest = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= SMALL_GROUP_ROWS:
         return df.groupBy(*[col(k) for k in keys]).agg(
-            F.percentile(col(value).cast("double"), F.lit(float(p))).alias(name)
+            F.percentile(_number(value), F.lit(float(p))).alias(name)
         )
     found = ranked_quantiles(
-        df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()),
+        df.select(*[col(k) for k in keys], _number(value).alias("__v")).filter(F.col("__v").isNotNull()),
         keys,
         "__v",
         [p],

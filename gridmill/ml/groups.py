@@ -198,12 +198,13 @@ def isolation_forest(df: DataFrame, key: str, trees: int = 100, seed: int = S.SE
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("k").head(TREE_ROWS)
+        pdf = pdf.sort_values(["turn", "k"]).head(TREE_ROWS)
         x = np.stack(pdf["x"].to_numpy())
         nodes = _grow(x, np.random.RandomState(seed + tree), int(np.ceil(np.log2(max(len(x), 2)))))
         return pd.DataFrame({"tree": [tree], "rows": [len(x)], "nodes": [json.dumps(nodes)]})
 
     # the sample per tree is bounded by the pick rate; a slight surplus is cut inside
+    picked = picked.withColumn("turn", F.xxhash64("k", "tree", F.lit(seed)))  # a surplus row goes by hash, not by key
     grown = picked.groupBy("tree").applyInPandas(grow, "tree bigint, rows bigint, nodes string").collect()
     forest = [(np.array(json.loads(r["nodes"])), r["rows"]) for r in grown]
     shared = df.sparkSession.sparkContext.broadcast(forest)

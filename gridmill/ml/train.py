@@ -93,6 +93,14 @@ class Result:
     fitted: Fitted | None = None
 
 
+def _class_counts(df: DataFrame, target: str) -> dict:
+    """Rows by class; more than ``MAX_CLASSES`` classes are an error, never cut."""
+    found = prep.class_distribution(df, target).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise TrainingError(f"more than {MAX_CLASSES} classes")
+    return {r["label"]: r["n"] for r in found}
+
+
 def _labelled(df: DataFrame, target: str, classes: list | None) -> DataFrame:
     if classes is None:
         return df.withColumn("label", col(target).cast("double"))
@@ -229,10 +237,7 @@ def train(
     task, problem = _task(df, target, algo, date)
     classes = None
     if problem == "classification":
-        found = prep.class_distribution(df, target).limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise TrainingError(f"more than {MAX_CLASSES} classes")
-        counts = {r["label"]: r["n"] for r in found}
+        counts = _class_counts(df, target)
         classes = sorted(counts)
     if task == "time_series" and date:
         df = timeagg.prepare_time_series(df, date, target, by=by, tiebreak=key if isinstance(key, str) else None)
@@ -290,7 +295,7 @@ def tune(
     if method == "random" and len(settings) > draws:
         pick = np.random.RandomState(S.SEED).permutation(len(settings))[:draws]
         settings = [settings[i] for i in sorted(pick)]
-    classes = sorted(r["label"] for r in prep.class_distribution(df, target).limit(MAX_CLASSES + 1).collect()) if problem == "classification" else None
+    classes = sorted(_class_counts(df, target)) if problem == "classification" else None
     marked = prep.stratified_split(df, target, key=key) if classes else prep.split(df, key=key)
     fit_rows, test_rows = marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
     dates = typing.date_columns(df.drop(target)) + ([key] if isinstance(key, str) else [])

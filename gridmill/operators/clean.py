@@ -94,7 +94,8 @@ def filter_rows(df: DataFrame, column: str, predicate: str) -> DataFrame:
     S.require(df, column)
     if not any(p.fullmatch(predicate) for p in _PREDICATES):
         raise EditError(f"predicate not understood: {predicate!r}")
-    text = predicate.replace("[", "(").replace("]", ")") if "in" in predicate.lower().split("(")[0].split("[")[0] else predicate
+    listed = re.fullmatch(r"(\s*(?:not\s+)?in\s*)\[(.*)\](\s*)", predicate, re.IGNORECASE | re.DOTALL)
+    text = f"{listed[1]}({listed[2]}){listed[3]}" if listed else predicate
     return df.filter(F.expr(f"{S.ident(column)} {text}"))
 
 

@@ -117,45 +117,69 @@ def kpis(df: DataFrame, roles: dict[str, str] | None = None, growth: float | Non
 def period_growth(df: DataFrame, date: str, value: str, tiebreak: str | None = None) -> DataFrame:
     """One row (n_rows, first_half, second_half, growth_pct).
 
-    Rows are cut in two halves by date order. Only the rows of the one date on
-    the cut need an order among themselves: sums per date settle all others,
-    and the cut inside that date is a rank threshold on the tie-break column.
+    Rows are cut in two halves in the total order (date, tie-break, value), nulls first. Rows that are
+    equal in all three are interchangeable, so the answer does not depend on how the cut is found: by position in
+    small inputs, else one key at a time, which orders only the rows that the keys before leave on the cut.
     """
     if tiebreak:
         S.require_numeric(df, tiebreak)
     flat = df.select(
         S.time_col(df, date).alias("d"),
-        col(value).alias("v"),
-        (col(tiebreak) if tiebreak else S.row_digest(df)).alias("t"),
+        _nan_as_null(df, value).alias("v"),
+        (_nan_as_null(df, tiebreak) if tiebreak else S.row_digest(df)).alias("t"),
     ).filter(F.col("d").isNotNull())
     rows = flat.count()
     half = rows // 2
     if rows <= SMALL_ROWS:
-        place = F.row_number().over(Window.orderBy("d", "t"))
-        return _halves(flat.withColumn("first", place <= half))
-    per_day = flat.groupBy(F.date_trunc("day", "d").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        place = F.row_number().over(Window.orderBy("d", "t", "v"))
+        return _halves(flat, place <= half, None, 0)
+    before, cut, left = _day_cut(flat, half)
+    for name in ("d", "t", "v"):
+        key = F.unix_micros("d") if name == "d" else F.col(name)
+        here = flat.filter(cut).select(key.alias("k"))
+        nulls = here.filter("k IS NULL").count()
+        if left < nulls:
+            cut = cut & key.isNull()
+            continue
+        known = here.filter("k IS NOT NULL")
+        at = value_at_rank(known, "k", left - nulls, known.count())
+        less = key.isNull() | (key < F.lit(at))
+        left -= nulls + known.filter(F.col("k") < F.lit(at)).count()
+        before, cut = before | (cut & less), cut & (key == F.lit(at))
+    # null comparisons count as false
+    return _halves(flat, F.coalesce(before, F.lit(False)), F.coalesce(cut, F.lit(False)), left)
+
+
+def _nan_as_null(df: DataFrame, name: str) -> Column:
+    kind = dict(df.dtypes)[name]
+    return F.when(~F.isnan(col(name)), col(name)) if kind in ("double", "float") else col(name)
+
+
+def _day_cut(flat: DataFrame, half: int) -> tuple[Column, Column, int]:
+    """Rows before the day on the cut, rows of that day, and how many of the latter belong to the first half."""
+    day = F.date_trunc("day", "d")
+    per_day = flat.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
     # one row per calendar day, so the running count stays small
     upto = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    cut_day = per_day.withColumn("end", upto).filter((F.col("end") > half) & (F.col("end") - F.col("n") <= half)).first()
-    day_start = cut_day["end"] - cut_day["n"]
-    in_day = flat.filter(F.date_trunc("day", "d") == F.lit(cut_day["day"]))
-    # the instant on the cut inside that day, then the tie-break value on the cut
-    micros = in_day.withColumn("u", F.unix_micros("d"))
-    u = value_at_rank(micros, "u", half - day_start, cut_day["n"])
-    at_cut = micros.filter(F.col("u") == F.lit(u))
-    counts = micros.agg(F.count(F.when(F.col("u") < F.lit(u), 1)).alias("below"), F.count(F.when(F.col("u") == F.lit(u), 1)).alias("at")).first()
-    t = value_at_rank(at_cut, "t", half - day_start - counts["below"], counts["at"])
-    moment = F.unix_micros("d")
-    first = (moment < F.lit(u)) | ((moment == F.lit(u)) & (F.col("t") < F.lit(t)))
-    return _halves(flat.withColumn("first", first))
-
-
-def _halves(flat: DataFrame) -> DataFrame:
-    halves = flat.agg(
+    found = per_day.withColumn("end", upto).filter((F.col("end") > half) & (F.col("end") - F.col("n") <= half)).first()
+    if found is None:
+        return F.lit(False), F.lit(False), 0
+    return day < F.lit(found["day"]), day == F.lit(found["day"]), half - (found["end"] - found["n"])
+
+
+def _halves(flat: DataFrame, first: Column, cut: Column | None, of_cut: int) -> DataFrame:
+    """Sums of both halves; of the equal rows in ``cut``, ``of_cut`` belong to the first."""
+    on_cut = F.lit(False) if cut is None else cut
+    marked = flat.withColumns({"first": first, "cut": on_cut})
+    sums = marked.agg(
         F.count(F.lit(1)).alias("n_rows"),
         S.total(F.when(F.col("first"), F.col("v"))).alias("a"),
-        S.total(F.when(~F.col("first"), F.col("v"))).alias("b"),
+        S.total(F.when(~F.col("first") & ~F.col("cut"), F.col("v"))).alias("b"),
+        F.count(F.when(F.col("cut"), 1)).alias("on_cut"),
+        F.max(F.when(F.col("cut"), F.col("v"))).cast("double").alias("each"),
     )
+    share = lambda n: F.coalesce(F.col("each"), F.lit(0.0)) * n
+    halves = sums.withColumns({"a": F.col("a") + share(F.lit(of_cut)), "b": F.col("b") + share(F.col("on_cut") - of_cut)})
     change = F.when(F.col("a") > 0, F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 2))
     return halves.select(
         "n_rows", F.round("a", 2).alias("first_half"), F.round("b", 2).alias("second_half"), change.alias("growth_pct")

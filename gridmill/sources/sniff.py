@@ -17,6 +17,11 @@ def _lines(spark: SparkSession, path: str, first: int | None) -> DataFrame:
     return lines.limit(first) if first else lines
 
 
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the files below a path that have a line."""
+    return _lines(spark, path, None).select("file").distinct()
+
+
 def sniff_delimiter(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """(file, delimiter, fields, share): the most consistent separator per file.
 
@@ -84,9 +89,11 @@ def typed(df: DataFrame) -> DataFrame:
     if not names:
         return df
     kinds = ("bigint", "double", "boolean")
+    # Spark also casts t, y, 1 and the like to boolean; only the two words are one
+    fits = lambda c, k: F.lower(F.trim(col(c))).isin("true", "false") if k == "boolean" else col(c).try_cast(k).isNotNull()
     row = df.agg(
         *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.count(col(c).try_cast(k)).alias(f"{k}{i}") for i, c in enumerate(names) for k in kinds],
+        *[F.count(F.when(fits(c, k), 1)).alias(f"{k}{i}") for i, c in enumerate(names) for k in kinds],
     ).first()
     chosen = {}
     for i, c in enumerate(names):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,17 +73,61 @@ def read_delimited(
     """Header row, inferred types; rows with too many fields are left out, rows
     with too few are padded with nulls.
 
+    Without ``sep`` or ``encoding`` every file is looked at as a whole. Files of
+    one format are read together, and formats are put together by column name.
+
     ``multiline`` allows line breaks inside quotes, at the price of one task per
     file. ``keep_rejected`` keeps the long rows, marked in ``_rejected``.
     """
-    if encoding is None:
-        found = sniff.sniff_encoding(spark, path, first=None if multiline else 1000).first()
-        encoding = found["encoding"] if found else "utf-8"
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if sep is not None and encoding is not None:
+        return _read_one_format(spark, path, sep, encoding, schema, multiline, keep_rejected)
+    formats = sniff.sniff_encoding(spark, path) if encoding is None else sniff.files_of(spark, path).withColumn("encoding", F.lit(encoding))
+    if sep is None:
+        found = sniff.sniff_delimiter(spark, path).select(F.col("file").alias("_f"), "delimiter")
+        formats = formats.join(found, F.col("file") == F.col("_f"), "left")
+    else:
+        formats = formats.withColumn("delimiter", F.lit(sep))
+    # lines of two-byte text cannot be cut at a separator before decoding
+    delimiter = F.when(F.col("encoding").startswith("utf-16"), F.lit(sep or ",")).otherwise(F.coalesce("delimiter", F.lit(",")))
+    groups = _files_by(formats.select("file", delimiter.alias("sep"), "encoding"), path, "sep", "encoding")
+    parts = [
+        _read_one_format(spark, files, k["sep"], k["encoding"], schema, multiline, keep_rejected)
+        for k, files in groups or [({"sep": sep or ",", "encoding": encoding or "utf-8"}, path)]
+    ]
+    return _put_together(parts)
+
+
+def _files_by(formats: DataFrame, path: str, *keys: str) -> list[tuple[dict, str | list[str]]]:
+    """The files of each format; ``path`` itself where all files have one."""
+    kinds = formats.select(*keys).distinct().orderBy(*keys).collect()
+    if len(kinds) == 1:
+        return [(kinds[0].asDict(), path)]
+    out = []
+    for kind in kinds:
+        same = functools.reduce(lambda a, b: a & b, [F.col(k) == F.lit(kind[k]) for k in keys])
+        names = [r[0] for r in formats.filter(same).select("file").orderBy("file").collect()]
+        out.append((kind.asDict(), [urllib.parse.unquote(n) for n in names]))
+    return out
+
+
+def _put_together(parts: list[DataFrame]) -> DataFrame:
+    """Union by name; a column of several types becomes double if all are numbers, else text."""
+    kinds: dict[str, set] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    mixed = {n: "double" if all(map(S.is_numeric_type, k)) else "string" for n, k in kinds.items() if len(k) > 1}
+    same = [p.withColumns({n: col(n).cast(t) for n, t in mixed.items() if n in p.columns}) for p in parts]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
+
+
+def _read_one_format(
+    spark: SparkSession, path: str | list[str], sep: str, encoding: str, schema: T.StructType | None, multiline: bool, keep_rejected: bool
+) -> DataFrame:
     if encoding.startswith("utf-16"):
         multiline = True
-    if sep is None:
-        found = sniff.sniff_delimiter(spark, path, first=50).first() if not encoding.startswith("utf-16") else None
-        sep = found["delimiter"] if found else ","
     charset = _SPARK_CHARSET.get(encoding, encoding)
     if charset == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -88,8 +135,6 @@ def read_delimited(
     base = base.option("escape", '"')
     if schema is None:
         schema = base.option("inferSchema", "true").csv(path).schema
-    elif isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
     names = schema.fieldNames()
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     rows = (
@@ -120,29 +165,38 @@ def rejected_rows(spark: SparkSession, path: str, **options) -> DataFrame:
 def read_json(spark: SparkSession, path: str, orient: str | None = None, schema=None) -> DataFrame:
     """JSON as a list of records, or laid out as split, index, columns, values.
 
-    Each file is one document. Without ``orient`` the layout is read off the
-    document; a plain object of objects counts as ``index``.
+    Each file is one document. Without ``orient`` the layout is read off each
+    document; a plain object of objects counts as ``index``. Files of different
+    layouts are put together by column name.
     """
     if orient is None:
-        orient = _json_layout(spark, path)
+        groups = _files_by(_json_layouts(spark, path), path, "layout")
+        return _put_together([_read_layout(spark, files, k["layout"], schema) for k, files in groups or [({"layout": "records"}, path)]])
+    return _read_layout(spark, path, orient, schema)
+
+
+def _read_layout(spark: SparkSession, path: str | list[str], orient: str, schema) -> DataFrame:
     if orient == "records":
         reader = spark.read.option("multiLine", "true")
         return (reader.schema(schema) if schema else reader).json(path)
-    docs = spark.read.text(path, wholetext=True)
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     if orient == "index":
         cells = docs.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("idx", "row"))
         names = _key_names(cells.select(F.explode(F.map_keys("row")).alias("k")), docs, "index")
         return sniff.typed(cells.select(*[F.col("row")[n].alias(n) for n in names]))
     if orient == "columns":
-        cells = docs.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("name", "values"))
-        tall = cells.select("name", F.explode("values").alias("idx", "v"))
+        cells = docs.select("file", F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("name", "values"))
+        tall = cells.select("file", "name", F.explode("values").alias("idx", "v"))
         names = [r[0] for r in cells.select("name").distinct().orderBy("name").collect()]
-        return sniff.typed(tall.groupBy("idx").pivot("name", names).agg(F.first("v", True)).drop("idx"))
+        return sniff.typed(tall.groupBy("file", "idx").pivot("name", names).agg(F.first("v", True)).select(*map(col, names)))
     if orient == "split":
-        doc = docs.select(F.from_json("value", "struct<columns:array<string>,data:array<array<string>>>").alias("d"))
-        names = doc.select("d.columns").first()[0]
-        rows = doc.select(F.explode("d.data").alias("r"))
-        return sniff.typed(rows.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)]))
+        doc = docs.select("file", F.from_json("value", "struct<columns:array<string>,data:array<array<string>>>").alias("d"))
+        met = doc.select("file", F.posexplode("d.columns").alias("at", "name"))
+        first = met.groupBy("name").agg(F.min(F.struct("file", "at")).alias("first")).orderBy("first")
+        names = [r[0] for r in first.select("name").collect()]
+        rows = doc.select(F.col("d.columns").alias("c"), F.explode("d.data").alias("r"))
+        value = lambda n: F.when(F.array_contains("c", n), F.get("r", (F.array_position("c", n) - 1).cast("int")))
+        return sniff.typed(rows.select(*[value(n).alias(n) for n in names]))
     if orient == "values":
         rows = docs.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
         width = rows.agg(F.max(F.size("r"))).first()[0] or 0
@@ -157,19 +211,18 @@ def _key_names(keys: DataFrame, docs: DataFrame, layout: str) -> list[str]:
     return names
 
 
-def _json_layout(spark: SparkSession, path: str) -> str:
-    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 4000).alias("h")).first()
-    text = "".join((head["h"] if head else "").split())
-    if text.startswith("[["):
-        return "values"
-    if text.startswith("["):
-        return "records"
-    doc = spark.read.text(path, wholetext=True).select(F.json_object_keys("value").alias("k")).first()
-    keys = set(doc["k"] or []) if doc else set()
-    if {"columns", "data"} <= keys:
-        return "split"
-    inner = text.split(":", 1)[1] if ":" in text else ""
-    return "index" if inner.startswith("{") else "records"
+def _json_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, layout) from the beginning and the keys of each document."""
+    value, keys = F.col("value"), F.json_object_keys("value")
+    starts = lambda pattern: F.regexp_like(value, F.lit(r"^\s*" + pattern))
+    layout = (
+        F.when(starts(r"\[\s*\["), "values")
+        .when(starts(r"\["), "records")
+        .when(F.array_contains(keys, "columns") & F.array_contains(keys, "data"), "split")
+        .when(starts(r'\{\s*"[^"]*"\s*:\s*\{'), "index")
+        .otherwise("records")
+    )
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), layout.alias("layout"))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema=None) -> DataFrame:

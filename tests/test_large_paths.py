@@ -141,3 +141,33 @@ def test_prepare_time_series_large(skewed, monkeypatch):
     monkeypatch.setattr(positions, "BLOCK_ROWS", 64)
     got = timeagg.prepare_time_series(df, "d", "v", by=["g"], tiebreak="id").orderBy("id").toPandas()
     pd.testing.assert_frame_equal(got[want.columns], want)
+
+
+@pytest.mark.parametrize("tiebreak", [True, False])
+@pytest.mark.parametrize("case", ["one date", "two dates", "nulls", "empty"])
+def test_period_growth_is_the_same_at_every_size(spark, monkeypatch, case, tiebreak):
+    rng = np.random.RandomState(5)
+    n = 0 if case == "empty" else 401
+    days = np.where(rng.rand(n) < 0.6, 1, 2) if case == "two dates" else np.ones(n)
+    values = rng.choice([1.0, 2.0, 5.0, np.nan], n)
+    rows = [
+        (f"2024-01-0{int(d)}", None if case == "nulls" and rng.rand() < 0.3 else float(v), None if case == "nulls" and rng.rand() < 0.5 else int(rng.randint(3)))
+        for d, v in zip(days, values)
+    ]
+    df = spark.createDataFrame(rows, "d string, v double, t int").withColumn("d", F.to_date("d"))
+    got = []
+    for small in (10**9, 0):
+        monkeypatch.setattr(kpi, "SMALL_ROWS", small)
+        got.append(tuple(kpi.period_growth(df, "d", "v", "t" if tiebreak else None).first()))
+    assert got[0] == got[1]
+
+
+def test_quantiles_pass_over_nan_at_every_size(spark, monkeypatch):
+    values = [float("nan") if i % 7 == 0 else None if i % 11 == 0 else float(i % 50) for i in range(900)]
+    df = spark.createDataFrame([("hot", v) for v in values], "g string, v double")
+    want = pd.Series([v for v in values if v is not None]).quantile([0.1, 0.5, 0.99, 1.0]).tolist()
+    for small in (10**9, 0):
+        monkeypatch.setattr(quantiles, "SMALL_ROWS", small)
+        monkeypatch.setattr(quantiles, "SMALL_GROUP_ROWS", small)
+        assert quantiles.column_quantiles(df, ["v"], [0.1, 0.5, 0.99, 1.0])["v"] == pytest.approx(want)
+        assert quantiles.grouped_quantile(df, ["g"], "v", 0.5).first()["quantile"] == pytest.approx(want[1])

@@ -136,3 +136,19 @@ def test_transform_zero_fill_extends_the_range(spark):
     constant = spark.createDataFrame([(5.0, 1), (5.0, 2)], "k double, n int")
     assert {r["k"] for r in clean.minmax(constant).collect()} == {5.0}
     assert {r["k"] for r in clean.standardize(constant).collect()} == {0.0}
+
+
+def test_brackets_inside_literals_stay(spark):
+    from gridmill.operators import clean
+
+    df = spark.createDataFrame([("min[1]",), ("a[1]",), ("x",)], "s string")
+    assert [r[0] for r in clean.filter_rows(df, "s", "== 'min[1]'").collect()] == ["min[1]"]
+    assert {r[0] for r in clean.filter_rows(df, "s", "in ['a[1]', 'x']").collect()} == {"a[1]", "x"}
+
+
+def test_roles_by_whole_words(spark):
+    from gridmill.operators import typing
+
+    catalog = typing.column_catalog(spark, {"t": spark.createDataFrame([(1.0, 2.0, "x", "y")], "wage double, discount double, updated string, stage string")})
+    found = {r["role"]: r["column"] for r in typing.roles_table(catalog, whole_token=True).collect()}
+    assert (found["value"], found["rate"], found["date"], found["category"]) == ("wage", "discount", "updated", "stage")

@@ -127,3 +127,35 @@ def test_database_modes():
     assert databases.MODES == {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
     with pytest.raises(ValueError):
         databases.load_jdbc(None, "jdbc:x", "t", "sometimes")
+
+
+def test_a_folder_of_mixed_separators_and_encodings(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "two.csv").write_text("b;a\né;3\nz;4\n", encoding="latin-1")
+    df = tables.read_table(spark, str(tmp_path / "*.csv"))
+    assert rows(df.select("a", "b")) == [(1, "x"), (2, "y"), (3, "é"), (4, "z")]
+
+
+def test_json_columns_of_two_files_with_the_same_index(spark, tmp_path):
+    for i in (0, 1):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"a": {"0": 10 * i, "1": 10 * i + 1}, "b": {"0": "x", "1": "y"}}))
+    df = tables.read_json(spark, str(tmp_path), orient="columns")
+    assert rows(df.select("a", "b")) == [(0, "x"), (1, "y"), (10, "x"), (11, "y")]
+
+
+def test_json_split_with_two_column_orders(spark, tmp_path):
+    (tmp_path / "0.json").write_text(json.dumps({"columns": ["a", "b"], "data": [[1, "x"]]}))
+    (tmp_path / "1.json").write_text(json.dumps({"columns": ["b", "a"], "data": [["y", 2], ["z"]]}))
+    df = tables.read_json(spark, str(tmp_path))
+    assert df.columns == ["a", "b"] and sorted(map(str, rows(df))) == ["(1, 'x')", "(2, 'y')", "(None, 'z')"]
+
+
+def test_json_files_of_two_layouts(spark, tmp_path):
+    (tmp_path / "0.json").write_text(json.dumps([{"a": 1, "b": "x"}]))
+    (tmp_path / "1.json").write_text(json.dumps({"columns": ["a", "b"], "data": [[2, "y"]]}))
+    assert rows(tables.read_json(spark, str(tmp_path)).select("a", "b")) == [(1, "x"), (2, "y")]
+
+
+def test_short_words_are_not_boolean(spark):
+    df = spark.createDataFrame([("y", "1", "True"), ("n", "y", "false")], "a string, b string, c string")
+    assert [t for _, t in sniff.typed(df).dtypes] == ["string", "string", "boolean"]
