@@ -163,7 +163,7 @@ def placed(
     require(records, key)
     kept = records.select(*without(records, [shard, place, slot]))
     names = list(kept.columns)
-    virtual, times, last = (fresh(names, n) for n in ("_slot", "_times", "_last"))
+    virtual, times, last, before = (fresh([*names, shard], n) for n in ("_slot", "_times", "_last", "_before"))
     sorts = [fresh(names, f"_order{i}") for i in range(len(order))]
     starts: list[int] = [0] * len(slot_map.shard)
     used = [0] * slot_map.shards
@@ -171,7 +171,7 @@ def placed(
         starts[s], used[d] = used[d], used[d] + slot_map.rows[s]
     spark = records.sparkSession
     rows = [(s, d, starts[s]) for s, d in enumerate(slot_map.shard) if slot_map.rows[s]]
-    where = spark.createDataFrame(rows, f"{virtual} int, {shard} int, _start bigint")  # bounded by the number of slots
+    where = spark.createDataFrame(rows, f"{virtual} int, {shard} int, {before} bigint")  # bounded by the number of slots
     counted = (
         kept.withColumns({virtual: slot_of(col(key), len(slot_map.shard)), **dict(zip(sorts, order, strict=True))})
         .groupBy(virtual, *[col(c) for c in names], *sorts)
@@ -181,6 +181,6 @@ def placed(
     ends = counted.withColumn(last, F.sum(times).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         ends.join(F.broadcast(where), virtual)
-        .withColumn(place, F.explode(F.sequence(F.col("_start") + F.col(last) - F.col(times), F.col("_start") + F.col(last) - 1)))
+        .withColumn(place, F.explode(F.sequence(F.col(before) + F.col(last) - F.col(times), F.col(before) + F.col(last) - 1)))
         .select(*[col(c) for c in names], col(virtual).alias(slot), shard, place)
     )

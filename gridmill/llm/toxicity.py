@@ -28,7 +28,8 @@ from gridmill.llm.common import fresh, without, written
 
 MAX_LABELLED = 20_000  # labelled rows that the chain is fitted on, at most about
 HASHES = 1 << 20
-TOKENS = 2048  # for each category
+TOKENS = 1024  # for each category
+MIN_CHI = 20.0  # what a few chance rows among thousands of tokens stay below
 MIN_DOCUMENTS = 3
 FOLDS = 3
 STEMS = (3, 4, 5)
@@ -153,7 +154,7 @@ def chosen(lists: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def fit(
     docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text",
-    max_labelled: int = MAX_LABELLED, tokens: int = TOKENS, folds: int = FOLDS, regularization: float = 1e-4,
+    max_labelled: int = MAX_LABELLED, tokens: int = TOKENS, folds: int = FOLDS, regularization: float = 1e-3,
 ) -> Chain:
     """Fit the chain; ``categories`` names the conditions on ``labels`` in chain order.
 
@@ -219,7 +220,7 @@ def fitted(x, ends, earlier: list[np.ndarray], y: np.ndarray, use: np.ndarray, w
 
 
 def telling(rows: DataFrame, names: list[str], most: int) -> list[int]:
-    """The tokens of highest chi square for each label, at most ``most`` a label, that occur in enough rows."""
+    """The tokens of highest chi square for each label, at most ``most`` a label, that occur in enough rows and tell enough."""
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
     if not totals["n"]:
         return []
@@ -237,7 +238,7 @@ def telling(rows: DataFrame, names: list[str], most: int) -> list[int]:
         expected = F.col("n") * yes / n
         off = F.coalesce(F.col(name), F.lit(0.0)) - expected
         chi = off * off * (1 / expected + 1 / (F.col("n") - expected))
-        for r in seen.select("token", chi.alias("chi")).orderBy(F.col("chi").desc(), "token").limit(most).collect():
+        for r in seen.select("token", chi.alias("chi")).filter(F.col("chi") >= MIN_CHI).orderBy(F.col("chi").desc(), "token").limit(most).collect():
             found[r.token] = None
     return list(found)
 
