@@ -208,21 +208,29 @@ def _narrow(numbers: DataFrame, brackets: list[_Bracket]) -> None:
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile") -> DataFrame:
     """One exact quantile per group, whatever the size of the largest group."""
-    keys = list(keys)
+    return grouped_quantiles(df, keys, value, {name: p})
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Several exact quantiles per group, one column for each name in ``probs``, from one pass over the groups."""
+    keys, names = list(keys), list(probs)
     largest = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= SMALL_GROUP_ROWS:
-        return df.groupBy(*[col(k) for k in keys]).agg(
-            F.percentile(_number(value), F.lit(float(p))).alias(name)
-        )
-    found = ranked_quantiles(
+        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = df.groupBy(*[col(k) for k in keys]).agg(F.percentile(_number(value), wanted).alias("__q"))
+        return found.select(*[col(k) for k in keys], *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    tall = ranked_quantiles(
         df.select(*[col(k) for k in keys], _number(value).alias("__v")).filter(F.col("__v").isNotNull()),
         keys,
         "__v",
-        [p],
-    ).select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("quantile").alias(name))
+        list(probs.values()),
+    )
+    found = tall.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+        *[F.max(F.when(F.col("p_index") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
+    )
     every = df.select(*[col(k) for k in keys]).distinct()
     same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return every.join(found, same, "left").select(*[col(k) for k in keys], name)
+    return every.join(found, same, "left").select(*[col(k) for k in keys], *names)
 
 
 def ranked_quantiles(

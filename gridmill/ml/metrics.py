@@ -163,14 +163,11 @@ def _anova(df: DataFrame, target: str, names: Sequence[str]) -> DataFrame:
     )
 
 
-def residuals(df: DataFrame, y: str, yhat: str, key: str, n: int = 500) -> DataFrame:
-    """(key, actual, predicted, residual) of the first ``n`` rows by key."""
+def residuals(df: DataFrame, y: str, yhat: str, key: str, n: int | None = None) -> DataFrame:
+    """(key, actual, predicted, residual) of all rows, or of the first ``n`` by key."""
     a, p = col(y).cast("double"), col(yhat).cast("double")
-    return (
-        df.select(col(key).alias("key"), a.alias("actual"), p.alias("predicted"), F.round(a - p, 4).alias("residual"))
-        .orderBy("key")
-        .limit(n)
-    )
+    rows = df.select(col(key).alias("key"), a.alias("actual"), p.alias("predicted"), F.round(a - p, 4).alias("residual"))
+    return rows if n is None else rows.orderBy("key").limit(n)
 
 
 def error_rates(df: DataFrame, y: str, yhat: str) -> DataFrame:

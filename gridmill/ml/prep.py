@@ -23,7 +23,7 @@ from gridmill.plans.catalog import algorithm
 from gridmill.session import pinned
 
 ONE_HOT_LIMIT = 50
-CHECKED_COLUMNS = 30
+CHECKED_COLUMNS = None  # all
 LEAK_LIMIT = 0.98
 IMBALANCE_LIMIT = 5.0
 

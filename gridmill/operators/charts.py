@@ -543,11 +543,11 @@ def chart_pack_long(df: DataFrame, roles: dict[str, str], parts: Sequence[str] |
 
 # --- extra panels -----------------------------------------------------------
 
-def stats_panel(df: DataFrame, max_columns: int = 10) -> DataFrame:
+def stats_panel(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     return stats_bars(df, S.numeric_columns(df)[:max_columns])
 
 
-def counts_panel(df: DataFrame, max_columns: int = 8, k: int = 8) -> DataFrame:
+def counts_panel(df: DataFrame, max_columns: int | None = None, k: int = 8) -> DataFrame:
     """Top values of each text column, from one shared value count."""
     rows = profile.category_distributions(df, S.text_columns(df)[:max_columns], k)
     return rows.select(F.col("rank").alias("ord"), F.col("value").alias("label"), F.col("column").alias("series"), F.col("count").cast("double").alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import semantics as S
 from gridmill.functions.joins import small_side
 from gridmill.functions.positions import with_position
-from gridmill.functions.quantiles import column_quantiles, grouped_quantile
+from gridmill.functions.quantiles import column_quantiles, grouped_quantiles
 from gridmill.functions.semantics import col
 from gridmill.operators import kpi
 from gridmill.operators.profile import IQR_FENCE, outside
@@ -54,9 +54,7 @@ def segment_facts(df: DataFrame, by: str, roles: dict[str, str], tiebreak: str |
         F.count(col(value)).alias("n_value"),
         _best_corr(df, value).alias("best_corr"),
     )
-    low = grouped_quantile(seg, ["segment"], value, 0.25, "q1")
-    high = grouped_quantile(seg, ["segment"], value, 0.75, "q3")
-    fences = small_side(low.join(high, "segment"))
+    fences = small_side(grouped_quantiles(seg, ["segment"], value, {"q1": 0.25, "q3": 0.75}))
     spread = IQR_FENCE * (F.col("q3") - F.col("q1"))
     v = col(value).cast("double")
     beyond = (v < F.col("q1") - spread) | (v > F.col("q3") + spread)

@@ -141,7 +141,7 @@ def completeness(df: DataFrame) -> DataFrame:
 
 # --- column level -----------------------------------------------------------
 
-def profile_columns(df: DataFrame, style: str = "preview", max_columns: int = 30) -> DataFrame:
+def profile_columns(df: DataFrame, style: str = "preview", max_columns: int | None = None) -> DataFrame:
     """One row per column: missing, distinct, number statistics or top value.
 
     ``preview`` rounds to 2 places over all columns; ``dashboard`` to 3 places
@@ -196,12 +196,12 @@ def profile_columns(df: DataFrame, style: str = "preview", max_columns: int = 30
 def planner_profile(df: DataFrame, dataset: str = "table", dates: Sequence[str] | None = None) -> DataFrame:
     """Rows (dataset, ordinal, column, kind, …) that the chart planner reads.
 
-    Kinds: ``numeric`` (first 20 with a value), ``category`` (first 20 text
-    columns) and ``date``; a column may be both a category and a date.
+    Kinds: ``numeric`` (those with a value), ``category`` (text columns) and
+    ``date``; a column may be both a category and a date.
     """
     from gridmill.operators.typing import cardinality_class, date_columns
 
-    numeric, text = S.numeric_columns(df)[:20], S.text_columns(df)[:20]
+    numeric, text = S.numeric_columns(df), S.text_columns(df)
     dated = list(dates) if dates is not None else date_columns(df, "planner")
     blank, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     parts: list[DataFrame] = []
@@ -248,7 +248,7 @@ def planner_profile(df: DataFrame, dataset: str = "table", dates: Sequence[str]
     return _names(df, df.columns).join(rows, "column").select(F.lit(dataset).alias("dataset"), "ordinal", *rows.columns)
 
 
-def ml_numeric_profile(df: DataFrame, max_columns: int = 25) -> DataFrame:
+def ml_numeric_profile(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """(column, min, max, mean, std, missing_pct, skew, outlier_rate) of numbers."""
     names = S.numeric_columns(df)[:max_columns]
     facts = shape_facts(df, names, column_quantiles(df, names, [0.25, 0.5, 0.75]))
@@ -319,7 +319,7 @@ def outside(c: Column, q1: float | None, q3: float | None) -> Column:
     return (c.cast("double") < F.lit(q1 - spread)) | (c.cast("double") > F.lit(q3 + spread))
 
 
-def ml_categorical_profile(df: DataFrame, skip: Sequence[str] = (), max_columns: int = 25) -> DataFrame:
+def ml_categorical_profile(df: DataFrame, skip: Sequence[str] = (), max_columns: int | None = None) -> DataFrame:
     """(column, n_unique, cardinality, missing_pct, top_value) of text and booleans.
 
     ``skip`` names the date and long-text columns found by the typing job.
@@ -388,7 +388,7 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
 
 # --- EDA --------------------------------------------------------------------
 
-def eda_stats(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = 12) -> DataFrame:
+def eda_stats(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """One row per number column: centre, spread, quartiles, shape, outliers."""
     names = list(columns or S.numeric_columns(df)[:max_columns])
     facts = shape_facts(df, names, column_quantiles(df, names, [0.25, 0.5, 0.75]))
@@ -397,7 +397,7 @@ def eda_stats(df: DataFrame, columns: Sequence[str] | None = None, max_columns:
 
 
 def corr_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4, max_columns: int = 10
+    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4, max_columns: int | None = None
 ) -> DataFrame:
     """(x, y, r) for every ordered pair of columns, null without variation."""
     names = list(columns or S.numeric_columns(df))[:max_columns]
@@ -409,7 +409,7 @@ def corr_matrix(
     return cells.withColumn("r", F.round("r", digits))
 
 
-def category_distributions(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, max_columns: int = 6) -> DataFrame:
+def category_distributions(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, max_columns: int | None = None) -> DataFrame:
     """(column, rank, value, count): the most frequent values of each text column."""
     names = list(columns or S.text_columns(df)[:max_columns])
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
+from gridmill.functions.joins import small_side
 from gridmill.ml import forecast, groups, metrics, neighbours, prep, train
 from gridmill.ml.moments import as_array
 from gridmill.plans import catalog, shortlist
@@ -273,12 +274,12 @@ def _(spark, sf):
 @register(
     "m25_residuals",
     "SELECT p_partkey AS key, p_retailprice AS actual, m AS predicted, round(p_retailprice - m, 4) AS residual FROM "
-    "(SELECT *, round(sum(p_retailprice::DECIMAL(18,2)) OVER (PARTITION BY p_brand)::DOUBLE / count(*) OVER (PARTITION BY p_brand), 4) AS m FROM part) ORDER BY 1 LIMIT 500",
+    "(SELECT *, round(sum(p_retailprice::DECIMAL(18,2)) OVER (PARTITION BY p_brand)::DOUBLE / count(*) OVER (PARTITION BY p_brand), 4) AS m FROM part)",
 )
 def _(spark, sf):
     part = load(spark, sf, "part")
     means = part.groupBy(F.col("p_brand").alias("b")).agg(F.round(S.mean(F.col("p_retailprice").cast("decimal(18,2)")), 4).alias("m"))
-    return metrics.residuals(part.join(F.broadcast(means), F.col("p_brand") == F.col("b")), "p_retailprice", "m", "p_partkey")
+    return metrics.residuals(part.join(small_side(means), F.col("p_brand") == F.col("b")), "p_retailprice", "m", "p_partkey")
 
 
 @register(
@@ -308,9 +309,10 @@ def labelled_documents(spark, sf) -> DataFrame:
 
 
 def vectors_of(spark, sf) -> DataFrame:
-    """Embeddings as ten plain feature columns with their label."""
+    """Embeddings as plain feature columns, one for each element, with their label."""
     e = load(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(10)], F.col("label"))
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)], F.col("label"))
 
 
 def _report(result: train.Result, spark) -> DataFrame:
@@ -348,26 +350,26 @@ def _status(name: str, algo: str, params: dict | None = None):
 
 for _name, _algo, _params in (
     ("l02_ridge", "ridge", None), ("l03_lasso", "lasso", None), ("l04_elasticnet", "elasticnet", None),
-    ("l05_bayesian_ridge", "bayesian_ridge", None), ("l06_huber", "huber", {"max_iter": 20}), ("l07_sgd_regressor", "sgd_regressor", None),
-    ("l08_decision_tree_reg", "decision_tree_reg", {"max_depth": 5}), ("l09_random_forest_reg", "random_forest_reg", {"n_estimators": 20, "max_depth": 6}),
-    ("l10_extra_trees_reg", "extra_trees_reg", {"n_estimators": 20, "max_depth": 6}),
+    ("l05_bayesian_ridge", "bayesian_ridge", None), ("l06_huber", "huber", None), ("l07_sgd_regressor", "sgd_regressor", None),
+    ("l08_decision_tree_reg", "decision_tree_reg", None), ("l09_random_forest_reg", "random_forest_reg", None),
+    ("l10_extra_trees_reg", "extra_trees_reg", None),
     ("l11_gradient_boosting_reg", "gradient_boosting_reg", {"n_estimators": 10}), ("l11_lightgbm_reg", "lightgbm_reg", {"n_estimators": 10}),
-    ("l12_adaboost_reg", "adaboost_reg", {"n_estimators": 5}), ("l13_bagging_reg", "bagging_reg", {"n_estimators": 10, "max_depth": 6}),
+    ("l12_adaboost_reg", "adaboost_reg", {"n_estimators": 5}), ("l13_bagging_reg", "bagging_reg", None),
     ("l14_knn_reg", "knn_reg", None), ("l15_svr_linear", "svr_linear", None),
 ):
     _regression(_name, _algo, _params)
 for _name, _algo, _params in (
-    ("l08_decision_tree_clf", "decision_tree_clf", {"max_depth": 5}),
-    ("l09_random_forest_clf", "random_forest_clf", {"n_estimators": 20, "max_depth": 6}), ("l10_extra_trees_clf", "extra_trees_clf", {"n_estimators": 20, "max_depth": 6}),
+    ("l08_decision_tree_clf", "decision_tree_clf", None),
+    ("l09_random_forest_clf", "random_forest_clf", None), ("l10_extra_trees_clf", "extra_trees_clf", None),
     ("l11_gradient_boosting_clf", "gradient_boosting_clf", {"n_estimators": 10}),
-    ("l12_adaboost_clf", "adaboost_clf", {"n_estimators": 5}), ("l13_bagging_clf", "bagging_clf", {"n_estimators": 10, "max_depth": 6}),
-    ("l14_knn_clf", "knn_clf", None), ("l16_logistic_regression", "logistic_regression", {"max_iter": 30}), ("l17_ridge_classifier", "ridge_classifier", None),
+    ("l12_adaboost_clf", "adaboost_clf", {"n_estimators": 5}), ("l13_bagging_clf", "bagging_clf", None),
+    ("l14_knn_clf", "knn_clf", None), ("l16_logistic_regression", "logistic_regression", None), ("l17_ridge_classifier", "ridge_classifier", None),
     ("l18_gaussian_nb", "gaussian_nb", None), ("l18_multinomial_nb", "multinomial_nb", None), ("l18_bernoulli_nb", "bernoulli_nb", None),
-    ("l19_linear_svc", "linear_svc", {"max_iter": 10}), ("l20_lda", "lda", None), ("l21_qda", "qda", None),
+    ("l19_linear_svc", "linear_svc", None), ("l20_lda", "lda", None), ("l21_qda", "qda", None),
 ):
     _classification(_name, _algo, _params)
 for _name, _algo, _params in (
-    ("l07_sgd_classifier", "sgd_classifier", {"max_iter": 20}), ("l11_hist_gb_clf", "hist_gb_clf", {"n_estimators": 3, "max_depth": 3}),
+    ("l07_sgd_classifier", "sgd_classifier", None), ("l11_hist_gb_clf", "hist_gb_clf", {"n_estimators": 3, "max_depth": 3}),
     ("l22_mlp_clf", "mlp_clf", {"max_iter": 15, "hidden_layer_sizes": (8,)}),
 ):
     _status(_name, _algo, _params)
@@ -390,13 +392,13 @@ def _(spark, sf):
 
 @register("l16_logistic_regression_multiclass")
 def _(spark, sf):
-    r = train.train(vectors_of(spark, sf), "label", "logistic_regression", {"max_iter": 15}, "vec_id", folds=0, repeats=0, save=False)
+    r = train.train(vectors_of(spark, sf), "label", "logistic_regression", None, "vec_id", folds=0, repeats=0, save=False)
     return _report(r, spark)
 
 
 @register("m11_cross_validation")
 def _(spark, sf):
-    cv = train.cross_validate(labelled_documents(spark, sf), "quality", "lda", None, "classification", [0, 1], None, 3, "doc_id", ["doc_id"])
+    cv = train.cross_validate(labelled_documents(spark, sf), "quality", "lda", None, "classification", [0, 1], None, key="doc_id", dates=["doc_id"])
     rows = [(i, float(v)) for i, v in enumerate(cv["folds"])] + [(-1, cv["mean"]), (-2, cv["std"])]
     return S.small_frame(spark, rows, "fold int, score double")
 
@@ -404,7 +406,7 @@ def _(spark, sf):
 @register("m18_permutation_importance")
 def _(spark, sf):
     r = train.train(parts(spark, sf), "p_retailprice", "ridge", None, "id", folds=0, repeats=0, save=False)
-    return train.permutation_importance(r.fitted, parts(spark, sf), 3, key="id")
+    return train.permutation_importance(r.fitted, parts(spark, sf), key="id")
 
 
 @register("m20_train")
@@ -415,7 +417,7 @@ def _(spark, sf):
 
 @register("m21_tune")
 def _(spark, sf):
-    tried, _ = train.tune(parts(spark, sf), "p_retailprice", "ridge", "grid", folds=2, key="id", save=False)
+    tried, _ = train.tune(parts(spark, sf), "p_retailprice", "ridge", "grid", key="id", save=False)
     return tried
 
 
@@ -439,7 +441,7 @@ def _(spark, sf):
 
 @register("m26_model_importances")
 def _(spark, sf):
-    r = train.train(parts(spark, sf), "p_retailprice", "random_forest_reg", {"n_estimators": 10, "max_depth": 5}, "id", folds=0, repeats=0, save=False)
+    r = train.train(parts(spark, sf), "p_retailprice", "random_forest_reg", None, "id", folds=0, repeats=0, save=False)
     return train.model_importances(r.fitted)
 
 
@@ -483,7 +485,7 @@ def _customers(spark, sf):
 @register("l28_kmeans")
 def _(spark, sf):
     rows = groups.vectors(_customers(spark, sf), ["c_nationkey", "c_acctbal"])
-    return groups.cluster_summary(groups.kmeans(rows, 4, restarts=2), ["c_nationkey", "c_acctbal"])
+    return groups.cluster_summary(groups.kmeans(rows, 4), ["c_nationkey", "c_acctbal"])
 
 
 @register("l29_dbscan")
@@ -494,7 +496,7 @@ def _(spark, sf):
 
 @register("l30_spectral")
 def _(spark, sf):
-    return groups.spectral(groups.embedded(load(spark, sf, "embeddings"), "embedding"), "vec_id", 4, max_iter=5)
+    return groups.spectral(groups.embedded(load(spark, sf, "embeddings"), "embedding"), "vec_id", 4)
 
 
 @register("l31_gaussian_mixture")
@@ -538,12 +540,12 @@ def _(spark, sf):
 @register("g01_segment")
 def _(spark, sf):
     names = ["c_custkey", "c_nationkey", "c_acctbal"]
-    return groups.cluster_summary(groups.segment(load(spark, sf, "customer"), 4, names, restarts=2), names)
+    return groups.cluster_summary(groups.segment(load(spark, sf, "customer"), 4, names), names)
 
 
 @register("g02_segment_projection")
 def _(spark, sf):
-    seg = groups.segment(load(spark, sf, "customer"), 4, ["c_custkey", "c_nationkey", "c_acctbal"], restarts=1)
+    seg = groups.segment(load(spark, sf, "customer"), 4, ["c_custkey", "c_nationkey", "c_acctbal"])
     return groups.projected(seg, "c_custkey")
 
 
