@@ -24,7 +24,6 @@ RUN_SCHEMA = (
     "is_imbalanced boolean, source string, y_true_json string, y_pred_json string"
 )
 MARK_SCHEMA = "run_id string, user_id string, kind string, value string, marked_at timestamp"
-MAX_PREDICTIONS = 500
 EVENT_RETENTION = 500
 # Which metric ranks a run, in order of preference.
 PRIMARY_METRICS = {"classification": ("f1_macro", "f1", "balanced_accuracy", "accuracy"), "other": ("r2", "rmse", "mae")}
@@ -43,18 +42,15 @@ def with_primary_metric(runs: DataFrame, metrics: str = "metrics", problem_type:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append run rows; stored predictions are cut to the display limit.
+    """Append run rows, with all their predictions.
 
     Files are sorted by user, so a reader of one user skips most row groups.
     """
     schema = T.StructType.fromDDL(RUN_SCHEMA)
-    cut = {
-        c: F.to_json(F.slice(F.from_json(c, "array<string>"), 1, MAX_PREDICTIONS)) for c in ("y_true_json", "y_pred_json")
-    }
     cols = []
     for f in schema:
         value = F.col(f.name) if f.name in runs.columns else F.lit(None)
-        cols.append((cut[f.name] if f.name in cut and f.name in runs.columns else value).cast(f.dataType).alias(f.name))
+        cols.append(value.cast(f.dataType).alias(f.name))
     runs.select(*cols).sortWithinPartitions("user_id", "created_at").write.mode("append").parquet(path)
 
 

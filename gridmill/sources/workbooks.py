@@ -16,7 +16,8 @@ from gridmill.sources.sniff import typed
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_ROWS = "file string, sheet string, row_no bigint, cells array<string>"
+_ROWS = "file string, sheet string, row_no bigint, cells array<string>, sheet_no int"
+_NAMES = ["file", "sheet", "row_no", "cells", "sheet_no"]
 
 
 def _column(ref: str) -> int:
@@ -65,26 +66,26 @@ def parse_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]
 
 
 def workbook_rows(files: DataFrame) -> DataFrame:
-    """(file, sheet, row_no, cells) of workbooks given as (path, content)."""
+    """(file, sheet, row_no, cells, sheet_no) of workbooks given as (path, content); sheets are numbered in book order."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                rows, size = [], 0
+                rows, size, place = [], 0, {}
                 for sheet, number, cells in parse_workbook(content):
-                    rows.append((name, sheet, number, cells))
+                    rows.append((name, sheet, number, cells, place.setdefault(sheet, len(place))))
                     size += len(cells)
                     if size > 200_000:
-                        yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
+                        yield pd.DataFrame(rows, columns=_NAMES)
                         rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
+                    yield pd.DataFrame(rows, columns=_NAMES)
 
     return files.select("path", "content").mapInPandas(parse, _ROWS)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sheet, row_no, cells) of all workbooks under a path or glob."""
+    """(file, sheet, row_no, cells, sheet_no) of all workbooks under a path or glob."""
     return workbook_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
@@ -102,7 +103,7 @@ def workbook_table(rows: DataFrame, sheet: str | None = None) -> DataFrame:
     if sheet is not None:
         rows = rows.filter(F.col("sheet") == sheet)
     else:
-        keep = rows.groupBy("file").agg(F.min_by("sheet", F.struct("row_no", "sheet")).alias("__sheet")).withColumnRenamed("file", "__file")
+        keep = rows.groupBy("file").agg(F.min_by("sheet", "sheet_no").alias("__sheet")).withColumnRenamed("file", "__file")
         rows = rows.join(keep, (F.col("file") == F.col("__file")) & (F.col("sheet") == F.col("__sheet"))).drop("__file", "__sheet")
     heads = rows.groupBy("file").agg(F.min("row_no").alias("__head"), F.min_by("cells", "row_no").alias("__names")).withColumnRenamed("file", "__hf")
     data = rows.join(heads, F.col("file") == F.col("__hf")).filter(F.col("row_no") > F.col("__head"))

@@ -159,3 +159,16 @@ def test_json_files_of_two_layouts(spark, tmp_path):
 def test_short_words_are_not_boolean(spark):
     df = spark.createDataFrame([("y", "1", "True"), ("n", "y", "false")], "a string, b string, c string")
     assert [t for _, t in sniff.typed(df).dtypes] == ["string", "string", "boolean"]
+
+
+def test_the_first_sheet_of_a_book_is_the_default(spark, tmp_path):
+    book = zipfile.ZipFile(io.BytesIO(workbook_bytes([["x"], [1]])))
+    parts = {n: book.read(n) for n in book.namelist()}
+    parts["xl/workbook.xml"] = parts["xl/workbook.xml"].replace(b"</sheets>", b'<sheet name="a" r:id="r2"/></sheets>')
+    parts["xl/_rels/workbook.xml.rels"] = parts["xl/_rels/workbook.xml.rels"].replace(b"</Rel", b'<Relationship Id="r2" Target="worksheets/sheet2.xml"/></Rel')
+    parts["xl/worksheets/sheet2.xml"] = parts["xl/worksheets/sheet1.xml"].replace(b"<v>1</v>", b"<v>2</v>")
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        for n, body in parts.items():
+            z.writestr(n, body)
+    assert rows(workbooks.read_workbook_table(spark, str(tmp_path / "b.xlsx"))) == [(1,)]
+    assert rows(workbooks.read_workbook_table(spark, str(tmp_path / "b.xlsx"), "a")) == [(2,)]
