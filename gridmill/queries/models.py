@@ -353,16 +353,16 @@ for _name, _algo, _params in (
     ("l05_bayesian_ridge", "bayesian_ridge", None), ("l06_huber", "huber", None), ("l07_sgd_regressor", "sgd_regressor", None),
     ("l08_decision_tree_reg", "decision_tree_reg", None), ("l09_random_forest_reg", "random_forest_reg", None),
     ("l10_extra_trees_reg", "extra_trees_reg", None),
-    ("l11_gradient_boosting_reg", "gradient_boosting_reg", {"n_estimators": 10}), ("l11_lightgbm_reg", "lightgbm_reg", {"n_estimators": 10}),
-    ("l12_adaboost_reg", "adaboost_reg", {"n_estimators": 5}), ("l13_bagging_reg", "bagging_reg", None),
+    ("l11_gradient_boosting_reg", "gradient_boosting_reg", None), ("l11_lightgbm_reg", "lightgbm_reg", None),
+    ("l12_adaboost_reg", "adaboost_reg", None), ("l13_bagging_reg", "bagging_reg", None),
     ("l14_knn_reg", "knn_reg", None), ("l15_svr_linear", "svr_linear", None),
 ):
     _regression(_name, _algo, _params)
 for _name, _algo, _params in (
     ("l08_decision_tree_clf", "decision_tree_clf", None),
     ("l09_random_forest_clf", "random_forest_clf", None), ("l10_extra_trees_clf", "extra_trees_clf", None),
-    ("l11_gradient_boosting_clf", "gradient_boosting_clf", {"n_estimators": 10}),
-    ("l12_adaboost_clf", "adaboost_clf", {"n_estimators": 5}), ("l13_bagging_clf", "bagging_clf", None),
+    ("l11_gradient_boosting_clf", "gradient_boosting_clf", None),
+    ("l12_adaboost_clf", "adaboost_clf", None), ("l13_bagging_clf", "bagging_clf", None),
     ("l14_knn_clf", "knn_clf", None), ("l16_logistic_regression", "logistic_regression", None), ("l17_ridge_classifier", "ridge_classifier", None),
     ("l18_gaussian_nb", "gaussian_nb", None), ("l18_multinomial_nb", "multinomial_nb", None), ("l18_bernoulli_nb", "bernoulli_nb", None),
     ("l19_linear_svc", "linear_svc", None), ("l20_lda", "lda", None), ("l21_qda", "qda", None),
@@ -370,7 +370,7 @@ for _name, _algo, _params in (
     _classification(_name, _algo, _params)
 for _name, _algo, _params in (
     ("l07_sgd_classifier", "sgd_classifier", None), ("l11_hist_gb_clf", "hist_gb_clf", {"n_estimators": 3, "max_depth": 3}),
-    ("l22_mlp_clf", "mlp_clf", {"max_iter": 15, "hidden_layer_sizes": (8,)}),
+    ("l22_mlp_clf", "mlp_clf", None),
 ):
     _status(_name, _algo, _params)
 
@@ -583,7 +583,7 @@ def _(spark, sf):
 @register("l25_ml_lags")
 def _(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts", "value", "event_type")
-    r = train.train(events, "value", "ml_lag_rf", {"n_estimators": 5, "max_depth": 4}, "event_id", "ts", ["event_type"], folds=0, repeats=0, save=False)
+    r = train.train(events, "value", "ml_lag_rf", None, "event_id", "ts", ["event_type"], folds=0, repeats=0, save=False)
     return _report(r, spark)
 
 
