@@ -13,8 +13,8 @@ Lanes, in this order:
   bit of its hash. The scalar product of two such vectors estimates the number of windows shared, so
   ``likeness`` is near the cosine of the two texts' windows, with an error of about 1 / sqrt(SIGNS).
 
-Everything is a DataFrame expression. Bits of 21 windows' hashes are counted three at a time, in fields
-of 21 bits of one long, over slices of a million windows, so no field can run over.
+Everything is a DataFrame expression. Bits of the windows' hashes are counted seven at a time, in fields
+of 9 bits of one long, over slices of 511 windows, so no field can run over.
 """
 
 from __future__ import annotations
@@ -23,16 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.semantics import col, require
-from gridmill.llm.common import WORD, fresh, without, words_of
+from gridmill.llm.common import WORD, fresh, without
 from gridmill.session import pinned
 
 EXACT = 16
-FIELD = 21
-SIGNS = 3 * FIELD
+FIELD, FIELDS = 9, 7
+SIGNS = FIELDS * FIELD
 WINDOW = 3
-SLICE = 1_000_000
+SLICE = (1 << FIELD) - 1  # windows at most
 _WIDE, _NARROW = 1 << 32, 1 << 16
-_FIELDS = 1 | 1 << FIELD | 1 << 2 * FIELD
+_BLANKS = " \t\n\x0b\x0c\r"  # what separates words
+_FIRST_BITS = sum(1 << f * FIELD for f in range(FIELDS))
 
 
 def _paragraphs(text: Column) -> Column:
@@ -53,9 +54,11 @@ def _total(values: Column, of) -> Column:
 
 def with_vector(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add the vector of a text (null: empty) as an array of bigint."""
-    parts, hashes, slices = (fresh(df.columns, n) for n in ("_paragraphs", "_hashes", "_slices"))
+    parts, worded, hashes, slices = (fresh(df.columns, n) for n in ("_paragraphs", "_worded", "_hashes", "_slices"))
     step = df.withColumn(parts, _paragraphs(text))
-    step = step.withColumn(hashes, F.flatten(F.transform(col(parts), lambda p: _windows(words_of(p)))))
+    # words in a column of their own: inside the lambda they would be looked for again at each window
+    step = step.withColumn(worded, F.transform(col(parts), lambda p: F.split(F.btrim(p, F.lit(_BLANKS)), f"[{_BLANKS}]+")))
+    step = step.withColumn(hashes, F.flatten(F.transform(col(worded), _windows)))
     step = step.withColumn(
         slices,
         F.transform(F.sequence(F.lit(0), F.floor(F.size(hashes) / SLICE).cast("int")), lambda s: F.slice(col(hashes), s * SLICE + 1, SLICE)),
@@ -65,27 +68,25 @@ def with_vector(df: DataFrame, text: Column, name: str) -> DataFrame:
         for n in range(EXACT // 2)
         for up in (0, 32)
     ]
-    ones = F.transform(  # for each bit 0..20, by slice: how often it and those 21 and 42 above are set
-        F.array(*[F.expr(f"{b}") for b in range(FIELD)]),
-        lambda bit: F.transform(
-            col(slices),
-            lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + _shifted(x, bit).bitwiseAND(F.lit(_FIELDS))),
+    ones = F.transform(  # by slice, for each bit of a field: the counts in all fields
+        col(slices),
+        lambda s: F.transform(
+            F.array(*[F.lit(b) for b in range(FIELD)]),
+            lambda bit: F.aggregate(
+                s, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("shiftright", x, bit).bitwiseAND(F.lit(_FIRST_BITS))
+            ),
         ),
     )
     counted = fresh(df.columns, "_ones")
     step = step.withColumn(counted, ones)
     count = F.size(hashes).cast("bigint")
     signs = [
-        F.pmod(2 * _total(F.get(col(counted), F.lit(b)), lambda x, f=f: F.shiftright(x, f * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))) - count, F.lit(_NARROW))
-        for f in range(3)
+        F.pmod(2 * _total(col(counted), lambda o, f=f, b=b: F.shiftright(F.get(o, F.lit(b)), f * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))) - count, F.lit(_NARROW))
+        for f in range(FIELDS)
         for b in range(FIELD)
     ]
     vector = F.array(*[F.pmod(e, F.lit(_WIDE)) for e in exact], F.pmod(count, F.lit(_WIDE)), *signs)
-    return step.withColumn(name, vector).drop(parts, hashes, slices, counted)
-
-
-def _shifted(x: Column, bit: Column) -> Column:
-    return F.call_function("shiftright", x, bit)
+    return step.withColumn(name, vector).drop(parts, worded, hashes, slices, counted)
 
 
 def _lanes() -> Column:
@@ -172,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     given = (
         known.join(asked, ["k1", "k2"])
         .groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-        .agg(F.first(F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("half"), F.col("vector"))).alias("following"))
+        .agg(F.first(F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("half"), "vector", "id")).alias("following"))
     )
     n = F.length("text")
     both = known.join(given, ["k1", "k2"]).withColumn(
@@ -187,4 +188,5 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         printed(F.col("edited_vector")).alias("edited_fingerprint"),
         likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
         likeness(F.col("vector"), F.col("following.vector")).alias("near_next"),
+        F.col("following.id").alias("next_id"),  # also keeps both joins on one exchange of the same columns
     )
