@@ -26,7 +26,7 @@ from gridmill.functions.semantics import require
 from gridmill.llm.common import without
 
 SPACE = "▁"  # how the models write a space
-MEMO_STRINGS = 600_000  # words, and chunks, whose ids a worker remembers; later ones are encoded anew
+MEMO_STRINGS = 200_000  # words, and chunks, whose ids a worker remembers; later ones are encoded anew
 MEMO_LENGTH = 48
 MEMO_PAIRS = 1_000_000
 
