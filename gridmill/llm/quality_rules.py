@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from gridmill.functions.joins import small_side
 from gridmill.functions.semantics import SEED, col, require
-from gridmill.llm.common import WORD, fresh, without
+from gridmill.llm.common import WORD, without
 from gridmill.llm.pieces import slices
 
 MAX_LABELLED = 50_000  # labelled rows that the rules are learned from, at most about
@@ -259,7 +259,6 @@ def judged(docs: DataFrame, rules: DecisionList, text: str = "text", keep_text:
 
 def passing(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The documents that are kept, with their own columns only (also where a name is one of the statistics)."""
-    row = fresh(docs.columns, "_row")
-    packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), col(text).alias("_text"))
-    done = judged(packed, rules, "_text", keep_text=False).filter("kept")
-    return done.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    others = F.struct(F.lit(True).alias("_"), *[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    done = judged(docs.select(others.alias("_row"), col(text).alias("_text")), rules, "_text").filter("kept")
+    return done.select(*[(F.col("_text") if c == text else F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)])
