@@ -26,7 +26,7 @@ from gridmill.functions.semantics import require
 from gridmill.llm.common import without
 
 SPACE = "▁"  # how the models write a space
-MEMO_STRINGS = 200_000  # words, and chunks, whose ids a worker remembers; later ones are encoded anew
+MEMO_STRINGS = 100_000  # words, and chunks, whose ids a worker remembers; later ones are encoded anew
 MEMO_LENGTH = 48
 MEMO_PAIRS = 1_000_000
 
@@ -243,7 +243,7 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text", ids: str =
     return kept.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of text each, so that results stay small."""
     start, held = 0, 0
     column = batch.column(text)
