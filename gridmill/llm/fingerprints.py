@@ -1,17 +1,18 @@
 """Fingerprints of documents as homomorphic multiset hashes.
 
 A paragraph (a line with a word) is hashed to a wide vector, and a document's vector is the sum of its
-paragraphs' vectors, each lane modulo a power of two. So the order of paragraphs does not matter, equal
+paragraphs' vectors, each lane modulo 2^32. So the order of paragraphs does not matter, equal
 multisets of paragraphs have equal sums, and a paragraph is put in or taken out by one addition or
 subtraction (``added``, ``removed``) without the rest of the text.
 
 Lanes, in this order:
 
-* ``EXACT`` lanes modulo 2^32, hashed from the paragraph as a whole. They tell multisets apart.
-* one lane modulo 2^32 with the number of word windows.
-* ``SIGNS`` lanes modulo 2^16, in which every window of three words of the paragraph adds +1 or -1 by one
+* ``EXACT`` lanes, hashed from the paragraph as a whole. They tell multisets apart.
+* one lane with the number of word windows.
+* ``SIGNS`` lanes, in which every window of three words of the paragraph adds +1 or -1 by one
   bit of its hash. The scalar product of two such vectors estimates the number of windows shared, so
   ``likeness`` is near the cosine of the two texts' windows, with an error of about 1 / sqrt(SIGNS).
+  A text has fewer than 2^31 windows, so no lane wraps, also if one window is repeated throughout.
 
 Everything is a DataFrame expression. Bits of the windows' hashes are counted seven at a time, in fields
 of 9 bits of one long, over slices of 511 windows, so no field can run over.
@@ -31,7 +32,8 @@ FIELD, FIELDS = 9, 7
 SIGNS = FIELDS * FIELD
 WINDOW = 3
 SLICE = (1 << FIELD) - 1  # windows at most
-_WIDE, _NARROW = 1 << 32, 1 << 16
+_WIDE = 1 << 32
+_PRINTED = 1 << 16  # a sign lane is printed modulo this
 _BLANKS = " \t\n\x0b\x0c\r"  # what separates words
 _FIRST_BITS = sum(1 << f * FIELD for f in range(FIELDS))
 
@@ -81,7 +83,7 @@ def with_vector(df: DataFrame, text: Column, name: str) -> DataFrame:
     step = step.withColumn(counted, ones)
     count = F.size(hashes).cast("bigint")
     signs = [
-        F.pmod(2 * _total(col(counted), lambda o, f=f, b=b: F.shiftright(F.get(o, F.lit(b)), f * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))) - count, F.lit(_NARROW))
+        F.pmod(2 * _total(col(counted), lambda o, f=f, b=b: F.shiftright(F.get(o, F.lit(b)), f * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))) - count, F.lit(_WIDE))
         for f in range(FIELDS)
         for b in range(FIELD)
     ]
@@ -89,32 +91,34 @@ def with_vector(df: DataFrame, text: Column, name: str) -> DataFrame:
     return step.withColumn(name, vector).drop(parts, worded, hashes, slices, counted)
 
 
-def _lanes() -> Column:
-    return F.array(*[F.lit(_WIDE)] * (EXACT + 1), *[F.lit(_NARROW)] * SIGNS)
-
-
 def added(vector: Column, other: Column) -> Column:
     """The vector of both multisets together."""
-    return F.transform(F.arrays_zip(vector.alias("a"), other.alias("b"), _lanes().alias("m")), lambda x: F.pmod(x["a"] + x["b"], x["m"]))
+    return F.zip_with(vector, other, lambda a, b: F.pmod(a + b, F.lit(_WIDE)))
 
 
 def removed(vector: Column, other: Column) -> Column:
     """The vector without the paragraphs of ``other``."""
-    return F.transform(F.arrays_zip(vector.alias("a"), other.alias("b"), _lanes().alias("m")), lambda x: F.pmod(x["a"] - x["b"], x["m"]))
+    return F.zip_with(vector, other, lambda a, b: F.pmod(a - b, F.lit(_WIDE)))
 
 
 def printed(vector: Column) -> Column:
-    """A vector as hexadecimal text: 8 digits a wide lane, 4 a narrow one."""
+    """A vector as hexadecimal text: 8 digits a lane, but the last 4 digits only of a sign lane.
+
+    So a printed form adds up too, but only the vector itself gives the likeness of texts of any length.
+    """
     wide = F.transform(F.slice(vector, 1, EXACT + 1), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    narrow = F.transform(F.slice(vector, EXACT + 2, SIGNS), lambda x: F.lpad(F.lower(F.hex(x)), 4, "0"))
-    return F.concat(F.array_join(wide, ""), F.array_join(narrow, ""))
+    signs = F.transform(F.slice(vector, EXACT + 2, SIGNS), lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(_PRINTED)))), 4, "0"))
+    return F.concat(F.array_join(wide, ""), F.array_join(signs, ""))
 
 
 def likeness(vector: Column, other: Column) -> Column:
     """From 0 to 1: the estimated cosine of two texts' word windows; 1 for equal vectors."""
-    signed = lambda v: F.transform(F.slice(v, EXACT + 2, SIGNS), lambda x: F.when(x >= _NARROW // 2, x - _NARROW).otherwise(x))
-    dot = lambda u, v: _total(F.zip_with(signed(u), signed(v), lambda a, b: a * b), lambda x: x)
-    scale = F.sqrt(dot(vector, vector).cast("double") * dot(other, other).cast("double"))
+    # as doubles: squares of long texts' lanes do not add up in a bigint
+    signed = lambda v: F.transform(
+        F.slice(v, EXACT + 2, SIGNS), lambda x: F.when(x >= _WIDE // 2, x - _WIDE).otherwise(x).cast("double")
+    )
+    dot = lambda u, v: F.aggregate(F.zip_with(signed(u), signed(v), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scale = F.sqrt(dot(vector, vector) * dot(other, other))
     cosine = F.when(scale > 0, dot(vector, other) / scale).otherwise(F.lit(0.0))
     return F.when(vector == other, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 

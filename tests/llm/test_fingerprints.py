@@ -47,6 +47,17 @@ def test_likeness_follows_what_is_shared(spark):
     assert near[0] == 1 and near[1] == pytest.approx(0.5, abs=0.3) and near[2] < 0.35 and near[3] > 0.8
 
 
+def test_a_line_repeated_often_does_not_wrap_a_lane(spark):
+    line = "one two three"
+    got = vectors(spark, ["\n".join([line] * n) for n in (20_000, 40_000, 60_000)] + ["four five six"])
+    assert {min(x, (1 << 32) - x) for x in got[2].vector[-fp.SIGNS :]} == {60_000}
+    rows = spark.createDataFrame([(i, got[0].vector, got[i].vector) for i in (1, 2, 3)], "i int, a array<long>, b array<long>")
+    near = {r.i: r.n for r in rows.select("i", fp.likeness(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert near[1] == pytest.approx(1) and near[2] == pytest.approx(1) and near[3] < 0.5
+    summed = rows.filter("i = 1").select(fp.added(F.col("a"), F.col("b")).alias("s"), fp.removed(F.col("b"), F.col("a")).alias("d")).first()
+    assert (summed.s, summed.d) == (got[2].vector, got[0].vector)
+
+
 def by_hand(docs):
     """(n_chars, sha256 of the edited text) by document, for distinct non-null ids."""
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
