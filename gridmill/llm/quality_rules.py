@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 
 from gridmill.functions.joins import small_side
 from gridmill.functions.semantics import SEED, col, require
-from gridmill.llm.common import WORD, without
+from gridmill.llm.common import WORD, distinct_texts, without
 from gridmill.llm.pieces import slices
 
-MAX_LABELLED = 50_000  # labelled rows that the rules are learned from, at most about
+MAX_LABELLED = 50_000  # labelled keys that the rules are learned from, at most about
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_punctuated")
@@ -229,7 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn the list from documents with a label (quality 0: rejected, 1: kept; null labels are passed over).
 
     Rows that ``base_failed`` rejects anyway teach nothing. Above ``max_labelled`` labelled keys, a share of them
-    by hash is used. Several labels of one key count once, as the lowest.
+    by hash is used. Several labels of one key count once, as the lowest; of a key with several documents at most
+    ``KEY_TEXTS`` distinct texts teach, so neither the driver's rows nor the rules depend on how often a key occurs.
     """
     require(docs, key, text)
     require(labels, key, quality)
@@ -237,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     every = max(1, -(-clean.count() // max_labelled))
     some = clean.filter(F.pmod(F.xxhash64(F.lit(SEED), "_k"), F.lit(every)) == 0)
     rows = docs.select(col(key).alias("_id"), col(text).alias("_text")).join(small_side(some), F.col("_id") == F.col("_k"))
+    rows = distinct_texts(rows, "_id", "_text", "_hash")
     counted = with_statistics(rows.select("_id", "_quality", "_text"), "_text", keep_text=False).filter(~base_failed())
     names = list(features())
     found = counted.select("_id", (F.col("_quality") == 0).cast("double").alias("_bad"), *[c.alias(n) for n, c in features().items()])

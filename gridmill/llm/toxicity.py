@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from gridmill.functions.joins import small_side
 from gridmill.functions.semantics import SEED, col, require
-from gridmill.llm.common import fresh, without, written
+from gridmill.llm.common import distinct_texts, fresh, without, written
 
-MAX_LABELLED = 20_000  # labelled rows that the chain is fitted on, at most about
+MAX_LABELLED = 20_000  # labelled keys that the chain is fitted on, at most about
 HASHES = 1 << 20
 TOKENS = 1024  # for each category
 MIN_CHI = 20.0  # what a few chance rows among thousands of tokens stay below
@@ -161,7 +161,8 @@ def fit(
     Above ``max_labelled`` labelled keys a share of them by hash is used: their chosen tokens come to the
     driver, where the small regressions are solved. Rows whose condition is null teach that category's model nothing
     but take part in the others. A category of one class gets that class (0 or 1) as a constant, as it does
-    without any row (0). Several labels of one key count once, as true if any is true.
+    without any row (0). Several labels of one key count once, as true if any is true; of a key with
+    several documents at most ``KEY_TEXTS`` distinct texts are used, so the sample does not grow with a key's share.
     """
     require(docs, key, text)
     require(labels, key)
@@ -172,8 +173,9 @@ def fit(
     every = max(1, -(-truth.count() // max_labelled))
     some = truth.filter(F.pmod(F.xxhash64(F.lit(SEED), "_k"), F.lit(every)) == 0)
     rows = docs.select(col(key).alias("_id"), col(text).alias("_text")).join(small_side(some), F.col("_id") == F.col("_k"))
+    rows = distinct_texts(rows, "_id", "_text", "_hash")
     fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "_text"), F.lit(folds)).cast("int").alias("_fold")  # copies share a fold
-    rows = written(rows.select("_id", fold, tokens_of(F.col("_text")).alias("_tokens"), *names), "toxicity-sample")
+    rows = written(rows.select("_id", "_hash", fold, tokens_of(F.col("_text")).alias("_tokens"), *names), "toxicity-sample")
     vocabulary = np.array(sorted(telling(rows, names, tokens)), np.int64)
     sample = collected(rows, vocabulary, names)
     lists = sample["_chosen"].tolist()
@@ -197,8 +199,8 @@ def fit(
 
 
 def collected(rows: DataFrame, vocabulary: np.ndarray, names: list[str]) -> pd.DataFrame:
-    """The sample with its chosen tokens, in the order of ids."""
-    schema = T.StructType([rows.schema["_id"], rows.schema["_fold"], *[rows.schema[n] for n in names], T.StructField("_chosen", T.ArrayType(T.IntegerType()))])
+    """The sample with its chosen tokens, in the order of ids and of the texts' hashes."""
+    schema = T.StructType([rows.schema["_id"], rows.schema["_hash"], rows.schema["_fold"], *[rows.schema[n] for n in names], T.StructField("_chosen", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +208,7 @@ def collected(rows: DataFrame, vocabulary: np.ndarray, names: list[str]) -> pd.D
             lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), at.astype(np.int32))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema.fields[:-1]], lists], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toPandas().sort_values("_id", kind="stable").reset_index(drop=True)
+    return rows.mapInArrow(run, schema).toPandas().sort_values(["_id", "_hash"], kind="stable").reset_index(drop=True)
 
 
 def fitted(x, ends, earlier: list[np.ndarray], y: np.ndarray, use: np.ndarray, width: int, regularization: float) -> Linear | float:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridmill.llm import language_id as li
 from gridmill.llm import quality_rules as qr
 from gridmill.llm import toxicity as tx
-from gridmill.llm.common import WORD
+from gridmill.llm.common import KEY_TEXTS, WORD
 from gridmill.llm.queries import op1, op2, op4
 
 WIDE = "/root/testdata/sf0.01"
@@ -170,3 +170,20 @@ def test_toxic_documents_held_out(spark):
     chain = tx.fit(docs, half, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
     held = tx.predict(docs.join(labels, "doc_id").join(half, "doc_id", "left_anti"), chain).select("toxic", "is_toxic").collect()
     assert sum(bool(r.toxic) == r.is_toxic for r in held) > 0.9 * len(held)
+
+
+# --- one key with many documents ----------------------------------------------
+
+def test_a_hot_key_does_not_fill_the_sample(spark, monkeypatch):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, words(i)) for i in range(200)] + [(7, words(1000 + i)) for i in range(2000)] + [(8, "same " + words(8))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    seen = {}
+    learn, collected = qr.learn, tx.collected
+    monkeypatch.setattr(qr, "learn", lambda x, *rest: (seen.update(quality=len(x)), learn(x, *rest))[1])
+    monkeypatch.setattr(tx, "collected", lambda *a: seen.setdefault("toxic", collected(*a)))
+    qr.fit(docs, labels)
+    tx.fit(docs, labels, {"toxic": F.col("toxic") == 1})
+    assert seen["quality"] == len(seen["toxic"]) == 198 + KEY_TEXTS + 2
+    assert seen["toxic"]["_id"].value_counts().to_dict() == {**{i: 1 for i in range(200)}, 7: KEY_TEXTS, 8: 2}
