@@ -42,7 +42,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
     rows = table(spark, sf, "documents").select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    slot_map = sharding.rebalance(rows, "doc_id", F.col("size"), SHARDS, scratch_path(spark, "slot-map"))
+    slot_map = sharding.rebalance(rows, "doc_id", F.col("size"), SHARDS, scratch_path(spark, "slot-map"), new=("shard", "slot", "virtual_slot"))
     done = sharding.placed(rows, "doc_id", F.col("size"), slot_map, [], place="slot")
     return done.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

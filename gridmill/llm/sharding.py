@@ -1,7 +1,8 @@
 """Shards by virtual slots.
 
-A record belongs to one of a fixed number of virtual slots, by a hash of its key. Slots, not
-records, are dealt to shards: a map from slot to shard is stored with a version, and
+A record belongs to one of a fixed number of virtual slots, by a hash of all its columns; copies of
+an equal record are dealt to the slots from that one on in turn. So neither a key nor a record that
+is repeated often, nor null keys, fill a slot. Slots, not records, are dealt to shards: a map from slot to shard is stored with a version, and
 rebalancing appends a version in which single slots have moved. The map has one row for each
 slot, whatever the number of records, so the driver may hold and edit it.
 
@@ -12,6 +13,7 @@ moves, and a record finds its place in its shard from the counts of the slots be
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,34 +115,54 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(tuple(r.shard for r in rows), rows[0].shards, version, tuple(r.bytes for r in rows), tuple(r.rows for r in rows))
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a key; a null key has one too."""
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)).cast("int")
+NEW = ("shard", "place", "virtual_slot")
 
 
-def slot_sizes(records: DataFrame, key: str, size: Column, slots: int = SLOTS) -> dict[int, tuple[int, int]]:
+def dealt(records: DataFrame, also: dict[str, Column], slots: int, slot: str, times: str) -> DataFrame:
+    """Distinct records, with the columns ``also``, by virtual slot, and how many copies of each the slot has.
+
+    Copy 0 lies in the slot of the record's hash, copy i in the i-th slot after it, so a record has at most
+    ``slots`` rows here, and one more copy moves no other.
+    """
+    names = records.columns
+    nth, all_times = (fresh([*names, *also, slot, times], n) for n in ("_nth", "_all_times"))
+    once = records.withColumns(also).groupBy(*[col(c) for c in [*names, *also]]).agg(F.count(F.lit(1)).alias(all_times))
+    each = once.withColumn(nth, F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(col(all_times), F.lit(slots)) - 1)))
+    # a null is told by its place: the hash passes nulls over
+    own = F.pmod(F.xxhash64(*[e for c in names for e in (col(c), col(c).isNull())]), F.lit(slots))
+    here = F.floor((col(all_times) - col(nth) - 1) / slots).cast("bigint") + 1
+    return each.withColumns({slot: F.pmod(own + col(nth), F.lit(slots)).cast("int"), times: here}).drop(nth, all_times)
+
+
+def slot_sizes(records: DataFrame, size: Column, slots: int = SLOTS) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot that has any; at most ``slots`` rows reach the driver."""
-    summed = records.groupBy(slot_of(col(key), slots).alias("slot")).agg(
-        F.sum(size).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("rows")
+    bytes_, slot, times = (fresh(records.columns, n) for n in ("_bytes", "_slot", "_times"))
+    summed = dealt(records, {bytes_: size}, slots, slot, times).groupBy(col(slot).alias("slot")).agg(
+        F.sum(col(bytes_) * col(times)).cast("bigint").alias("bytes"), F.sum(col(times)).alias("rows")
     )
     return {r.slot: (r.bytes or 0, r.rows) for r in summed.collect()}
 
 
-def rebalance(records: DataFrame, key: str, size: Column, shards: int, path: str, slots: int = SLOTS) -> SlotMap:
+def rebalance(
+    records: DataFrame, key: str, size: Column, shards: int, path: str, slots: int = SLOTS, new: Sequence[str] = NEW
+) -> SlotMap:
     """Measure the records and store the map that balances their bytes at ``path``.
 
+    ``new`` has the names that ``placed`` will add: columns of these names are not part of a record.
     Starts from the newest version at ``path`` if ``path`` holds one for as many shards and slots,
     else from a first version that deals slots round robin, which is stored too.
     """
+    require(records, key)
     spark = records.sparkSession
     known = _stored(spark, path)
     if known is None or known.shards != shards or len(known.shard) != slots:
         version = known.version + 1 if known else 1
         known = replace(SlotMap.first(shards, slots), version=version)
         known.save(spark, path)
-    new = known.measured(slot_sizes(records, key, size, slots)).rebalanced()
-    new.save(spark, path)
-    return new
+    kept = records.select(*without(records, new))
+    balanced = known.measured(slot_sizes(kept, size, slots)).rebalanced()
+    balanced.save(spark, path)
+    return balanced
 
 
 def _stored(spark: SparkSession, path: str) -> SlotMap | None:
@@ -156,9 +178,10 @@ def placed(
     """Add each record's virtual slot, its shard by ``slot_map``, and its place in the shard (0, 1, 2 ... without gaps).
 
     Places follow the virtual slots in order, and ``key`` and ``order`` inside a slot. Only rows of one
-    slot meet in a task, and equal rows are counted before they do, so that a key that fills a third of
-    the table is one row there. ``slot_map`` must have been measured on these records (``rebalance``).
-    Null keys share a slot. An empty table gives an empty result; columns of the new names are replaced.
+    slot meet in a task, and equal rows are counted before they do. A key that fills a third of the table
+    is spread over the slots, by its other columns and, where rows are equal, by copy; so are null keys.
+    ``slot_map`` must have been measured on these records (``rebalance``, with the same new names).
+    An empty table gives an empty result; columns of the new names are replaced.
     """
     require(records, key)
     kept = records.select(*without(records, [shard, place, slot]))
@@ -172,11 +195,7 @@ def placed(
     spark = records.sparkSession
     rows = [(s, d, starts[s]) for s, d in enumerate(slot_map.shard) if slot_map.rows[s]]
     where = spark.createDataFrame(rows, f"{virtual} int, {shard} int, {before} bigint")  # bounded by the number of slots
-    counted = (
-        kept.withColumns({virtual: slot_of(col(key), len(slot_map.shard)), **dict(zip(sorts, order, strict=True))})
-        .groupBy(virtual, *[col(c) for c in names], *sorts)
-        .agg(F.count(F.lit(1)).alias(times))
-    )
+    counted = dealt(kept, dict(zip(sorts, order, strict=True)), len(slot_map.shard), virtual, times)
     ahead = Window.partitionBy(virtual).orderBy(col(key).asc_nulls_last(), *sorts, *[col(c) for c in names])
     ends = counted.withColumn(last, F.sum(times).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     return (

@@ -35,6 +35,20 @@ def test_versions_and_places(spark, records):
     assert sum(slot_map.rows) == records.count() and sum(slot_map.bytes) == records.agg(F.sum("size")).first()[0]
 
 
+@pytest.mark.parametrize("hot", [7, None])
+@pytest.mark.parametrize("equal", [True, False])
+def test_a_key_with_a_third_of_the_rows_is_spread(spark, hot, equal):
+    rows = [(i, 10, f"t{i}") for i in range(4000)] + [(hot, 10, "same" if equal else f"h{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, word string")
+    slot_map = sharding.rebalance(df, "doc_id", F.col("size"), 16, scratch_path(spark, "map"))
+    out, by = spread(df.repartition(6), slot_map)
+    mean = sum(slot_map.bytes) / 16
+    assert sum(slot_map.rows) == 6000 and max(slot_map.bytes) < 0.1 * mean
+    assert len(by) == 16 and max(abs(r.bytes - mean) for r in by.values()) < 0.02 * mean
+    assert all((r.low, r.high, r.places) == (0, r.n - 1, r.n) for r in by.values())
+    assert sorted(map(repr, out.select("doc_id", "size", "word").collect())) == sorted(map(repr, df.collect()))
+
+
 def test_growth_moves_rows_only_to_the_new_shard(spark, records):
     old = sharding.rebalance(records, "doc_id", F.col("size"), 8, scratch_path(spark, "map"))
     new = old.grown()
