@@ -317,20 +317,22 @@ def vectors_of(spark, sf) -> DataFrame:
 
 def _report(result: train.Result, spark) -> DataFrame:
     rows = [(result.algo_id, k, float(v)) for k, v in sorted(result.metrics.items())]
+    rows += [(result.algo_id, f"cv_{k}", float(result.cv[k])) for k in ("mean", "std") if k in (result.cv or {})]
+    rows += [(result.algo_id, f"importance_{name}", float(v)) for name, v in result.importance or []]
     rows += [(result.algo_id, "n_train", float(result.n_train)), (result.algo_id, "n_test", float(result.n_test))]
     return S.small_frame(spark, rows, "algo_id string, metric string, value double")
 
 
 def _regression(name: str, algo: str, params: dict | None = None):
     def run(spark, sf):
-        return _report(train.train(parts(spark, sf), "p_retailprice", algo, params, "id", folds=0, repeats=0, save=False), spark)
+        return _report(train.train(parts(spark, sf), "p_retailprice", algo, params, "id", save=False), spark)
 
     register(name)(run)
 
 
 def _classification(name: str, algo: str, params: dict | None = None):
     def run(spark, sf):
-        return _report(train.train(labelled_documents(spark, sf), "quality", algo, params, "doc_id", folds=0, repeats=0, save=False), spark)
+        return _report(train.train(labelled_documents(spark, sf), "quality", algo, params, "doc_id", save=False), spark)
 
     register(name)(run)
 
@@ -343,7 +345,7 @@ def _status(name: str, algo: str, params: dict | None = None):
     """Algorithms that want at least some hundred rows run on the orders."""
 
     def run(spark, sf):
-        return _report(train.train(order_status(spark, sf), "o_orderstatus", algo, params, "o_orderkey", folds=0, repeats=0, save=False), spark)
+        return _report(train.train(order_status(spark, sf), "o_orderstatus", algo, params, "o_orderkey", save=False), spark)
 
     register(name)(run)
 
@@ -369,7 +371,7 @@ for _name, _algo, _params in (
 ):
     _classification(_name, _algo, _params)
 for _name, _algo, _params in (
-    ("l07_sgd_classifier", "sgd_classifier", None), ("l11_hist_gb_clf", "hist_gb_clf", {"n_estimators": 3, "max_depth": 3}),
+    ("l07_sgd_classifier", "sgd_classifier", None), ("l11_hist_gb_clf", "hist_gb_clf", None),
     ("l22_mlp_clf", "mlp_clf", None),
 ):
     _status(_name, _algo, _params)
@@ -392,7 +394,7 @@ def _(spark, sf):
 
 @register("l16_logistic_regression_multiclass")
 def _(spark, sf):
-    r = train.train(vectors_of(spark, sf), "label", "logistic_regression", None, "vec_id", folds=0, repeats=0, save=False)
+    r = train.train(vectors_of(spark, sf), "label", "logistic_regression", None, "vec_id", save=False)
     return _report(r, spark)
 
 
@@ -405,13 +407,13 @@ def _(spark, sf):
 
 @register("m18_permutation_importance")
 def _(spark, sf):
-    r = train.train(parts(spark, sf), "p_retailprice", "ridge", None, "id", folds=0, repeats=0, save=False)
+    r = train.train(parts(spark, sf), "p_retailprice", "ridge", None, "id", save=False)
     return train.permutation_importance(r.fitted, parts(spark, sf), key="id")
 
 
 @register("m20_train")
 def _(spark, sf):
-    r = train.train(labelled_documents(spark, sf), "quality", "random_forest_clf", {"n_estimators": 10, "max_depth": 5}, "doc_id", folds=2, repeats=1)
+    r = train.train(labelled_documents(spark, sf), "quality", "random_forest_clf", None, "doc_id")
     return train.run_row(spark, r, "documents").drop("created_at", "id", "model_path", "training_time_s")
 
 
@@ -428,20 +430,20 @@ def _(spark, sf):
                              "dataset string, task string, n_rows bigint, total_missing_pct double, n_text int, high_cardinality boolean, imbalance_ratio double")
     listed = shortlist.shortlist(catalog.algorithm_catalog(spark, trainable_only=True), profiles)
     ids = [r["id"] for r in listed.orderBy("rank").limit(3).collect()]
-    board, _ = train.automl(p, "p_retailprice", [*ids, "svr_rbf"], params={"n_estimators": 5, "max_depth": 3}, key="id", folds=0, repeats=0, save=False)
+    board, _ = train.automl(p, "p_retailprice", [*ids, "svr_rbf"], key="id", save=False)
     return board.drop("seconds")
 
 
 @register("m23_predict")
 def _(spark, sf):
     rows = labelled_documents(spark, sf)
-    r = train.train(rows, "quality", "gaussian_nb", None, "doc_id", folds=0, repeats=0)
+    r = train.train(rows, "quality", "gaussian_nb", None, "doc_id")
     return train.predict(rows.drop("words"), r.path).select("doc_id", "prediction", "confidence")
 
 
 @register("m26_model_importances")
 def _(spark, sf):
-    r = train.train(parts(spark, sf), "p_retailprice", "random_forest_reg", None, "id", folds=0, repeats=0, save=False)
+    r = train.train(parts(spark, sf), "p_retailprice", "random_forest_reg", None, "id", save=False)
     return train.model_importances(r.fitted)
 
 
@@ -502,13 +504,13 @@ def _(spark, sf):
 @register("l31_gaussian_mixture")
 def _(spark, sf):
     rows = groups.vectors(_customers(spark, sf), ["c_nationkey", "c_acctbal"])
-    return groups.gaussian_mixture(rows, 3, 10).select("c_custkey", "cluster")
+    return groups.gaussian_mixture(rows, 3).select("c_custkey", "cluster")
 
 
 @register("l32_isolation_forest")
 def _(spark, sf):
     rows = groups.vectors(_customers(spark, sf), ["c_nationkey", "c_acctbal"])
-    return groups.isolation_forest(rows, "c_custkey", 50).select("c_custkey", "anomaly_score", "is_anomaly")
+    return groups.isolation_forest(rows, "c_custkey").select("c_custkey", "anomaly_score", "is_anomaly")
 
 
 @register("l34_elliptic_envelope")
@@ -583,7 +585,7 @@ def _(spark, sf):
 @register("l25_ml_lags")
 def _(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts", "value", "event_type")
-    r = train.train(events, "value", "ml_lag_rf", None, "event_id", "ts", ["event_type"], folds=0, repeats=0, save=False)
+    r = train.train(events, "value", "ml_lag_rf", None, "event_id", "ts", ["event_type"], save=False)
     return _report(r, spark)
 
 

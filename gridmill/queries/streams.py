@@ -66,7 +66,7 @@ def _(spark, sf):
     from gridmill.ml.train import train
 
     history = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    model = train(history, "value", "decision_tree_reg", None, key="event_id", folds=0, repeats=0)
+    model = train(history, "value", "decision_tree_reg", None, key="event_id")
     rows = _events(spark, sf).select("event_id", "user_id", "event_type", "value")
     scored = jobs.score_stream(rows, model.path)
     return spark.read.parquet(_run(spark, scored.select("event_id", "prediction"), "scores"))
