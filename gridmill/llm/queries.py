@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import fingerprints, jaccard_join, language_id, line_dedup, mixing, pieces, quality_rules, sharding, toxicity, url_filters
+from gridmill.llm import fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, quality_rules, sharding, toxicity, url_filters
+from gridmill.llm.common import WORD, words_of
 from gridmill.llm.registry import query, table
 from gridmill.session import scratch_path
 
@@ -123,3 +124,32 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def made_periodic(text: Column, key: Column) -> Column:
+    """In a tenth of the documents, by the crc32 of the key, the words from place a on repeat with period p."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    words, g = words_of(text), F.floor(h / 10)
+    n = F.size(words)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+    return F.when((h % 10 == 0) & text.rlike(WORD), repeated).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of each text, made periodic in a tenth of them; the run of greatest exponent, and digests of all runs and of what is left."""
+    docs = table(spark, sf, "documents").select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.with_runs(docs).drop("text")
+    # lengths over periods are compared as products of whole numbers; runs come by start and then period, so the first of equals stays
+    greater = lambda x, best: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda best, x: F.when(greater(x, best), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
