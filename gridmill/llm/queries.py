@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, quality_rules, sharding, toxicity, url_filters
+from gridmill.llm import exact_index, fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, quality_rules, sharding, spelling, toxicity, url_filters
 from gridmill.llm.common import WORD, words_of
 from gridmill.llm.registry import query, table
 from gridmill.session import scratch_path
@@ -153,3 +153,16 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+SLIP = 97
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"), slip=SLIP)
+
+
+@query("op13_exact_dedup", exact_index.SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_index.dedup(table(spark, sf, "documents").select("doc_id", "text"))
