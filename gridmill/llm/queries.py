@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import exact_index, fingerprints, jaccard_join, language_id, line_dedup, mixing, periodic_runs, pieces, quality_rules, sharding, spelling, toxicity, url_filters
-from gridmill.llm.common import WORD, words_of
+from gridmill.llm.common import words_of
 from gridmill.llm.registry import query, table
 from gridmill.session import scratch_path
 
@@ -126,23 +126,25 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def made_periodic(text: Column, key: Column) -> Column:
-    """In a tenth of the documents, by the crc32 of the key, the words from place a on repeat with period p."""
-    h = F.crc32(key.cast("string").cast("binary"))
-    words, g = words_of(text), F.floor(h / 10)
-    n = F.size(words)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
-    return F.when((h % 10 == 0) & text.rlike(WORD), repeated).otherwise(text)
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text); in a tenth, by the crc32 of doc_id, the words from place a on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # words in a column of their own: inside the lambda they would be looked for again at each place
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words_of(F.col("text"))).alias("words"))
+    n = F.size("words")
+    a = F.pmod(F.floor(F.col("h") / 10), n)
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.floor(F.col("h") / 10) % 8))
+    measured = split.withColumn("a", F.when(n > 0, a)).withColumn("p", p)
+    place = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", place(i))), " ")
+    return measured.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
 
 
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of each text, made periodic in a tenth of them; the run of greatest exponent, and digests of all runs and of what is left."""
-    docs = table(spark, sf, "documents").select("doc_id", made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
-    found = periodic_runs.with_runs(docs).drop("text")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = periodic_runs.with_runs(made_periodic(docs)).drop("text")
     # lengths over periods are compared as products of whole numbers; runs come by start and then period, so the first of equals stays
     greater = lambda x, best: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
     none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
