@@ -77,19 +77,22 @@ URL_RULES = (
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Pages judged by the rules, else by association rules.
 
-    Labelled URLs are those that a rule judges, and those whose path names a labelled document after the
-    language: block for low quality or toxic ones.
+    Rules are mined from pages whose path names a labelled document after the language: block for low quality or toxic ones.
     """
     pages = table(spark, sf, "pages").select("page_id", "url")
-    url = F.col("url")
-    _, said = url_filters.by_hand(url_filters.host_of(url), url_filters.path_of(url), URL_RULES)
-    number = F.regexp_extract(url_filters.path_of(url), r"^/[a-z]{2}/([0-9]{1,18})(?:[/.]|$)", 1)
-    named = pages.select("url", said.alias("said"), number.try_cast("bigint").alias("doc_id"))
-    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return url_filters.judge(pages, labelled_pages(pages, table(spark, sf, "labels")), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "mined", "confidence"
+    )
+
+
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, label) of the pages that name a labelled document."""
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"^/[a-z]{2}/([0-9]{1,18})(?:[/.]|$)", 1)
+    named = pages.select("url", number.try_cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL")
+    by_doc = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     judged = F.when(bad, "block").when(F.col("quality").isNotNull(), "allow")
-    labelled = named.join(labels, "doc_id", "left").select("url", F.coalesce("said", judged).alias("label"))
-    return url_filters.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+    return named.join(by_doc, "doc_id").select("url", judged.alias("label"))
 
 
 @query("op1_quality_rules")

@@ -15,12 +15,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.functions.joins import small_side
 from gridmill.functions.semantics import col, require
 from gridmill.llm.common import fresh, without, written
 
-MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-MIN_ROWS = 20  # a rule is seen in so many URLs at least
+MIN_ROWS = 20  # a rule is seen in so many labelled URLs at least, however many there are
 ALLOW, BLOCK = "allow", "block"
 RULE_SCHEMA = "tokens array<string>, label string, confidence double, support double, file string"
 
@@ -57,13 +57,11 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(hosts, paths, queries)))
 
 
-def mine(
-    labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
-) -> DataFrame:
+def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Association rules from tokens to a label: ``tokens``, ``label``, ``confidence``, ``support``, ``file`` (its rarest token).
 
-    Rows with a null label or without tokens are passed over; with fewer than ``MIN_ROWS`` left there are no rules. A rule
-    is dropped if one with fewer of its tokens, for the same label, is at least as confident.
+    Rows with a null label or without tokens are passed over; with fewer than ``min_rows`` left there are no rules. Support is asked for as a number
+    of rows, so that a rare host counts as much in a large set. A rule is dropped if one with fewer of its tokens, for the same label, is at least as confident.
     """
     require(labelled, url, label)
     spark = labelled.sparkSession
@@ -71,9 +69,9 @@ def mine(
     items = labelled.select(tokens_of(col(url)).alias("_t"), marked.alias("_l")).filter("_l IS NOT NULL AND size(_t) > 0")
     items = written(items.select(F.concat("_t", F.array("_l")).alias("items")), "url-items")
     rows = items.count()
-    if rows < MIN_ROWS:
+    if rows < min_rows:
         return spark.createDataFrame([], RULE_SCHEMA)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / rows), minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min_rows / rows, minConfidence=min_confidence).fit(items)
     found = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("label=")).select(
         F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 7)").alias("label"), "confidence", "support"
     )
@@ -111,18 +109,22 @@ def match(urls: DataFrame, rules: DataFrame, url: str = "url", found: str = "fou
         .groupBy(F.col("set").alias(their))
         .agg(F.max(F.struct("confidence", "support", F.size("tokens").alias("length"), "label", "tokens")).alias(found))
     )
+    # written, so that either it is small, or both sides are dealt out for the join and a frequent set of tokens can be split
+    best = small_side(written(best, "url-matches"))
     return marked.join(best, col(mine_) == col(their), "left").drop(mine_, their)
 
 
 def judge(
     urls: DataFrame, labelled: DataFrame, hand_rules: Sequence[tuple[str, str]], url: str = "url", default: str = ALLOW,
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``verdict``, and the mined rule behind a verdict without rule by hand.
 
-    The longest rule by hand decides; else the best mined rule; else ``default``. Columns of these names are replaced.
+    The longest rule by hand decides; else the best mined rule; else ``default``. Rules are mined from those ``labelled``
+    URLs (url, label) that no rule by hand decides: the others would teach what is known. Columns of these names are replaced.
     """
-    rules = mine(labelled, "url", "label", min_support, min_confidence)
+    ruled, _ = by_hand(host_of(F.col("url")), path_of(F.col("url")), hand_rules)
+    rules = mine(labelled.filter(ruled.isNull()), "url", "label", min_rows, min_confidence)
     kept = urls.select(*without(urls, ["host", "path", "rule", "verdict", "mined", "confidence"]))
     found = fresh(kept.columns, "_found")
     matched = match(kept, rules, url, found).withColumns({"host": host_of(col(url)), "path": path_of(col(url))})
