@@ -33,7 +33,7 @@ SIGNS = FIELDS * FIELD
 WINDOW = 3
 SLICE = (1 << FIELD) - 1  # windows at most
 _WIDE = 1 << 32
-_PRINTED = 1 << 16  # a sign lane is printed modulo this
+PART_ROWS = 500_000  # ids that one task puts in order
 _BLANKS = " \t\n\x0b\x0c\r"  # what separates words
 _FIRST_BITS = sum(1 << f * FIELD for f in range(FIELDS))
 
@@ -102,13 +102,14 @@ def removed(vector: Column, other: Column) -> Column:
 
 
 def printed(vector: Column) -> Column:
-    """A vector as hexadecimal text: 8 digits a lane, but the last 4 digits only of a sign lane.
+    """A vector as hexadecimal text, 8 digits a lane: all that ``added``, ``removed`` and ``likeness`` need."""
+    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
-    So a printed form adds up too, but only the vector itself gives the likeness of texts of any length.
-    """
-    wide = F.transform(F.slice(vector, 1, EXACT + 1), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    signs = F.transform(F.slice(vector, EXACT + 2, SIGNS), lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(_PRINTED)))), 4, "0"))
-    return F.concat(F.array_join(wide, ""), F.array_join(signs, ""))
+
+def parsed(fingerprint: Column) -> Column:
+    """The vector that a printed form stands for."""
+    lanes = F.sequence(F.lit(0), F.lit(EXACT + SIGNS))
+    return F.transform(lanes, lambda i: F.conv(F.substring(fingerprint, 8 * i + 1, F.lit(8)), 16, 10).cast("bigint"))
 
 
 def likeness(vector: Column, other: Column) -> Column:
@@ -141,9 +142,10 @@ def followers(keys: DataFrame, order: list[Column], names: list[str]) -> DataFra
     After the last comes the first. Rows are range-partitioned and pinned; a partition's last row gets the
     first one of the next partition that has rows, of which there is one for each partition.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = fresh(keys.columns, "_part")
-    laid = pinned(keys.distinct().repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    once = pinned(keys.distinct())
+    n = 1 + once.count() // PART_ROWS
+    laid = pinned(once.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
     row = F.struct(*[col(c) for c in names])
     inside = Window.partitionBy(part).orderBy(*order)
     heads = laid.withColumn("_nth", F.row_number().over(inside)).filter("_nth = 1").select(col(part).alias("_p"), row.alias("_head"))

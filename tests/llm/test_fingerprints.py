@@ -17,7 +17,7 @@ def vectors(spark, texts):
 def test_order_does_not_matter_and_content_does(spark):
     got = vectors(spark, ["one two three four\nfive six\nfive six", "five six\none two three four\n\nfive six\n", "five six\none two three four", "one two three", None, "", " \n"])
     assert got[0].fingerprint == got[1].fingerprint != got[2].fingerprint
-    assert len(got[0].fingerprint) == 8 * (fp.EXACT + 1) + 4 * fp.SIGNS
+    assert len(got[0].fingerprint) == 8 * (fp.EXACT + 1 + fp.SIGNS)
     assert got[4].fingerprint == got[5].fingerprint == got[6].fingerprint == "0" * len(got[0].fingerprint)
 
 
@@ -58,6 +58,37 @@ def test_a_line_repeated_often_does_not_wrap_a_lane(spark):
     assert (summed.s, summed.d) == (got[2].vector, got[0].vector)
 
 
+def lanes(fingerprint):
+    return [int(fingerprint[i : i + 8], 16) for i in range(0, len(fingerprint), 8)]
+
+
+def likeness_by_hand(a, b):
+    """From the printed forms alone."""
+    if a == b:
+        return 1.0
+    u, v = ([x - (1 << 32) if x >= 1 << 31 else x for x in lanes(f)[-fp.SIGNS :]] for f in (a, b))
+    dot = lambda x, y: float(sum(p * q for p, q in zip(x, y, strict=True)))
+    scale = (dot(u, u) * dot(v, v)) ** 0.5
+    return max(0.0, min(1.0, dot(u, v) / scale)) if scale else 0.0
+
+
+def test_printed_forms_give_the_likeness(spark):
+    rnd = random.Random(9)
+    docs = [(i, "\n".join(" ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(0, 9)))) for i in range(40)]
+    docs += [(100, "again " * 100_000), (101, "again " * 70_000 + "and then some words"), (102, "other " * 100_000), (103, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in fp.edited_fingerprints(df).collect()}
+    order = sorted(got)
+    for i, key in enumerate(order):
+        r, after = got[key], got[order[(i + 1) % len(order)]]
+        assert r.near_edited == pytest.approx(likeness_by_hand(r.fingerprint, r.edited_fingerprint), abs=1e-9)
+        assert r.near_next == pytest.approx(likeness_by_hand(r.fingerprint, after.fingerprint), abs=1e-9)
+    assert got[100].near_next > 0.95 and got[101].near_next < 0.5
+    assert {min(x, (1 << 32) - x) for x in lanes(got[100].fingerprint)[-fp.SIGNS :]} == {99_998}
+    forms = spark.createDataFrame([(r.fingerprint,) for r in got.values()], "f string")
+    assert forms.select((fp.printed(fp.parsed(F.col("f"))) == F.col("f")).alias("same")).distinct().collect() == [(True,)]
+
+
 def by_hand(docs):
     """(n_chars, sha256 of the edited text) by document, for distinct non-null ids."""
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
