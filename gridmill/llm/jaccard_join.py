@@ -6,9 +6,10 @@ candidates. In a bucket the values of two sets are compared a few at a time. Aft
 matches, similarity has the posterior Beta(m + 1, n - m + 1); a pair whose posterior probability of reaching
 the threshold is below the tolerance is dropped. The rest is verified on the whole sets.
 
-A pair is never a row. Buckets are worked on as blocks against blocks of bounded size, in numpy; a pair belongs
-to the first band that both sets share, so it counts once; and a block returns for each of its sets the
-number of its links and one link of a spanning forest. What moves grows with the sets, not with pairs.
+A pair is never a row. Buckets are worked on as blocks against blocks of bounded size, in numpy, in two passes: the first sees
+signatures only and names the sets with a partner left; the second gets the grams of those, in smaller blocks. A pair
+belongs to the first band that both sets share, so it counts once, and a set's grams go to few of its buckets. A block returns for
+each of its sets the number of its links and one link of a spanning forest. What moves grows with the sets, not with pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ HASHES = BANDS * ROWS
 STEP = 9  # values compared between two looks at the posterior
 TOLERANCE = 1e-7
 BLOCK_SETS = 2000
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,19 +115,46 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def compare(ids, signatures, gram_sets, copies, blocks, pair, band: int, threshold: float) -> tuple[list, list, list, list]:
-    """The links in one block, or between two blocks, of a bucket.
+class Partners:
+    """The sets of one block, or of two blocks, of a bucket, by their signatures."""
+
+    def __init__(self, signatures: pa.ChunkedArray, sizes: np.ndarray, blocks: np.ndarray, pair: tuple[int, int], band: int, threshold: float):
+        self.values = np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, HASHES)
+        self.keys = self.values.reshape(-1, BANDS, ROWS)
+        self.sizes, self.blocks, self.pair, self.band, self.threshold = sizes.astype(np.int64), blocks, pair, band, threshold
+        self.checks = least_matches(threshold)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(a, others) for each set with candidates left, each pair once: those that the posterior keeps and that this band owns."""
+        low, high = self.pair
+        everyone, sizes, values = np.arange(len(self.sizes)), self.sizes, self.values
+        far = everyone[self.blocks == high]
+        for a in everyone[self.blocks == low].tolist():
+            others = everyone[a + 1 :] if low == high else far
+            # a set's share of the larger set bounds the similarity
+            others = others[np.minimum(sizes[others], sizes[a]) >= self.threshold * np.maximum(sizes[others], sizes[a]) - 1e-9]
+            matches, done = np.zeros(len(others), np.int64), 0
+            for n, fewest in self.checks:
+                if not len(others):
+                    break
+                matches = matches + (values[others, done:n] == values[a, done:n]).sum(axis=1)
+                others, matches, done = others[matches >= fewest], matches[matches >= fewest], n
+            if len(others):
+                same = (self.keys[others] == self.keys[a]).all(axis=2)
+                others = others[same.argmax(axis=1) == self.band]  # the first shared band owns the pair
+            if len(others):
+                yield a, others
+
+
+def compare(ids: list, gram_sets: pa.ChunkedArray, copies: np.ndarray, partners: Partners) -> tuple[list, list, list, list]:
+    """The links among ``partners``.
 
     Returns for each linked set: its id, the documents and the sets it is linked with here, and the smallest id of
     those that it is connected with here.
     """
-    m = len(ids)
-    values = np.frombuffer(b"".join(signatures), np.uint32).reshape(m, HASHES)
-    keys = values.reshape(m, BANDS, ROWS)
-    sizes = np.array([len(g) // 8 for g in gram_sets], np.int64)
+    m, sizes, threshold = len(ids), partners.sizes, partners.threshold
     starts = np.concatenate([[0], np.cumsum(sizes)])
     codes, held = None, None
-    checks = least_matches(threshold)
     docs_linked, sets_linked, root = np.zeros(m, np.int64), np.zeros(m, np.int64), list(range(m))
 
     def top(i: int) -> int:
@@ -135,32 +163,17 @@ def compare(ids, signatures, gram_sets, copies, blocks, pair, band: int, thresho
             i = root[i]
         return i
 
-    everyone = np.arange(m)
-    for a in range(m):
-        if blocks[a] != pair[0]:
-            continue
-        others = everyone[a + 1 :] if pair[0] == pair[1] else everyone[blocks == pair[1]]
-        # a set's share of the larger set bounds the similarity
-        others = others[np.minimum(sizes[others], sizes[a]) >= threshold * np.maximum(sizes[others], sizes[a]) - 1e-9]
-        matches, done = np.zeros(len(others), np.int64), 0
-        for n, fewest in checks:
-            if not len(others):
-                break
-            matches = matches + (values[others, done:n] == values[a, done:n]).sum(axis=1)
-            others, matches, done = others[matches >= fewest], matches[matches >= fewest], n
-        if not len(others):
-            continue
-        same = (keys[others] == keys[a]).all(axis=2)
-        others = others[same.argmax(axis=1) == band]  # the first shared band owns the pair
-        if not len(others):
-            continue
+    for a, others in partners:
         if codes is None:
-            distinct, codes = np.unique(np.frombuffer(b"".join(gram_sets), np.uint64), return_inverse=True)
-            held = np.zeros(len(distinct), bool)
+            whole = pa.chunked_array(gram_sets.chunks, pa.binary()).combine_chunks()
+            first, last = np.frombuffer(whole.buffers()[1], np.int32)[[whole.offset, whole.offset + m]].tolist()
+            distinct, codes = np.unique(np.frombuffer(whole.buffers()[2], np.uint64, (last - first) // 8, first), return_inverse=True)
+            codes, held = codes.astype(np.int32), np.zeros(len(distinct), bool)
+            del distinct, whole
         own = codes[starts[a] : starts[a + 1]]
         held[own] = True
         rows = np.concatenate([codes[starts[j] : starts[j + 1]] for j in others])
-        common = np.add.reduceat(held[rows].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+        common = np.add.reduceat(held[rows], np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
         held[own] = False
         linked = others[common >= threshold * (sizes[a] + sizes[others] - common) - 1e-9]
         docs_linked[a] += copies[linked].sum()
@@ -187,11 +200,7 @@ def classes_of(members: DataFrame) -> DataFrame:
 
 
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(bucket, band, set_id, block, pair): the blocks in which each set is compared.
-
-    Of buckets with the same sets only that of the first band stays. A bucket of n sets is cut in g blocks, and a
-    set goes to the g pairs of blocks that its own is part of.
-    """
+    """(bucket, band, set_id, n_grams): the sets that share a bucket; of buckets with the same sets only that of the first band stays."""
     cut = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.struct(b.cast("tinyint").alias("band"), F.xxhash64(b, F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")),
@@ -200,26 +209,48 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     met = written(bands.join(shared, "bucket"), "jaccard-buckets")
     alike = met.groupBy("bucket").agg(
-        F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.col("n_grams").cast("bigint")).alias("w"),
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("y"),
     )
-    first = alike.groupBy("n", "w", "x", "y").agg(F.min(F.struct("band", "bucket"))["bucket"].alias("bucket"))
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int")
-    chosen = met.join(first.select("bucket", parts.alias("parts")), "bucket")
+    first = alike.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket"))["bucket"].alias("bucket"))
+    return met.join(first.select("bucket"), "bucket").select("bucket", "band", "set_id", "n_grams")
+
+
+def in_blocks(rows: DataFrame, by_grams: bool) -> DataFrame:
+    """(bucket, band, set_id, n_grams, block, low, high): a bucket of n sets is cut in g blocks, and a set goes to the g pairs of blocks that its own is part of."""
+    n, w = F.count(F.lit(1)), F.sum(F.col("n_grams").cast("bigint"))
+    parts = F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(w / BLOCK_GRAMS)) if by_grams else F.ceil(n / BLOCK_SETS)
+    sizes = rows.groupBy("bucket").agg(parts.cast("int").alias("parts"))
     block = F.pmod(F.xxhash64(F.lit(2), "set_id"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")))
-    return chosen.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("bucket", "band", "set_id", "block", "pair.low", "pair.high")
+    cut = rows.join(sizes, "bucket").withColumn("block", block).withColumn("pair", F.explode(pairs))
+    return cut.select("bucket", "band", "set_id", "n_grams", "block", "pair.low", "pair.high")
+
+
+def _partners(group: pa.Table, threshold: float) -> Partners:
+    pair = (group["low"][0].as_py(), group["high"][0].as_py())
+    return Partners(group["signature"], group["n_grams"].to_numpy(), group["block"].to_numpy(), pair, group["band"][0].as_py(), threshold)
+
+
+def candidates_of(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(bucket, band, set_id, n_grams): the sets that still have a partner in their bucket when signatures are compared. No grams are moved for this."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left = np.zeros(group.num_rows, bool)
+        for a, others in _partners(group, threshold):
+            left[a] = True
+            left[others] = True
+        return group.select(["bucket", "band", "set_id", "n_grams"]).filter(pa.array(left))
+
+    found = rows.groupBy("bucket", "low", "high").applyInArrow(run, "bucket bigint, band tinyint, set_id binary, n_grams int")
+    return found.dropDuplicates(["bucket", "set_id"])
 
 
 def links_of(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Compare the sets of each pair of blocks: (set_id, docs, sets, root) for each linked set."""
+    """Compare the whole sets of each pair of blocks: (set_id, docs, sets, root) for each linked set."""
 
     def run(group: pa.Table) -> pa.Table:
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        out = compare(
-            group["set_id"].to_pylist(), group["signature"].to_pylist(), group["grams"].to_pylist(), group["copies"].to_numpy(),
-            group["block"].to_numpy(), (low, high), group["band"][0].as_py(), threshold,
-        )
+        out = compare(group["set_id"].to_pylist(), group["grams"], group["copies"].to_numpy(), _partners(group, threshold))
         types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["set_id", "docs", "sets", "root"])
 
@@ -261,12 +292,14 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
     rows = docs.select(col(key).alias("id"), F.xxhash64(col(text)).alias("hash"), col(text).alias("text"))
     members = written(sets(rows, "text", n), "jaccard-members")
     classes = written(classes_of(members), "jaccard-classes")
-    placed = written(buckets_of(classes), "jaccard-blocks")
-    wanted = classes.join(placed.select("set_id").distinct(), "set_id", "left_semi")
+    met = in_blocks(written(buckets_of(classes), "jaccard-met"), by_grams=False)
+    left = written(candidates_of(met.join(classes.select("set_id", "signature"), "set_id"), threshold), "jaccard-candidates")
+    wanted = classes.join(left.select("set_id").distinct(), "set_id", "left_semi")
     firsts = small_side(wanted.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash")))
     texts = rows.join(firsts, rows["id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash")), "left_semi")
     whole = sets(texts.select("text"), "text", n, with_grams=True).dropDuplicates(["set_id"]).select("set_id", "signature", "grams")
-    found = links_of(placed.join(classes.select("set_id", "copies"), "set_id").join(whole, "set_id"), threshold)
+    whole = written(whole.join(classes.select("set_id", "copies"), "set_id"), "jaccard-grams")
+    found = links_of(in_blocks(left, by_grams=True).join(whole, "set_id"), threshold)
     found = written(found, "jaccard-links")
     counts = found.groupBy("set_id").agg(F.sum("docs").alias("docs"), F.sum("sets").alias("sets"))
     groups = components(found, "set_id", "root")
