@@ -323,8 +323,9 @@ _SP = """
 
 def _algo_values() -> str:
     rows = [
-        f"({i}, '{a}', '{family}', '{task}', {lo}, {hi if hi else 'NULL'}, '{speed}', {'m' in fl}, {'c' in fl}, {'i' in fl})"
-        for i, (a, _, family, task, lo, hi, speed, fl) in enumerate(catalog.ALGORITHMS)
+        f"({i}, '{a.id}', '{a.family}', '{a.task}', {a.min_rows}, {a.max_rows or 'NULL'}, '{a.speed}', "
+        f"{a.handles_missing}, {a.handles_high_cardinality}, {a.interpretable})"
+        for i, a in enumerate(catalog.ALGORITHMS)
     ]
     return "a AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") v(place, id, family, task, lo, hi, speed, m, c, i)), "
 
