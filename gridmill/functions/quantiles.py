@@ -1,33 +1,32 @@
 """Exact quantiles that never gather one column in one task.
 
-Small inputs use the built-in exact ``percentile``. Beyond that a bounded sample
-proposes a narrow bracket around every wanted rank; one pass then counts exactly
-what lies below a bracket and keeps only the values inside. The sample decides
-how narrow a bracket is, never the answer: a bracket that misses its rank is
-opened, one that holds too much is sampled again.
+One pass over the table counts every column and sketches its distribution (KLL, whose rank error is known), which gives a narrow
+bracket around every wanted rank. A second pass counts exactly: a column is cut at the ends of its brackets, rows
+in between are only counted, and the values inside a bracket are counted one by one, so the running count tells every
+rank. The sketch decides how narrow a bracket is, never the answer: a bracket that misses its rank is opened, and one that still
+holds too much is sketched again by itself. Columns of few rows take Spark's exact ``percentile`` in the second pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.joins import small_side
-from gridmill.functions.semantics import SEED, col
+from gridmill.functions.semantics import col
 from gridmill.session import pinned
 
 SMALL_ROWS = 100_000  # rows for the one-task aggregate over whole columns
 SMALL_GROUP_ROWS = 1_000_000  # rows of the largest group for the grouped form
-SAMPLE_ROWS = 50_000  # rows of the sample that proposes the brackets
-BRACKET_ROWS = 5_000_000  # a bracket expected to hold more is sampled again
+SKETCH_SIZE = 8192  # of a KLL sketch
+SLACK = 4 * 2.296 / SKETCH_SIZE**0.9021  # four times the rank error that such a sketch keeps to with 99 %
+BRACKET_ROWS = 5_000_000  # a bracket expected to hold more is sketched again
 GROUP_SKETCH_ACCURACY = 20_000
-_MAX_COLUMNS_PER_PASS = 12
+_MAX_COLUMNS_PER_PASS = 50
 _MAX_ROUNDS = 8
 
 
@@ -41,31 +40,28 @@ class _Bracket:
     total: int
     low: float = -math.inf
     high: float = math.inf
-    expected: float = math.inf  # rows thought to be inside
-    missed: bool = False  # by a sample; the whole column is looked through then
+    below: int = 0  # smaller values than ``low``, and values inside; known once the bracket was sketched by itself
+    inside: int = 0
+    missed: bool = False  # by a sketch; the whole column is looked through then
 
     @property
     def ranks(self) -> tuple[int, int]:
         return math.floor(self.rank), math.ceil(self.rank)
 
-    def reopen(self) -> None:
-        self.low, self.high, self.expected, self.missed = -math.inf, math.inf, float(self.total), True
+    @property
+    def shares(self) -> tuple[float, float]:
+        """The part of the values inside between which the wanted one is looked for."""
+        share = (self.rank - self.below) / max(self.inside - 1, 1)
+        return max(0.0, share - SLACK), min(1.0, share + SLACK)
 
-    def aim(self, sample: np.ndarray, below: int, inside: int) -> None:
-        """Set the ends six standard errors around the rank within a sorted
-        sample of the ``inside`` values that follow ``below`` smaller ones."""
-        m = len(sample)
-        if not m or not inside:
-            return
-        share = min(1.0, max(0.0, (self.rank - below) / inside))
-        slack = 6.0 * math.sqrt(m * share * (1.0 - share)) + 2.0
-        i, j = math.floor(share * m - slack), math.ceil(share * m + slack)
-        if i >= 0:
-            self.low = float(sample[i])
-        if j < m:
-            self.high = float(sample[j])
-        # only what the sample shows; a value that fills the bracket stays cheap
-        self.expected = inside * min(1.0, (j - i) / m)
+    @property
+    def expected(self) -> float:
+        """Rows thought to lie within ``shares``."""
+        low, high = self.shares
+        return self.total if self.missed else (high - low) * self.inside
+
+    def reopen(self) -> None:
+        self.low, self.high, self.missed = -math.inf, math.inf, True
 
 
 def column_quantiles(
@@ -74,18 +70,19 @@ def column_quantiles(
     probs: Sequence[float],
     n_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns: ``{column: [q, …]}``.
+    """Linear-interpolated quantiles of several columns: ``{column: [q, …]}``, in two passes over the table.
 
-    Only a bounded sample and a few numbers per column and probability reach
-    the driver.
+    Only a few numbers per column and probability reach the driver. ``n_rows``, where known, saves nothing but is accepted.
     """
     columns, probs = list(columns), [float(p) for p in probs]
     out: dict[str, list[float | None]] = {}
-    n = (df.count() if n_rows is None else n_rows) if columns else 0
-    for start in range(0, len(columns), _MAX_COLUMNS_PER_PASS):
+    for start in range(0, len(columns) if probs else 0, _MAX_COLUMNS_PER_PASS):
         part = columns[start : start + _MAX_COLUMNS_PER_PASS]
-        out.update(_by_aggregate(df, part, probs) if n <= SMALL_ROWS else _by_brackets(df, part, probs, n))
-    return out
+        numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(part)])
+        brackets, largest = _sketched(numbers, probs)
+        found = _by_aggregate(numbers, probs) if largest <= SMALL_ROWS else _by_brackets(numbers, probs, brackets)
+        out.update(zip(part, found, strict=True))
+    return out if probs else {c: [] for c in columns}
 
 
 def _number(column: str) -> Column:
@@ -94,115 +91,114 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def _by_aggregate(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+def _by_aggregate(numbers: DataFrame, probs: list[float]) -> list[list[float | None]]:
     array = F.array(*[F.lit(p) for p in probs])
-    row = df.agg(*[F.percentile(_number(c), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {
-        c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i, c in enumerate(columns)
-    }
+    row = numbers.agg(*[F.percentile(c, array).alias(c) for c in numbers.columns]).first()
+    return [list(q) if q is not None else [None] * len(probs) for q in row]
+
 
+def _cuts_of(sketch: Column, shares: Sequence[float]) -> Column:
+    return F.when(sketch.isNotNull(), F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(s) for s in shares])))
 
-def _by_brackets(df: DataFrame, columns: list[str], probs: list[float], n: int) -> dict[str, list[float | None]]:
-    numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
-    sample = numbers.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), SEED).toPandas()
+
+def _sketched(numbers: DataFrame, probs: list[float]) -> tuple[list[_Bracket], int]:
+    """Brackets from one sketch a column, and the rows of the fullest column: the first pass."""
+    ends = [e for p in probs for e in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    summed = numbers.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(numbers.columns)],
+        *[F.kll_sketch_agg_double(c, F.lit(SKETCH_SIZE)).alias(f"s{i}") for i, c in enumerate(numbers.columns)],
+    )
+    row = summed.select(
+        *[f"n{i}" for i in range(len(numbers.columns))],
+        *[F.when(F.col(f"n{i}") > 0, _cuts_of(F.col(f"s{i}"), ends)).alias(f"c{i}") for i in range(len(numbers.columns))],
+    ).first()
     brackets = []
-    for i in range(len(columns)):
-        known = np.sort(sample[f"v{i}"].dropna().to_numpy())
-        for j, p in enumerate(probs if sizes[i] else []):
-            b = _Bracket(i, j, (sizes[i] - 1) * p, sizes[i])
-            b.aim(known, 0, sizes[i])
-            brackets.append(b)
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    todo = brackets
+    for i in range(len(numbers.columns)):
+        n, cuts = row[f"n{i}"], row[f"c{i}"]
+        for j, p in enumerate(probs if n else []):
+            brackets.append(_Bracket(i, j, (n - 1) * p, n, cuts[2 * j], cuts[2 * j + 1], 0, n))
+    return brackets, max((row[f"n{i}"] for i in range(len(numbers.columns))), default=0)
+
+
+def _by_brackets(numbers: DataFrame, probs: list[float], todo: list[_Bracket]) -> list[list[float | None]]:
+    out: list[list[float | None]] = [[None] * len(probs) for _ in numbers.columns]
     for _ in range(_MAX_ROUNDS):
         if not todo:
-            break
+            return out
         _narrow(numbers, todo)
         found = _look_up(numbers, todo)
-        for k, b in enumerate(todo):
-            lo, hi = found.get((k, b.ranks[0])), found.get((k, b.ranks[1]))
+        for b in todo:
+            lo, hi = found.get((b.column, b.ranks[0])), found.get((b.column, b.ranks[1]))
             if lo is None or hi is None:
-                b.reopen()  # the sample missed
+                b.reopen()  # the sketch missed
             else:
-                out[columns[b.column]][b.place] = lo + (hi - lo) * (b.rank - b.ranks[0])
-        todo = [b for b in todo if out[columns[b.column]][b.place] is None]
+                out[b.column][b.place] = lo + (hi - lo) * (b.rank - b.ranks[0])
+        todo = [b for b in todo if out[b.column][b.place] is None]
     if todo:
-        raise RuntimeError(f"no quantile found for {sorted({columns[b.column] for b in todo})}")
+        raise RuntimeError(f"no quantile found for {sorted({numbers.columns[b.column] for b in todo})}")
     return out
 
 
+def _spans(brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """The brackets of one column, those that overlap as one."""
+    spans: list[tuple[float, float]] = []
+    for low, high in sorted((b.low, b.high) for b in brackets):
+        if spans and low <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        else:
+            spans.append((low, high))
+    return spans
+
+
 def _look_up(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
-    """``{(bracket, rank): value}`` for the wanted ranks that lie inside.
+    """``{(column, rank): value}`` for the wanted ranks that lie inside a bracket: the second pass.
 
-    Tasks emit one count of smaller values per bracket and the (value, count)
-    pairs inside; the running count per bracket then tells every rank.
+    Each value becomes (column, slice, value), with the value itself only inside a bracket, and is counted; tasks
+    sum before they shuffle. Odd slices are brackets, even ones lie between them.
     """
-    where = [(b.column, b.low, b.high) for b in brackets]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        below = np.zeros(len(where), dtype=np.int64)
-        for pdf in batches:
-            arrays = [pdf[c].to_numpy(dtype=float) for c in pdf.columns]
-            parts = []
-            for k, (c, low, high) in enumerate(where):
-                x = arrays[c]
-                below[k] += int((x < low).sum())
-                v, m = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
-                parts.append(pd.DataFrame({"k": k, "v": v, "m": m}))
-            yield pd.concat(parts)
-        # counts of smaller values carry no value of their own and sort first
-        yield pd.DataFrame({"k": np.arange(len(where)), "v": pd.array([None] * len(where), dtype="Float64"), "m": below})
-
-    pairs = numbers.mapInPandas(fold, "k int, v double, m bigint").groupBy("k", "v").agg(F.sum("m").alias("m"))
-    run = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = pairs.withColumn("e", F.sum("m").over(run)).withColumn("s", F.col("e") - F.col("m"))
-    wanted = F.get(
-        F.array(*[F.array(*[F.lit(r).cast("bigint") for r in sorted(set(b.ranks))]) for b in brackets]), F.col("k")
-    )
-    hits = placed.filter(F.col("v").isNotNull()).select(
-        "k", "v", F.explode(F.filter(wanted, lambda r: (r >= F.col("s")) & (r < F.col("e")))).alias("rank")
-    )
-    return {(r["k"], r["rank"]): r["v"] for r in hits.collect()}
+    own = {c: [b for b in brackets if b.column == c] for c in sorted({b.column for b in brackets})}
+    parts = []
+    for c, mine in own.items():
+        x, place = F.col(numbers.columns[c]), F.lit(0)
+        for low, high in _spans(mine):  # ascending: each end that is reached adds one
+            place = place + F.when(x >= F.lit(low), 1).otherwise(0) + F.when(x > F.lit(high), 1).otherwise(0)
+        parts.append(F.struct(F.lit(c).alias("c"), F.when(x.isNotNull(), place).alias("s"), F.when(place % 2 == 1, x).alias("v")))
+    counted = numbers.select(F.inline(F.array(*parts))).filter("s IS NOT NULL").groupBy("c", "s", "v").agg(F.count(F.lit(1)).alias("m"))
+    run = Window.partitionBy("c").orderBy("s", "v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("e", F.sum("m").over(run)).withColumn("b", F.col("e") - F.col("m"))
+    ranks = [F.lit(c) if k == 0 else F.array(*[F.lit(r).cast("bigint") for r in sorted({r for b in mine for r in b.ranks})]) for c, mine in own.items() for k in (0, 1)]
+    wanted = F.try_element_at(F.create_map(*ranks), F.col("c"))
+    hits = placed.filter("v IS NOT NULL").select("c", "v", F.explode(F.filter(wanted, lambda r: (r >= F.col("b")) & (r < F.col("e")))).alias("rank"))
+    return {(r["c"], r["rank"]): r["v"] for r in hits.collect()}
 
 
 def _narrow(numbers: DataFrame, brackets: list[_Bracket]) -> None:
-    """Sample again inside brackets that are expected to hold very many rows."""
+    """Sketch by themselves the brackets that are expected to hold very many rows, until they do not or one value fills them."""
     for _ in range(_MAX_ROUNDS):
         wide = [b for b in brackets if b.expected > BRACKET_ROWS and b.low < b.high and not b.missed]
         if not wide:
             return
-        where = [(b.column, b.low, b.high, min(1.0, SAMPLE_ROWS / len(wide) / b.expected)) for b in wide]
-
-        def probe(batches: Iterator[pd.DataFrame], where=where) -> Iterator[pd.DataFrame]:
-            rng = np.random.RandomState(SEED)
-            below, inside = np.zeros(len(where), dtype=np.int64), np.zeros(len(where), dtype=np.int64)
-            for pdf in batches:
-                arrays = [pdf[c].to_numpy(dtype=float) for c in pdf.columns]
-                for k, (c, low, high, rate) in enumerate(where):
-                    x = arrays[c]
-                    below[k] += int((x < low).sum())
-                    x = x[(x >= low) & (x <= high)]
-                    inside[k] += len(x)
-                    some = x[rng.random_sample(len(x)) < rate]
-                    if len(some):
-                        yield pd.DataFrame({"k": k, "v": some, "below": 0, "inside": 0})
-            yield pd.DataFrame({"k": np.arange(len(where)), "v": np.nan, "below": below, "inside": inside})
-
-        rows = numbers.mapInPandas(probe, "k int, v double, below bigint, inside bigint")
-        facts = rows.groupBy("k").agg(
-            F.sum("below").alias("below"), F.sum("inside").alias("inside"),
-            F.array_sort(F.collect_list(F.when(~F.isnan("v"), F.col("v")))).alias("sample"),
-        )
-        before = [b.expected for b in wide]
-        for r in facts.collect():
-            b = wide[r["k"]]
-            lo, hi = b.ranks
-            if lo < r["below"] or hi >= r["below"] + r["inside"]:
+        aggs = []
+        for k, b in enumerate(wide):
+            x = F.col(numbers.columns[b.column])
+            held = F.when((x >= F.lit(b.low)) & (x <= F.lit(b.high)), x)
+            aggs += [F.count_if(x < F.lit(b.low)).alias(f"b{k}"), F.count(held).alias(f"n{k}"), F.kll_sketch_agg_double(held, F.lit(SKETCH_SIZE)).alias(f"s{k}")]
+        summed = pinned(numbers.agg(*aggs))
+        sizes = summed.first()
+        for k, b in enumerate(wide):
+            b.below, b.inside = sizes[f"b{k}"], sizes[f"n{k}"]
+            if b.ranks[0] < b.below or b.ranks[1] >= b.below + b.inside:
                 b.reopen()
-            else:
-                b.aim(np.array(r["sample"]), r["below"], r["inside"])
-        if all(b.expected >= was for b, was in zip(wide, before)):
+        still = [(k, b) for k, b in enumerate(wide) if not b.missed]
+        if not still:
+            return
+        ends = summed.select(*[_cuts_of(F.col(f"s{k}"), b.shares).alias(f"c{k}") for k, b in still]).first()
+        moved = False
+        for k, b in still:
+            low, high = ends[f"c{k}"]
+            moved |= (low, high) != (b.low, b.high)
+            b.low, b.high = low, high
+        if not moved:
             return
 
 

@@ -16,9 +16,10 @@ from pyspark.ml.feature import Binarizer
 from pyspark.sql import DataFrame
 
 from gridmill.functions.semantics import SEED
-from gridmill.ml import models
+from gridmill.ml import histtrees, models
 
 MAX_DEPTH = 10  # grown trees stop here unless the caller asks for another depth
+DEEPEST = 30  # what MLlib's trees allow
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,11 @@ class Context:
 
 
 class Fitter:
-    """A plain function as an estimator."""
+    """A plain function as an estimator; ``fit_many`` fits several tables together."""
 
-    def __init__(self, fit: Callable[[DataFrame], object]):
-        self.fit = fit
+    def __init__(self, fit: Callable[[DataFrame], object] | None = None, fit_many: Callable[[list[DataFrame]], list] | None = None):
+        self.fit = fit or (lambda df: fit_many([df])[0])
+        self.fit_many = fit_many
 
 
 def _weights(ctx: Context) -> dict:
@@ -49,7 +51,10 @@ def _ridge(p: dict, ctx: Context):
 
 
 def _depth(p: dict, default: int = MAX_DEPTH) -> int:
-    return min(30, p.get("max_depth") or default)
+    depth = p.get("max_depth") or default
+    if depth > DEEPEST:
+        raise ValueError(f"max_depth may be {DEEPEST} at most, not {depth}")
+    return depth
 
 
 def _min_split(p: dict) -> dict:
@@ -63,15 +68,30 @@ def _forest(kind: str, p: dict, ctx: Context, n: int = 200, **more):
 
 
 def _boosted(kind: str, p: dict, ctx: Context, depth: int = 5, n: int = 100):
+    if kind == "clf" and ctx.n_classes > 2:
+        return _histogram(kind, p, ctx, depth, n, min_rows=1)
     shared = dict(
         maxIter=p.get("n_estimators", n), stepSize=p.get("learning_rate", 0.1), maxDepth=_depth(p, depth),
         subsamplingRate=p.get("subsample", 1.0), seed=SEED,
     )
+    return R.GBTRegressor(**shared) if kind == "reg" else C.GBTClassifier(**shared, **_weights(ctx))
+
+
+def _histogram(kind: str, p: dict, ctx: Context, depth: int = 5, n: int = 100, min_rows: int = 20):
+    """Boosting on binned features: one booster for all classes, and missing values have a bin."""
+    options = dict(
+        rounds=p.get("n_estimators", p.get("max_iter", n)), depth=_depth(p, depth), rate=p.get("learning_rate", 0.1),
+        subsample=p.get("subsample", 1.0), min_rows=p.get("min_samples_leaf", min_rows), l2=p.get("l2_regularization", 0.0),
+    )
+    classes = max(2, ctx.n_classes) if kind == "clf" else 0
+    return Fitter(fit_many=lambda tables: histtrees.fit_boosted(tables, classes, **options))
+
+
+def _adaboost(kind: str, p: dict, ctx: Context):
+    rounds, rate = p.get("n_estimators", 50), p.get("learning_rate", 1.0)
     if kind == "reg":
-        return R.GBTRegressor(**shared)
-    if ctx.n_classes <= 2:
-        return C.GBTClassifier(**shared, **_weights(ctx))
-    return C.OneVsRest(classifier=C.GBTClassifier(**shared), **_weights(ctx))
+        return Fitter(fit_many=lambda tables: histtrees.fit_adaboost_regressor(tables, rounds, _depth(p, 3), rate))
+    return Fitter(fit_many=lambda tables: histtrees.fit_adaboost_classifier(tables, max(2, ctx.n_classes), rounds, _depth(p, 1), rate))
 
 
 def _svc(p: dict, ctx: Context):
@@ -108,7 +128,7 @@ FACTORIES: dict[str, Factory] = {
     "extra_trees_reg": lambda p, c: _forest("reg", p, c, bootstrap=False, maxBins=8),
     "bagging_reg": lambda p, c: _forest("reg", p, c, n=50, featureSubsetStrategy="all"),
     "gradient_boosting_reg": lambda p, c: _boosted("reg", p, c, depth=3),
-    "adaboost_reg": lambda p, c: Fitter(lambda df: models.fit_adaboost_regressor(df, p.get("n_estimators", 50), _depth(p, 3), p.get("learning_rate", 1.0))),
+    "adaboost_reg": lambda p, c: _adaboost("reg", p, c),
     "knn_reg": lambda p, c: Fitter(lambda df: models.fit_neighbours(df, p.get("n_neighbors", 5), False)),
     "logistic_regression": lambda p, c: C.LogisticRegression(
         regParam=1.0 / (p.get("C", 1.0) * c.n_rows), maxIter=p.get("max_iter", 100), standardization=False, **_weights(c)
@@ -125,14 +145,17 @@ FACTORIES: dict[str, Factory] = {
     "extra_trees_clf": lambda p, c: _forest("clf", p, c, bootstrap=False, maxBins=8),
     "bagging_clf": lambda p, c: _forest("clf", p, c, n=50, featureSubsetStrategy="all"),
     "gradient_boosting_clf": lambda p, c: _boosted("clf", p, c, depth=3),
-    "adaboost_clf": lambda p, c: Fitter(lambda df: models.fit_adaboost_classifier(df, p.get("n_estimators", 50), _depth(p, 1), p.get("learning_rate", 1.0))),
+    "adaboost_clf": lambda p, c: _adaboost("clf", p, c),
     "lda": lambda p, c: Fitter(models.fit_lda),
     "qda": lambda p, c: Fitter(models.fit_qda),
     "mlp_clf": _mlp,
     "ml_lag_rf": lambda p, c: _forest("reg", p, c),
+    "hist_gb_reg": lambda p, c: _histogram("reg", p, c),
+    "hist_gb_clf": lambda p, c: _histogram("clf", p, c),
 }
+TAKES_MISSING = ("hist_gb_reg", "hist_gb_clf")  # their features are not imputed
 # Other boosted-tree ids share the boosted operator.
-for _id in ("hist_gb", "xgboost", "lightgbm", "catboost"):
+for _id in ("xgboost", "lightgbm", "catboost"):
     FACTORIES[f"{_id}_reg"] = lambda p, c: _boosted("reg", p, c)
     FACTORIES[f"{_id}_clf"] = lambda p, c: _boosted("clf", p, c)
 for _id in ("ml_lag_xgb", "ml_lag_lgb"):
@@ -153,6 +176,17 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+def distinct_settings(algo_id: str, settings: list[dict]) -> list[dict]:
+    """Settings without those that stand for the same model as one before: no depth and ``MAX_DEPTH`` are one for trees that MLlib grows."""
+    seen, out = [], []
+    for s in settings:
+        meant = {**s, "max_depth": s["max_depth"] or MAX_DEPTH} if "max_depth" in s else s
+        if meant not in seen:
+            seen.append(meant)
+            out.append(s)
+    return out
+
+
 def build(algo_id: str, params: dict | None, ctx: Context):
     """An estimator for ``algo_id``; MLlib ones come wrapped in a Pipeline."""
     if algo_id not in FACTORIES:

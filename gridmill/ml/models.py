@@ -10,8 +10,6 @@ import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,122 +234,6 @@ def fit_multinomial_nb(df: DataFrame, alpha: float = 1.0) -> ExpressionModel:
     return _class_state(list(moments), coef, intercept, floor=floor.tolist())
 
 
-# --- boosting of weighted trees ---------------------------------------------
-
-class TreeVote:
-    """Weighted vote (classes) or weighted median (numbers) of tree models."""
-
-    def __init__(self, trees: list, weights: list[float], classes: list[float] | None):
-        self.trees, self.weights, self.classes = trees, weights, classes
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, t in enumerate(self.trees):
-            t.setPredictionCol(f"__p{i}")
-            scored = t.transform(out)
-            out = scored.drop(*[c for c in ("rawPrediction", "probability") if c not in df.columns])
-        votes = [F.struct(F.col(f"__p{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)]
-        total = F.lit(float(sum(self.weights)) or 1.0)
-        if self.classes is not None:
-            scores = [
-                sum((F.when(F.col(f"__p{i}") == c, F.lit(float(w))).otherwise(0.0) for i, w in enumerate(self.weights)), F.lit(0.0)) / total
-                for c in self.classes
-            ]
-            shares = F.array(*scores)
-            out = _decided(out.withColumn("probability", shares), self.classes, F.col("probability"), False)
-            new = {}
-        else:
-            half = F.lit(sum(self.weights) / 2)
-            start = F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("p"))
-            walk = F.aggregate(
-                F.array_sort(F.array(*votes)), start,
-                lambda s, v: F.struct(
-                    (s["acc"] + v["w"]).alias("acc"),
-                    F.when(s["p"].isNull() & (s["acc"] + v["w"] >= half), v["p"]).otherwise(s["p"]).alias("p"),
-                ),
-            )
-            new = {"prediction": walk["p"]}
-        return (out.withColumns(new) if new else out).drop(*[f"__p{i}" for i in range(len(self.trees))])
-
-    def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
-        state = {"weights": self.weights, "classes": self.classes}
-        S.small_frame(spark, [(json.dumps(state),)], "value string").write.text(f"{path}/state")
-        for i, t in enumerate(self.trees):
-            t.save(f"{path}/tree_{i}")
-
-    @staticmethod
-    def load(path: str) -> "TreeVote":
-        from pyspark.ml.classification import DecisionTreeClassificationModel
-        from pyspark.ml.regression import DecisionTreeRegressionModel
-
-        state = json.loads(SparkSession.getActiveSession().read.text(f"{path}/state").first()[0])
-        kind = DecisionTreeRegressionModel if state["classes"] is None else DecisionTreeClassificationModel
-        trees = [kind.load(f"{path}/tree_{i}") for i in range(len(state["weights"]))]
-        return TreeVote(trees, **state)
-
-
-def fit_adaboost_classifier(df: DataFrame, rounds: int = 50, depth: int = 1, rate: float = 1.0) -> TreeVote:
-    """SAMME: rows the last tree got wrong weigh more in the next round.
-
-    Row weights live in a column that is pinned each round, so the plan does
-    not grow and a lost executor does not replay the rounds.
-    """
-    classes = [float(r[0]) for r in df.select("label").distinct().orderBy("label").collect()]
-    start = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
-    work = pinned(df.select("features", "label", start.alias("w")))
-    trees, weights = [], []
-    for i in range(rounds):
-        tree = DecisionTreeClassifier(maxDepth=depth, weightCol="w", seed=S.SEED + i).fit(work)
-        scored = tree.transform(work)
-        miss = F.when(F.col("prediction") != F.col("label"), 1.0).otherwise(0.0)
-        err = scored.agg(F.try_divide(F.sum(F.col("w") * miss), F.sum("w"))).first()[0]
-        if err is None or err >= 1 - 1 / len(classes):
-            break
-        trees.append(tree)
-        if err <= 0:
-            weights.append(1.0)
-            break
-        alpha = rate * (np.log((1 - err) / err) + np.log(len(classes) - 1))
-        weights.append(float(alpha))
-        if i + 1 < rounds:
-            raised = scored.select("features", "label", (F.col("w") * F.exp(F.lit(float(alpha)) * miss)).alias("w"))
-            total = raised.agg(F.avg("w")).first()[0]
-            work = pinned(raised.withColumn("w", F.col("w") / F.lit(total)))
-    if not trees:
-        trees, weights = [DecisionTreeClassifier(maxDepth=depth, weightCol="w").fit(work)], [1.0]
-    return TreeVote(trees, weights, classes)
-
-
-def fit_adaboost_regressor(df: DataFrame, rounds: int = 50, depth: int = 3, rate: float = 1.0) -> TreeVote:
-    """AdaBoost.R2 with linear loss: weights instead of resampling."""
-    work = pinned(df.select("features", "label", F.lit(1.0).alias("w")))
-    trees, weights = [], []
-    for i in range(rounds):
-        tree = DecisionTreeRegressor(maxDepth=depth, weightCol="w", seed=S.SEED + i).fit(work)
-        scored = tree.transform(work).withColumn("e", F.abs(F.col("prediction") - F.col("label")))
-        top = scored.agg(F.max("e")).first()[0]
-        if not top:
-            trees.append(tree)
-            weights.append(1.0)
-            break
-        loss = F.col("e") / F.lit(top)
-        mean = scored.agg(F.sum(F.col("w") * loss) / F.sum("w")).first()[0]
-        if mean >= 0.5:
-            break
-        beta = mean / (1 - mean)
-        trees.append(tree)
-        weights.append(float(rate * np.log(1 / beta)))
-        if i + 1 < rounds:
-            lowered = F.col("w") * F.pow(F.lit(beta), F.lit(rate) * (1 - loss))
-            raised = scored.select("features", "label", lowered.alias("w"))
-            total = raised.agg(F.avg("w")).first()[0]
-            work = pinned(raised.withColumn("w", F.col("w") / F.lit(total)))
-    if not trees:
-        trees, weights = [DecisionTreeRegressor(maxDepth=depth).fit(df)], [1.0]
-    return TreeVote(trees, weights, None)
-
-
 # --- nearest neighbours -----------------------------------------------------
 
 class NeighbourModel:

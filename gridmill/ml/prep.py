@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import semantics as S
 from gridmill.functions.joins import is_small, small_side
 from gridmill.functions.pairs import correlations
-from gridmill.functions.positions import with_position
+from gridmill.functions.positions import look_back, with_position
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
 from gridmill.operators import profile
@@ -144,6 +144,8 @@ class Preprocessor:
     frequent, then one column per value (an unseen value is all zeros). Text
     with more values: most frequent, then its sorted code (unseen is -1), looked
     up by a join so that the code table may be of any size.
+
+    Without ``impute``, for models that know missing values, numbers stay as they are and whatever comes from a missing value is NaN.
     """
 
     numeric: list[str] = field(default_factory=list)
@@ -155,6 +157,7 @@ class Preprocessor:
     modes: dict[str, str] = field(default_factory=dict)
     codes: dict[str, DataFrame] = field(default_factory=dict, repr=False)
     small_codes: dict[str, bool] = field(default_factory=dict)
+    impute: bool = True
 
     @property
     def inputs(self) -> list[str]:
@@ -170,19 +173,24 @@ class Preprocessor:
         present = set(df.columns)
         raw = lambda c: col(c) if c in present else F.lit(None)
         out, parts = df, []
+        gap = F.lit(float("nan"))
         for c, mid, mu, sd in zip(self.numeric, self.medians, self.means, self.deviations):
-            value = F.coalesce(S.finite(raw(c).cast("double")), F.lit(float(mid)))
-            parts.append((value - F.lit(mu)) / F.lit(sd))
+            value = S.finite(raw(c).cast("double"))
+            parts.append((F.coalesce(value, F.lit(float(mid))) - F.lit(mu)) / F.lit(sd) if self.impute else F.coalesce(value, gap))
         for c, values in self.one_hot.items():
-            value = F.coalesce(raw(c).cast("string"), F.lit(self.modes.get(c)))
-            parts += [F.when(value == v, 1.0).otherwise(0.0) for v in values]
+            text = raw(c).cast("string")
+            value = F.coalesce(text, F.lit(self.modes.get(c))) if self.impute else text
+            hot = [F.when(value == v, 1.0).otherwise(0.0) for v in values]
+            parts += hot if self.impute else [F.when(text.isNull(), gap).otherwise(h) for h in hot]
         for i, c in enumerate(self.ordinal):
             table = self.codes[c].select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__o{i}"))
             if self.small_codes[c]:
                 table = F.broadcast(table)
-            value = F.coalesce(raw(c).cast("string"), F.lit(self.modes.get(c)))
+            text = raw(c).cast("string")
+            value = F.coalesce(text, F.lit(self.modes.get(c))) if self.impute else text
             out = out.join(table, value == F.col(f"__v{i}"), "left")
-            parts.append(F.coalesce(F.col(f"__o{i}").cast("double"), F.lit(-1.0)))
+            code = F.coalesce(F.col(f"__o{i}").cast("double"), F.lit(-1.0))
+            parts.append(code if self.impute else F.when(text.isNull(), gap).otherwise(code))
         return out.select(*[col(c) for c in df.columns], array_to_vector(F.array(*parts)).alias(output))
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -199,11 +207,11 @@ class Preprocessor:
 
 
 def build_preprocessor(
-    train: DataFrame, target: str | None, features: Sequence[str] | None = None, dates: Sequence[str] = ()
+    train: DataFrame, target: str | None, features: Sequence[str] | None = None, dates: Sequence[str] = (), impute: bool = True
 ) -> Preprocessor:
     """Fit a ``Preprocessor``; date columns are left out."""
     names = [c for c in (features or train.columns) if c != target and c not in set(dates)]
-    p = Preprocessor(numeric=[c for c in names if S.is_numeric(train, c)])
+    p = Preprocessor(numeric=[c for c in names if S.is_numeric(train, c)], impute=impute)
     text = [c for c in names if c in S.text_columns(train) + S.bool_columns(train)]
     if p.numeric:
         found = column_quantiles(train, p.numeric, [0.5])
@@ -291,6 +299,31 @@ def kfold(df: DataFrame, k: int = 5, key: str | Column | None = None, seed: int
     return placed.select(*[col(c) for c in df.columns], (F.col("__pos") % k).cast("int").alias("fold"))
 
 
+def rolling_folds(
+    df: DataFrame, date: str, k: int = 5, gap: int = 0, by: Sequence[str] = (), tiebreak: str | None = None
+) -> DataFrame:
+    """Add ``fold`` and ``ready`` for folds that roll on in time.
+
+    The time axis is cut into k + 1 blocks at its quantiles, and ``fold`` (0..k) is the row's block. Fold i from 1 on tests on block i and trains on
+    the rows with ``ready`` <= i: those in blocks before i that have ``gap`` later rows of their series there too, so that no value
+    that a test row's lags were made of is a training row's target within that reach. Rows without a time, and the
+    last ``gap`` of a series, have a null ``ready``: no fold trains on them. A null time has no block.
+    """
+    when = F.unix_micros(S.time_col(df, date))
+    cuts = column_quantiles(df.select(when.alias("u")), ["u"], [i / (k + 1) for i in range(1, k + 1)])["u"]
+    # a time on a cut belongs to the block before it
+    block = lambda t: F.when(t.isNotNull(), sum((F.when(t > F.lit(c), 1).otherwise(0) for c in cuts if c is not None), F.lit(0)))
+    tie = col(tiebreak) if tiebreak else S.row_digest(df)
+    order = [F.col("__when").desc_nulls_first(), tie.desc()]
+    timed = df.withColumn("__when", when)
+    if gap:
+        timed = look_back(timed, by, order, gap, lambda w: {"__after": F.lag("__when", gap).over(w)})
+    else:
+        timed = timed.withColumn("__after", F.col("__when"))
+    new = {"fold": block(F.col("__when")).cast("int"), "ready": (block(F.col("__after")) + 1).cast("int")}
+    return timed.withColumns(new).select(*[col(c) for c in df.columns], "fold", "ready")
+
+
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(label, n, weight): balanced weights when the classes are uneven, else 1."""
     counts = class_distribution(df, target)

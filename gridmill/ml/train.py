@@ -21,14 +21,18 @@ from gridmill.functions import semantics as S
 from gridmill.functions.positions import with_position
 from gridmill.functions.semantics import col
 from gridmill.ml import estimators, metrics, prep
-from gridmill.ml.models import ExpressionModel, NeighbourModel, TreeVote
+from gridmill.ml.histtrees import HistModel
+from gridmill.ml.models import ExpressionModel, NeighbourModel
 from gridmill.operators import timeagg, typing
 from gridmill.operators.registry import rank_runs
 from gridmill.plans.catalog import algorithm
-from gridmill.session import scratch_path
+from gridmill.session import pinned, scratch_path, stored
 
 MAX_CLASSES = 1_000
-_LOADERS = {c.__name__: c for c in (PipelineModel, ExpressionModel, TreeVote, NeighbourModel)}
+LAGS = 7  # of a time series' target, and the gap between the rows a fold trains and tests on
+WORKERS = 6  # folds, or repeats, whose jobs run side by side
+IMPORTANCE_BLOCK = 10  # columns whose shuffled scores one job works out
+_LOADERS = {c.__name__: c for c in (PipelineModel, ExpressionModel, HistModel, NeighbourModel)}
 
 
 class TrainingError(ValueError):
@@ -108,21 +112,37 @@ def _labelled(df: DataFrame, target: str, classes: list | None) -> DataFrame:
     return df.withColumn("label", (place - 1).cast("double"))
 
 
-def _fit(train: DataFrame, target: str, algo_id: str, params: dict | None, problem: str, classes, weights: dict | None, dates) -> Fitted:
-    """Fit the preprocessor and the estimator on these rows only."""
-    p = prep.build_preprocessor(train, target, dates=dates)
-    rows = _labelled(p.transform(train), target, classes).filter(F.col("label").isNotNull())
-    keep = ["features", "label"]
-    if weights:
-        w = F.coalesce(*[F.when(F.col("label") == float(i), F.lit(x)) for i, x in enumerate(weights)], F.lit(1.0))
-        rows, keep = rows.withColumn("weight", w), [*keep, "weight"]
-    data = rows.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+def _side_by_side(work, items) -> list:
+    """``work`` for each item, a few at a time. The threads only submit jobs; all work runs on the cluster."""
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, min(WORKERS, len(items)))) as pool:
+        return list(pool.map(work, items))
+
+
+def _fit_all(tables: Sequence[DataFrame], target: str, algo_id: str, params: dict | None, problem: str, classes, weights: list | None, dates) -> list[Fitted]:
+    """For each table a preprocessor and an estimator that know its rows only. Jobs run side by side; boosted trees share their passes."""
+
+    def prepared(train: DataFrame) -> tuple[prep.Preprocessor, DataFrame, estimators.Context]:
+        p = prep.build_preprocessor(train, target, dates=dates, impute=algo_id not in estimators.TAKES_MISSING)
+        rows = _labelled(p.transform(train), target, classes).filter(F.col("label").isNotNull())
+        keep = ["features", "label"]
+        if weights:
+            w = F.coalesce(*[F.when(F.col("label") == float(i), F.lit(x)) for i, x in enumerate(weights)], F.lit(1.0))
+            rows, keep = rows.withColumn("weight", w), [*keep, "weight"]
+        data = rows.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+        return p, data, estimators.Context(data.count(), len(p.feature_names), len(classes or ()), bool(weights))
+
+    ready = _side_by_side(prepared, tables)
     try:
-        ctx = estimators.Context(data.count(), len(p.feature_names), len(classes or ()), bool(weights))
-        model = estimators.build(algo_id, params, ctx).fit(data)
+        builds = [estimators.build(algo_id, params, ctx) for _, _, ctx in ready]
+        if getattr(builds[0], "fit_many", None):
+            models = builds[0].fit_many([data for _, data, _ in ready])
+        else:
+            models = _side_by_side(lambda i: builds[i].fit(ready[i][1]), range(len(ready)))
     finally:
-        data.unpersist()
-    return Fitted(algo_id, target, problem, p, model, classes)
+        for _, data, _ in ready:
+            data.unpersist()
+    return [Fitted(algo_id, target, problem, p, model, classes) for (p, _, _), model in zip(ready, models, strict=True)]
 
 
 def _scores(fitted: Fitted, rows: DataFrame, binary_auc: bool = False) -> dict[str, float]:
@@ -143,17 +163,22 @@ def _rounded(values: dict[str, float | None]) -> dict[str, float]:
     return {k: round(float(v), 2 if k == "mape" else 4) for k, v in values.items() if v is not None and k != "f1_weighted"}
 
 
-def cross_validate(
-    train: DataFrame, target: str, algo_id: str, params: dict | None, problem: str, classes: list | None,
-    weights=None, folds: int = 5, key: str | Column | None = None, dates: Sequence[str] = (),
-) -> dict:
-    """{scoring, mean, std, folds}: every fold refits preprocessing and model."""
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` written once, so that fits and scores do not repeat the work behind it."""
+    return pinned(df) if any(f.dataType.typeName() == "void" for f in df.schema.fields) else stored(df, "training-rows")
+
+
+def _fold_rows(marked: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows to fit on, rows to score) of each fold, by the columns ``fold`` and, for folds in time, ``ready``."""
+    rolling = "ready" in marked.columns
+    fits = lambda i: F.col("ready") <= i if rolling else F.col("fold") != i
+    numbers = range(1, folds + 1) if rolling else range(folds)
+    return [(marked.filter(fits(i)).drop("fold", "ready"), marked.filter(F.col("fold") == i).drop("fold", "ready")) for i in numbers]
+
+
+def _cv_report(fitted: Sequence[Fitted], held: Sequence[DataFrame], problem: str) -> dict:
     scoring = "f1_weighted" if problem == "classification" else "r2"
-    marked = prep.kfold(train, folds, key, label=target if classes else None)
-    values = []
-    for i in range(folds):
-        rest, held = marked.filter(F.col("fold") != i).drop("fold"), marked.filter(F.col("fold") == i).drop("fold")
-        values.append(_scores(_fit(rest, target, algo_id, params, problem, classes, weights, dates), held)[scoring])
+    values = _side_by_side(lambda i: _scores(fitted[i], held[i])[scoring], range(len(held)))
     got = np.array([v for v in values if v is not None], dtype=float)
     if not len(got):
         return {}
@@ -163,44 +188,75 @@ def cross_validate(
     }
 
 
+def cross_validate(
+    train: DataFrame, target: str, algo_id: str, params: dict | None, problem: str, classes: list | None,
+    weights=None, folds: int = 5, key: str | Column | None = None, dates: Sequence[str] = (),
+) -> dict:
+    """{scoring, mean, std, folds}: every fold refits preprocessing and model.
+
+    ``train`` may bring its folds: a column ``fold`` (see ``prep.kfold``), for time series with ``ready`` (see ``prep.rolling_folds``). Else rows are
+    dealt to folds by a hash of ``key``, evenly by class.
+    """
+    marked = train if "fold" in train.columns else _held(prep.kfold(train, folds, key, label=target if classes else None))
+    rows = _fold_rows(marked, folds)
+    return _cv_report(_fit_all([r for r, _ in rows], target, algo_id, params, problem, classes, weights, dates), [h for _, h in rows], problem)
+
+
 def permutation_importance(
-    fitted: Fitted, df: DataFrame, repeats: int = 5, k: int = 20, key: str | Column | None = None
+    fitted: Fitted, df: DataFrame, repeats: int = 5, k: int | None = None, key: str | Column | None = None
 ) -> DataFrame:
-    """(feature, importance): how much the score drops when a column is shuffled.
+    """(feature, importance): how much the score drops when a column is shuffled, for all columns, or the ``k`` first.
 
-    A shuffle pairs the rows in two seeded orders by their positions. All
-    columns and repeats are scored in one job: each row appears once per column
-    with only that column taken from its partner.
+    Rows are put in one seeded order; a shuffle pairs each row with the one a seeded number of positions on. One job scores a block of columns
+    side by side, each with only that column taken from the partner, so rows are not multiplied.
     """
-    names = fitted.preprocessor.inputs
+    spark, names = df.sparkSession, fitted.preprocessor.inputs
     row_key = col(key) if isinstance(key, str) else (key if key is not None else S.row_digest(df))
-    base = df.select(row_key.alias("__key"), col(fitted.target).alias("__y"), *[col(c).alias(f"__f{i}") for i, c in enumerate(names)])
-    at = lambda seed: with_position(
-        base.withColumn("__h", S.seeded_hash(F.col("__key"), seed)), [], [F.col("__h").asc(), F.col("__key").asc()], name="__pos"
-    )
-    left = at(S.SEED)
-    parts = []
-    for rep in range(repeats):
-        right = at(S.SEED + 1 + rep).select(F.col("__pos"), *[F.col(f"__f{i}").alias(f"__r{i}") for i in range(len(names))])
-        parts.append(left.join(right, "__pos").withColumn("__rep", F.lit(rep)))
-    paired = parts[0]
-    for p in parts[1:]:
-        paired = paired.unionByName(p)
-    spread = paired.withColumn("__swap", F.explode(F.array(*[F.lit(i) for i in range(-1, len(names))])))
-    mixed = spread.select(
-        "__rep", "__swap", F.col("__y").alias(fitted.target),
-        *[F.when(F.col("__swap") == i, F.col(f"__r{i}")).otherwise(F.col(f"__f{i}")).alias(c) for i, c in enumerate(names)],
-    )
-    scored = _labelled(fitted.score(mixed), fitted.target, fitted.classes)
-    if fitted.problem_type == "classification":
-        score = F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))
-    else:
-        score = metrics.regression_exprs(F.col("label"), F.col("prediction"))["r2"]
-    per = scored.groupBy("__rep", "__swap").agg(score.alias("s"))
-    whole = per.filter("__swap = -1").select("__rep", F.col("s").alias("base"))
-    drops = per.filter("__swap >= 0").join(F.broadcast(whole), "__rep").groupBy("__swap").agg(F.avg(F.col("base") - F.col("s")).alias("d"))
-    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("__swap"))
-    return drops.select(name.alias("feature"), F.round("d", 4).alias("importance")).orderBy(F.desc("importance"), "feature").limit(k)
+    base = df.select(row_key.alias("__key"), col(fitted.target), *[col(c) for c in names])
+    hashed = base.withColumn("__h", S.seeded_hash(F.col("__key"), S.SEED))
+    placed = _held(with_position(hashed, [], [F.col("__h").asc(), F.col("__key").asc()], name="__pos").drop("__h", "__key"))
+    n = placed.count()
+    if not n:
+        return S.small_frame(spark, [], "feature string, importance double")
+
+    def score(prediction: str) -> Column:
+        label, found = F.col("label"), F.col(prediction)
+        if fitted.problem_type == "classification":
+            return F.avg(F.when(found == label, 1.0).otherwise(0.0))
+        return metrics.regression_exprs(label, found)["r2"]
+
+    def scored(rows: DataFrame, columns: list[int]) -> list[float]:
+        """The scores of ``rows`` (with a partner's values as __r0, __r1 …) with each of the columns taken from the partner."""
+        if isinstance(fitted.model, NeighbourModel):  # one search for all: it has its own row for each column
+            swapped = [rows.withColumns({names[i]: F.col(f"__r{i}"), "__swap": F.lit(i)}) for i in columns]
+            every = swapped[0]
+            for more in swapped[1:]:
+                every = every.unionByName(more)
+            found = _labelled(fitted.score(every), fitted.target, fitted.classes).groupBy("__swap").agg(score("prediction").alias("s")).collect()
+            by_column = {r["__swap"]: r["s"] for r in found}
+            return [by_column[i] for i in columns]
+        wide = rows.withColumns({f"__f{i}": col(names[i]) for i in columns})
+        for i in columns:
+            swapped = fitted.score(wide.withColumn(names[i], F.col(f"__r{i}"))).drop("probability")
+            wide = swapped.withColumnRenamed("prediction", f"__p{i}").withColumn(names[i], F.col(f"__f{i}"))
+        row = _labelled(wide, fitted.target, fitted.classes).agg(*[score(f"__p{i}").alias(f"s{i}") for i in columns]).first()
+        return [row[f"s{i}"] for i in columns]
+
+    blocks = [list(range(len(names)))[i : i + IMPORTANCE_BLOCK] for i in range(0, len(names), IMPORTANCE_BLOCK)]
+    shifts = np.random.RandomState(S.SEED).randint(1, max(2, n), repeats).tolist()
+
+    def drops(shift: int) -> list[float]:
+        partner = placed.select(F.pmod(F.col("__pos") - F.lit(shift), F.lit(n)).alias("__pos"), *[col(c).alias(f"__r{i}") for i, c in enumerate(names)])
+        paired = placed.join(partner, "__pos").drop("__pos")
+        if len(blocks) > 1:
+            paired = _held(paired)
+        return [s for block in blocks for s in scored(paired, block)]
+
+    whole = _labelled(fitted.score(placed.drop("__pos")), fitted.target, fitted.classes).agg(score("prediction").alias("s")).first()["s"]
+    each = np.array(_side_by_side(drops, shifts), dtype=float)
+    found = [(c, round(float(whole - s), 4) + 0.0) for c, s in zip(names, each.mean(axis=0))] if whole is not None else []
+    rows = sorted(found, key=lambda r: (-r[1], r[0]))
+    return S.small_frame(spark, rows[:k], "feature string, importance double")
 
 
 def _task(df: DataFrame, target: str, algo: dict, date: str | None) -> tuple[str, str]:
@@ -239,8 +295,9 @@ def train(
     if problem == "classification":
         counts = _class_counts(df, target)
         classes = sorted(counts)
-    if task == "time_series" and date:
-        df = timeagg.prepare_time_series(df, date, target, by=by, tiebreak=key if isinstance(key, str) else None)
+    in_time = task == "time_series" and date is not None
+    if in_time:
+        df = timeagg.prepare_time_series(df, date, target, lags=LAGS, by=by, tiebreak=key if isinstance(key, str) else None)
     dates = [c for c in typing.date_columns(df.drop(target)) if c in df.columns]
     result = Result(algo_id, task, problem, params=params or {})
     weights = None
@@ -251,18 +308,25 @@ def train(
             n = sum(counts.values())
             weights = [n / (len(classes) * counts[c]) for c in classes]
         marked = prep.stratified_split(df, target, test_size, key)
-    elif task == "time_series" and date:
+    elif in_time:
         marked = prep.chrono_split(df, date, test_size)
     else:
         marked = prep.split(df, test_size, key)
+    marked = _held(marked)
     fit_rows, test_rows = marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
     if isinstance(key, str) and key not in dates:
         dates = [*dates, key]  # the row key is an identifier, not a feature
-    if folds > 1:
-        k = min(folds, *counts.values()) if classes else folds
-        if k > 1:
-            result.cv = cross_validate(fit_rows, target, algo_id, params, problem, classes, weights, k, key, dates)
-    fitted = _fit(fit_rows, target, algo_id, params, problem, classes, weights, dates)
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    k = min(folds, *counts.values()) if classes else folds
+    if k > 1:
+        if in_time:
+            folded = prep.rolling_folds(fit_rows, date, k, LAGS, by, key if isinstance(key, str) else None)
+        else:
+            folded = prep.kfold(fit_rows, k, key, label=target if classes else None)
+        parts = _fold_rows(_held(folded), k)
+    *by_fold, fitted = _fit_all([*(r for r, _ in parts), fit_rows], target, algo_id, params, problem, classes, weights, dates)
+    if parts:
+        result.cv = _cv_report(by_fold, [h for _, h in parts], problem)
     result.fitted = fitted
     result.metrics = _rounded(_scores(fitted, test_rows, binary_auc=True))
     sizes = {r["is_test"]: r["count"] for r in marked.groupBy("is_test").count().collect()}
@@ -291,20 +355,20 @@ def tune(
     problem = algo["task"]
     df = df.filter(col(target).isNotNull())
     names = sorted(grid)
-    settings = [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])]
+    settings = estimators.distinct_settings(algo_id, [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])])
     if method == "random" and len(settings) > draws:
         pick = np.random.RandomState(S.SEED).permutation(len(settings))[:draws]
         settings = [settings[i] for i in sorted(pick)]
     classes = sorted(_class_counts(df, target)) if problem == "classification" else None
-    marked = prep.stratified_split(df, target, key=key) if classes else prep.split(df, key=key)
+    marked = _held(prep.stratified_split(df, target, key=key) if classes else prep.split(df, key=key))
     fit_rows, test_rows = marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
     dates = typing.date_columns(df.drop(target)) + ([key] if isinstance(key, str) else [])
-    tried = []
+    tried, folded = [], _held(prep.kfold(fit_rows, folds, key, label=target if classes else None))
     for s in settings:
-        cv = cross_validate(fit_rows, target, algo_id, s, problem, classes, None, folds, key, dates)
+        cv = cross_validate(folded, target, algo_id, s, problem, classes, None, folds, key, dates)
         tried.append((json.dumps(s, sort_keys=True), cv["mean"], cv["std"]))
     best = max(range(len(tried)), key=lambda i: tried[i][1])
-    fitted = _fit(fit_rows, target, algo_id, settings[best], problem, classes, None, dates)
+    (fitted,) = _fit_all([fit_rows], target, algo_id, settings[best], problem, classes, None, dates)
     result = Result(f"{algo_id}_tuned", problem, problem, params=settings[best], fitted=fitted)
     result.metrics = _rounded(_scores(fitted, test_rows, binary_auc=True))
     result.cv = {"mean": tried[best][1], "std": tried[best][2]}

@@ -42,35 +42,43 @@ def test_grouped_quantile_with_a_hot_group(skewed, monkeypatch):
 
 
 def test_a_poor_sketch_changes_nothing(skewed, monkeypatch):
+    """Brackets of a sketch that is far worse than thought miss their ranks and are opened."""
     pdf, df = skewed
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 6)
-    got = quantiles.column_quantiles(df, ["v"], [0.25, 0.5, 0.75])
-    assert got["v"] == pytest.approx(pdf["v"].quantile([0.25, 0.5, 0.75]).tolist())
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
+    opened = []
+    reopen = quantiles._Bracket.reopen
+    monkeypatch.setattr(quantiles._Bracket, "reopen", lambda self: (opened.append(self), reopen(self)))
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = quantiles.column_quantiles(df, ["v", "id"], probs)
+    for c in ("v", "id"):
+        assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+    assert opened
 
 
 def test_wide_brackets_are_narrowed(skewed, monkeypatch):
     pdf, df = skewed
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 200)
+    monkeypatch.setattr(quantiles, "SLACK", 0.06)
     monkeypatch.setattr(quantiles, "BRACKET_ROWS", 300)
     got = quantiles.column_quantiles(df, ["v", "id"], [0.1, 0.5, 0.9])
     for c in ("v", "id"):
         assert got[c] == pytest.approx(pdf[c].quantile([0.1, 0.5, 0.9]).tolist())
 
 
-def test_a_sample_that_misses_the_rank(skewed, monkeypatch):
-    pdf, df = skewed
+def test_quantiles_take_two_passes(skewed, monkeypatch):
+    """No rows reach the driver or Python, and the table is read twice."""
+    _, df = skewed
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 0)
-    aim = quantiles._Bracket.aim
-
-    def wrong(self, sample, below, inside):
-        aim(self, sample, below, inside)
-        self.low, self.high = 1e6, 2e6
-
-    monkeypatch.setattr(quantiles._Bracket, "aim", wrong)
-    got = quantiles.column_quantiles(df, ["v"], [0.25, 0.5])
-    assert got["v"] == pytest.approx(pdf["v"].quantile([0.25, 0.5]).tolist())
+    seen = []
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows were collected"))
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: pytest.fail("rows went to Python"))
+    first, collect = type(df).first, type(df).collect
+    monkeypatch.setattr(type(df), "first", lambda self: (seen.append("first"), first(self))[1])
+    monkeypatch.setattr(type(df), "collect", lambda self: (seen.append("collect"), collect(self))[1])
+    quantiles.column_quantiles(df, ["v", "id"], [0.25, 0.5, 0.75])
+    assert seen[0] == "first" and seen.count("collect") - seen.count("first") in (0, 1) and len(seen) <= 4
 
 
 def test_grouped_quantile_with_a_poor_sketch(skewed, monkeypatch):
