@@ -1,7 +1,7 @@
 """Second moments of a vector column in one distributed pass.
 
-Every task folds its Arrow batches into one small matrix per group and emits
-that; only ``groups * d * d`` numbers are summed and brought to the driver.
+Every task folds its Arrow batches into one small matrix per group and emits its upper triangle in
+blocks; blocks are summed by key, and only ``groups * d * d / 2`` numbers are brought to the driver.
 Linear models, discriminants, covariances and SVD all start from these.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 2_000  # a d-by-d matrix must fit the driver comfortably
+BLOCK_VALUES = 32_768  # of the matrix in one row
 
 
 def as_array(c: Column | str = "features") -> Column:
@@ -51,17 +52,28 @@ def grouped_gram(
                 part = (z[hit] * w[hit, None]).T @ z[hit]
                 sums[value] = sums[value] + part if value in sums else part
         for value, m in sums.items():
-            yield pd.DataFrame({"g": value, "row": np.arange(len(m)), "m": list(m)})
+            flat = m[np.triu_indices(len(m))]
+            for k in range(0, len(flat), BLOCK_VALUES):
+                yield pd.DataFrame({"g": [value], "block": [k // BLOCK_VALUES], "m": [flat[k : k + BLOCK_VALUES].tobytes()]})
 
-    parts = flat.mapInPandas(fold, "g double, row bigint, m array<double>")
-    cells = parts.select("g", "row", F.posexplode("m").alias("col", "v"))
-    summed = cells.groupBy("g", "row", "col").agg(F.sum("v").alias("v"))
-    rows = summed.groupBy("g", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("m"))
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[float, int], np.ndarray] = {}
+        for pdf in batches:
+            for g, block, m in zip(pdf["g"], pdf["block"], pdf["m"], strict=True):
+                sums[g, block] = sums.get((g, block), 0.0) + np.frombuffer(m)
+        if sums:
+            yield pd.DataFrame([(g, block, m.tobytes()) for (g, block), m in sums.items()], columns=["g", "block", "m"])
+
+    # the matrix is symmetric: its upper triangle is summed, cut in blocks, which tasks add up side by side
+    schema = "g double, block int, m binary"
+    found = flat.mapInPandas(fold, schema).repartition("g", "block").mapInPandas(add, schema).collect()
     out: dict[object, np.ndarray] = {}
-    for r in rows.collect():
-        line = np.array([c["v"] for c in r["m"]])
-        m = out.setdefault(r["g"], np.zeros((len(line), len(line))))
-        m[int(r["row"])] = line
+    for g in sorted({r["g"] for r in found}):
+        values = np.concatenate([np.frombuffer(r["m"]) for r in sorted((r for r in found if r["g"] == g), key=lambda r: r["block"])])
+        size = int((np.sqrt(8 * len(values) + 1) - 1) / 2)
+        m = np.zeros((size, size))
+        m[np.triu_indices(size)] = values
+        out[g] = m + np.triu(m, 1).T
     return out
 
 

@@ -110,7 +110,7 @@ def test_nearest_is_exact(cloud, monkeypatch, path):
     if path == "cells":
         monkeypatch.setattr(neighbours, "SMALL_CORPUS_VALUES", 0)
         monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
-        monkeypatch.setattr(neighbours, "PIVOTS", 7)
+        monkeypatch.setattr(neighbours, "FAN", 5)
     got = neighbours.nearest(df, df, 4, exclude_self=True).orderBy("id", "place").toPandas()
     d = neighbours.distances(v, v)
     np.fill_diagonal(d, np.inf)
@@ -140,11 +140,44 @@ def _brute_dbscan(v, eps, m):
 def test_dbscan_matches_brute_force(cloud, monkeypatch):
     v, df = cloud
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(neighbours, "PIVOTS", 6)
+    monkeypatch.setattr(neighbours, "FAN", 4)
     got = neighbours.dbscan(df, 0.35, 6).orderBy("id").toPandas()
     assert (got["cluster"].to_numpy() == _brute_dbscan(v, 0.35, 6)).all()
 
 
+def test_compared_pairs_grow_slower_than_the_square(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    rng = np.random.RandomState(4)
+    seen = []
+    for n in (500, 1000, 4000):
+        middles = rng.uniform(0, 1000, (n // 50, 3))  # clusters of 50
+        v = middles[rng.randint(0, len(middles), n)] + rng.normal(size=(n, 3))
+        df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "v": list(v)}), "id bigint, v array<double>")
+        cells = neighbours.Cells(df, 6)
+        seen.append(neighbours.compared(*cells.blocks(cells.visits(df))))
+    assert seen[2] < 6 * seen[1] < 20 * seen[0]  # the square would be 16 times, and 4 times
+    assert seen[2] < 4000**2 / 10
+
+
+def test_equal_points_are_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "SMALL_CORPUS_VALUES", 0)
+    df = spark.range(200).select("id", F.when(F.col("id") < 150, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(0.0))).alias("v"))
+    got = neighbours.nearest(df, df, 3, exclude_self=True).filter("id < 3").orderBy("id", "place").collect()
+    assert [(r.id, r.neighbour, r.distance) for r in got] == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (1, 0, 0), (1, 2, 0), (1, 3, 0), (2, 0, 0), (2, 1, 0), (2, 3, 0)]
+
+
+def test_moments_of_many_columns(spark, monkeypatch):
+    from gridmill.ml import moments
+
+    x = np.random.RandomState(6).normal(size=(60, 300))
+    df = spark.createDataFrame(pd.DataFrame({"v": list(x), "g": np.arange(60) % 2.0})).repartition(4)
+    monkeypatch.setattr(moments, "BLOCK_VALUES", 1000)
+    for g, m in grouped_gram(df, F.col("v"), F.col("g")).items():
+        z = np.hstack([x[int(g) :: 2], np.ones((30, 1))])
+        assert np.allclose(m, z.T @ z)
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(60)
     edges = spark.range(59).filter("id <> 30").selectExpr("id AS a", "id + 1 AS b")
