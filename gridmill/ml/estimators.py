@@ -14,6 +14,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridmill.functions.semantics import SEED
 from gridmill.ml import histtrees, models
@@ -46,8 +47,18 @@ def _linear(alpha: float = 0.0, l1: float = 0.0, **more) -> Callable:
     return R.LinearRegression(regParam=alpha, elasticNetParam=l1, standardization=False, **more)
 
 
-def _ridge(p: dict, ctx: Context):
-    return _linear(p.get("alpha", 1.0) / ctx.n_rows, 0.0)
+def _elastic(alpha: float, share: float) -> Fitter:
+    """Squares / 2n + alpha * (share * sum |w| + (1 - share) / 2 * sum w²).
+
+    MLlib divides the whole penalty by the label's deviation where only the absolute part should be, so the squared part is given times that.
+    """
+
+    def fit(df: DataFrame):
+        spread = df.agg(F.stddev_pop("label")).first()[0] or 1.0
+        first, second = alpha * share, alpha * (1 - share) * spread
+        return Pipeline(stages=[_linear(first + second, first / (first + second) if first + second else 0.0)]).fit(df)
+
+    return Fitter(fit)
 
 
 def _depth(p: dict, default: int = MAX_DEPTH) -> int:
@@ -116,9 +127,9 @@ def _mlp(p: dict, ctx: Context):
 Factory = Callable[[dict, Context], object]
 FACTORIES: dict[str, Factory] = {
     "linear_regression": lambda p, c: _linear(),
-    "ridge": _ridge,
+    "ridge": lambda p, c: Fitter(lambda df: models.fit_ridge(df, p.get("alpha", 1.0))),
     "lasso": lambda p, c: _linear(p.get("alpha", 0.1), 1.0),
-    "elasticnet": lambda p, c: _linear(p.get("alpha", 0.1), p.get("l1_ratio", 0.5)),
+    "elasticnet": lambda p, c: _elastic(p.get("alpha", 0.1), p.get("l1_ratio", 0.5)),
     "bayesian_ridge": lambda p, c: Fitter(models.fit_bayesian_ridge),
     "huber": lambda p, c: R.LinearRegression(loss="huber", epsilon=p.get("epsilon", 1.35), regParam=p.get("alpha", 1e-4), maxIter=p.get("max_iter", 100)),
     "sgd_regressor": lambda p, c: _linear(p.get("alpha", 1e-4), solver="l-bfgs"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -17,9 +20,9 @@ from gridmill.functions import semantics as S
 from gridmill.functions.quantiles import column_quantiles
 from gridmill.functions.semantics import col
 from gridmill.ml import neighbours
-from gridmill.ml.moments import as_array, gram, mean_cov, quadratic
+from gridmill.ml.moments import as_array, gram, grouped_gram, mean_cov, quadratic
 from gridmill.operators.clean import sample_n, standardize
-from gridmill.session import pinned
+from gridmill.session import pinned, stored
 
 
 def vectors(df: DataFrame, columns: Sequence[str], scale: bool = True) -> DataFrame:
@@ -40,15 +43,105 @@ def embedded(df: DataFrame, column: str) -> DataFrame:
 # --- clusters ---------------------------------------------------------------
 
 def kmeans(df: DataFrame, k: int = 4, restarts: int = 10, max_iter: int = 20) -> DataFrame:
-    """Add ``cluster``: the best of several seeded starts by total cost."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=S.SEED + i, maxIter=max_iter).fit(df.select("features"))
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    """Add ``cluster``: the best of several seeded starts by total cost. The vectors are held once, starts run side by side."""
+    held = df.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        held.count()
+        with ThreadPoolExecutor(max_workers=min(4, restarts)) as pool:
+            models = list(pool.map(lambda i: KMeans(k=k, seed=S.SEED + i, maxIter=max_iter).fit(held), range(restarts)))
+    finally:
+        held.unpersist()
+    best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(df).withColumnRenamed("prediction", "cluster")
 
 
+BATCH_ROWS = 10_000
+
+
+def _first_centres(x: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
+    """k rows, each drawn with a chance that grows with the square of its distance to those before it."""
+    found = [x[rng.randint(len(x))]]
+    near = ((x - found[0]) ** 2).sum(axis=1)
+    while len(found) < k:
+        total = near.sum()
+        found.append(x[rng.choice(len(x), p=near / total) if total > 0 else rng.randint(len(x))])
+        near = np.minimum(near, ((x - found[-1]) ** 2).sum(axis=1))
+    return np.stack(found)
+
+
+def closest(centres: np.ndarray):
+    """An expression for the number of the centre nearest to ``features``; the smaller number among equals."""
+
+    @F.pandas_udf("int")
+    def cluster(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy()) if len(x) else np.empty((0, centres.shape[1]))
+        return pd.Series(neighbours.distances(rows, centres).argmin(axis=1).astype(np.int32))
+
+    return cluster(as_array("features"))
+
+
+def minibatch_centres(df: DataFrame, k: int = 4, steps: int = 100, batch: int = BATCH_ROWS, tol: float = 1e-4) -> np.ndarray:
+    """Centres from seeded batches of rows.
+
+    A step touches one batch, about ``batch`` rows picked by a hash of the vector; a centre moves towards its new rows' mean by their number
+    over all that it has had. Rows outside the batches are not read again: they are laid down by batch once. It stops when a
+    step moves no centre by more than ``tol``.
+    """
+    n = df.count()
+    if not n:
+        raise S.ColumnError("no complete rows")
+    batches = max(1, min(steps, n // batch))
+    unit = S.seeded_bucket(F.xxhash64("x", "turn"), S.SEED, 1_000_000_000)
+    flat = df.select(as_array("features").alias("x"), F.monotonically_increasing_id().alias("turn"))
+    share = batches * batch / n if n > batch else 1.0
+    picked = flat.withColumn("u", unit / 1_000_000_000).filter(F.col("u") < min(1.0, share))
+    number = F.least(F.lit(batches - 1), F.floor(F.col("u") / min(1.0, share) * batches)).cast("int")
+    laid = stored(picked.select("x", number.alias("batch")).repartitionByRange(batches, "batch"), "mini-batches")
+    rng = np.random.RandomState(S.SEED)
+    first = np.stack([r["x"] for r in laid.filter("batch = 0").orderBy("x").limit(batch).collect()] or [r["x"] for r in laid.limit(batch).collect()])
+    centres, counts = _first_centres(first, k, rng), np.zeros(k)
+    for step in range(steps):
+        def sums(frames: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
+            total, seen = np.zeros_like(centres), np.zeros(len(centres))
+            for pdf in frames:
+                if not pdf.empty:
+                    x = np.stack(pdf["x"].to_numpy())
+                    home = neighbours.distances(x, centres).argmin(axis=1)
+                    np.add.at(total, home, x)
+                    seen += np.bincount(home, minlength=len(centres))
+            yield pd.DataFrame({"cluster": np.flatnonzero(seen), "n": seen[seen > 0], "total": list(total[seen > 0])})
+
+        found = laid.filter(F.col("batch") == step % batches).mapInPandas(sums, "cluster int, n double, total array<double>").collect()
+        moved = centres.copy()
+        for c in range(k):
+            own = [r for r in found if r["cluster"] == c]
+            if own:
+                m, total = sum(r["n"] for r in own), np.sum([r["total"] for r in own], axis=0)
+                counts[c] += m
+                moved[c] += (total - m * centres[c]) / counts[c]
+        shift, centres = float(np.abs(moved - centres).max()), moved
+        if shift < tol:
+            break
+    return centres
+
+
+def minibatch_kmeans(df: DataFrame, k: int = 4, steps: int = 100, batch: int = BATCH_ROWS) -> DataFrame:
+    """Add ``cluster`` by the centres of ``minibatch_centres``."""
+    return df.withColumn("cluster", closest(minibatch_centres(df, k, steps, batch)))
+
+
+def cluster_quality(df: DataFrame) -> dict[str, float]:
+    """Cost (squared distances to the clusters' means) and silhouette of rows with ``features`` and ``cluster``, from sums by cluster; noise (-1) is left out."""
+    rows = df.filter("cluster >= 0").withColumn("__x", as_array("features"))
+    moments = grouped_gram(rows, F.col("__x"), F.col("cluster"))
+    cost = sum(float(np.trace(m[:-1, :-1]) - (m[-1, :-1] ** 2).sum() / m[-1, -1]) for m in moments.values())
+    out = {"clusters": float(len(moments)), "cost": cost}
+    if 1 < len(moments) < sum(m[-1, -1] for m in moments.values()):
+        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+        out["silhouette"] = float(judge.evaluate(rows.select("features", "cluster")))
+    return out
+
+
 def gaussian_mixture(df: DataFrame, k: int = 4, max_iter: int = 50) -> DataFrame:
     """Add ``cluster`` and ``probability`` (one share per cluster)."""
     model = GaussianMixture(k=k, seed=S.SEED, maxIter=max_iter).fit(df.select("features"))
@@ -80,8 +173,8 @@ def spectral(df: DataFrame, key: str, k: int = 4, near: int = 10, max_iter: int
     return model.assignClusters(graph).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
-def cluster_summary(df: DataFrame, columns: Sequence[str], shown: int = 4) -> DataFrame:
-    """(cluster, size, pct, <column>_mean …)"""
+def cluster_summary(df: DataFrame, columns: Sequence[str], shown: int | None = None) -> DataFrame:
+    """(cluster, size, pct, <column>_mean …), of all columns or the first ``shown``."""
     n = df.agg(F.count(F.lit(1))).scalar()
     sums = df.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), *[F.round(S.mean(col(c)), 2).alias(f"{c}_mean") for c in list(columns)[:shown]]
@@ -89,16 +182,16 @@ def cluster_summary(df: DataFrame, columns: Sequence[str], shown: int = 4) -> Da
     return sums.withColumn("pct", F.round(F.col("size") / n * 100, 1))
 
 
-def segment(df: DataFrame, k: int = 4, columns: Sequence[str] | None = None, restarts: int = 10) -> DataFrame:
-    """Complete rows with ``features`` and ``cluster`` from the first 8 numbers."""
-    names = list(columns or S.numeric_columns(df)[:8])
+def segment(df: DataFrame, k: int = 4, columns: Sequence[str] | None = None, restarts: int = 10, most: int | None = None) -> DataFrame:
+    """Complete rows with ``features`` and ``cluster`` from all numbers, or the first ``most``, or ``columns``."""
+    names = list(columns or S.numeric_columns(df)[:most])
     if len(names) < 2:
         raise S.ColumnError("need at least 2 numeric columns")
     return kmeans(vectors(df, names), k, restarts)
 
 
-def projected(df: DataFrame, key: str, n: int = 500) -> DataFrame:
-    """(key, x, y, cluster, explained_pct): a sample of segments on two axes."""
+def projected(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """(key, x, y, cluster, explained_pct): all rows on two axes, or a seeded sample of ``n``."""
     model = PCA(k=2, inputCol="features", outputCol="axes").fit(df.select("features"))
     share = round(float(sum(model.explainedVariance)) * 100, 1)
     axes = vector_to_array("axes")
@@ -106,7 +199,7 @@ def projected(df: DataFrame, key: str, n: int = 500) -> DataFrame:
         col(key).alias("key"), F.round(axes[0], 3).alias("x"), F.round(axes[1], 3).alias("y"), "cluster",
         F.lit(share).alias("explained_pct"),
     )
-    return sample_n(placed, n, "key")
+    return placed if n is None else sample_n(placed, n, "key")
 
 
 # --- projections ------------------------------------------------------------
@@ -250,26 +343,26 @@ def local_outlier_factor(df: DataFrame, key: str, k: int = 20) -> DataFrame:
     )
 
 
-def elliptic_envelope(df: DataFrame, contamination: float = 0.05, rounds: int = 5) -> DataFrame:
-    """Add ``mahalanobis`` (squared) and ``is_anomaly``.
-
-    Mean and covariance are refitted on the closest half of the rows a few
-    times, so that outliers do not shape the ellipse.
-    """
+def robust_moments(df: DataFrame, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, inverse covariance) of ``features``, refitted on the closest half of the rows a few times, so that outliers do not shape the ellipse."""
     x = as_array("features")
     n, mu, cov = mean_cov(gram(df, x))
-    d = len(mu)
-    keep = (n + d + 1) / (2 * n)
-    work = df.withColumn("__x", x)
-    inv = np.linalg.pinv(cov)
+    keep = min(1.0, (n + len(mu) + 1) / (2 * n))
+    work, inv = df.select(x.alias("__x")), np.linalg.pinv(cov)
     for _ in range(rounds):
         dist = work.withColumn("__d", quadratic(F.col("__x"), mu, inv))
-        cut = column_quantiles(dist, ["__d"], [min(1.0, keep)], int(n))["__d"][0]
+        cut = column_quantiles(dist, ["__d"], [keep], int(n))["__d"][0]
         _, new_mu, new_cov = mean_cov(gram(dist.filter(F.col("__d") <= F.lit(cut)), F.col("__x")))
         moved = float(np.abs(new_mu - mu).max())
         mu, inv = new_mu, np.linalg.pinv(new_cov)
         if moved < 1e-9:
             break
-    dist = work.withColumn("__d", quadratic(F.col("__x"), mu, inv))
-    cut = column_quantiles(dist, ["__d"], [1 - contamination], int(n))["__d"][0]
-    return dist.withColumns({"mahalanobis": F.round("__d", 4), "is_anomaly": F.col("__d") > F.lit(cut)}).drop("__d", "__x")
+    return mu, inv
+
+
+def elliptic_envelope(df: DataFrame, contamination: float = 0.05, rounds: int = 5) -> DataFrame:
+    """Add ``mahalanobis`` (squared, by ``robust_moments``) and ``is_anomaly``: the farthest share ``contamination``."""
+    mu, inv = robust_moments(df, rounds)
+    dist = df.withColumn("__d", quadratic(as_array("features"), mu, inv))
+    cut = column_quantiles(dist, ["__d"], [1 - contamination])["__d"][0]
+    return dist.withColumns({"mahalanobis": F.round("__d", 4), "is_anomaly": F.col("__d") > F.lit(cut)}).drop("__d")

@@ -91,6 +91,14 @@ def _score_classes(state: dict, df: DataFrame) -> DataFrame:
 
 # --- linear regression variants ---------------------------------------------
 
+def fit_ridge(df: DataFrame, alpha: float = 1.0) -> ExpressionModel:
+    """Least squares with ``alpha`` times the squared coefficients, from one moment pass; the intercept is free."""
+    m = gram(df, F.concat(as_array("features"), F.array(F.col("label").cast("double"))))
+    n, mu, cov = mean_cov(m)
+    w = _solve(cov[:-1, :-1] * n + alpha * np.eye(len(mu) - 1), cov[:-1, -1] * n)
+    return ExpressionModel("linear", {"coef": w.tolist(), "intercept": float(mu[-1] - mu[:-1] @ w)})
+
+
 def fit_bayesian_ridge(df: DataFrame, rounds: int = 300, tol: float = 1e-3) -> ExpressionModel:
     """Evidence maximisation on the moment matrix: the table is read once."""
     m = gram(df, F.concat(as_array("features"), F.array(F.col("label").cast("double"))))

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from gridmill.functions import semantics as S
 from gridmill.functions.positions import with_position
 from gridmill.functions.semantics import col
-from gridmill.ml import estimators, metrics, prep
+from gridmill.ml import estimators, forecast, metrics, prep, unlabelled
 from gridmill.ml.histtrees import HistModel
 from gridmill.ml.models import ExpressionModel, NeighbourModel
 from gridmill.operators import timeagg, typing
@@ -95,6 +96,7 @@ class Result:
     params: dict = field(default_factory=dict)
     error: str | None = None
     fitted: Fitted | None = None
+    rows: DataFrame | None = None
 
 
 def _class_counts(df: DataFrame, target: str) -> dict:
@@ -272,7 +274,7 @@ def _task(df: DataFrame, target: str, algo: dict, date: str | None) -> tuple[str
 
 def train(
     df: DataFrame,
-    target: str,
+    target: str | None,
     algo_id: str,
     params: dict | None = None,
     key: str | Column | None = None,
@@ -283,9 +285,17 @@ def train(
     test_size: float = 0.2,
     save: bool = True,
 ) -> Result:
-    """Check, split, cross-validate, fit, score, explain and store one model."""
+    """Check, split, cross-validate, fit, score, explain and store one model.
+
+    Clusters, outliers and projections take no target (give null): their result has a report and ``rows`` with the answers. Forecasts of
+    whole series (naive, ARIMA, Holt-Winters) need ``date``; ``by`` names the series, and ``rows`` are the tested periods.
+    """
     start = time.time()
     algo = algorithm(algo_id)
+    if algo_id in unlabelled.ALGORITHMS or algo_id in forecast.ALGORITHMS:
+        return _without_folds(df, target, algo, params, key, date, by, test_size, save, start)
+    if target is None:
+        raise TrainingError(f"{algo_id} needs a target")
     findings = prep.validate_training(df, target, algo_id).filter("level = 'error'").collect()
     if findings:
         raise TrainingError("; ".join(f["message"] for f in findings))
@@ -342,6 +352,28 @@ def train(
     return result
 
 
+def _without_folds(df, target, algo, params, key, date, by, test_size, save, start) -> Result:
+    """A run of an algorithm that has no target, or that forecasts whole series."""
+    algo_id, spark = algo["id"], df.sparkSession
+    result = Result(algo_id, algo["task"], algo["task"], params=params or {})
+    if algo_id in forecast.ALGORITHMS:
+        if date is None or target is None:
+            raise TrainingError(f"{algo_id} needs a target and a date column")
+        model, scores, result.rows = forecast.fit_forecaster(df, target, algo_id, date, by, params, test_size)
+        result.problem_type = "regression"
+        result.n_train, result.n_test = int(scores.pop("n_train")), int(scores.pop("n_test"))
+    else:
+        skip = [c for c in (key if isinstance(key, str) else None, target) if c]
+        model, result.rows, scores = unlabelled.fit(df, algo_id, params, skip=skip)
+        result.n_train = int(scores.pop("n_rows"))
+    result.metrics = scores
+    if save:
+        result.path = scratch_path(spark, f"model-{algo_id}")
+        model.save(spark, result.path)
+    result.seconds = round(time.time() - start, 2)
+    return result
+
+
 def tune(
     df: DataFrame, target: str, algo_id: str, method: str = "random", draws: int = 20, folds: int = 5,
     key: str | Column | None = None, grid: dict[str, list] | None = None, save: bool = True,
@@ -353,8 +385,10 @@ def tune(
         raise TrainingError(f"no parameter grid for {algo_id!r}")
     algo = algorithm(algo_id)
     problem = algo["task"]
-    df = df.filter(col(target).isNotNull())
     names = sorted(grid)
+    if algo_id in unlabelled.ALGORITHMS:
+        return _tune_unlabelled(df, algo_id, [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])], key, save)
+    df = df.filter(col(target).isNotNull())
     settings = estimators.distinct_settings(algo_id, [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])])
     if method == "random" and len(settings) > draws:
         pick = np.random.RandomState(S.SEED).permutation(len(settings))[:draws]
@@ -380,8 +414,19 @@ def tune(
     return S.small_frame(spark, rows, "params string, cv_mean double, cv_std double, best boolean"), result
 
 
+def _tune_unlabelled(df: DataFrame, algo_id: str, settings: list[dict], key, save: bool) -> tuple[DataFrame, Result]:
+    """Settings by their silhouette; the best one's run."""
+    runs = [train(df, None, algo_id, s, key, save=False) for s in settings]
+    scores = [r.metrics.get("silhouette") for r in runs]
+    best = max(range(len(runs)), key=lambda i: -2.0 if scores[i] is None else scores[i])
+    if save:
+        runs[best] = train(df, None, algo_id, settings[best], key)
+    rows = [(json.dumps(s, sort_keys=True), score, None, i == best) for i, (s, score) in enumerate(zip(settings, scores))]
+    return S.small_frame(df.sparkSession, rows, "params string, cv_mean double, cv_std double, best boolean"), runs[best]
+
+
 def automl(
-    df: DataFrame, target: str, algo_ids: Sequence[str], workers: int = 4, **options
+    df: DataFrame, target: str | None, algo_ids: Sequence[str], workers: int = 4, **options
 ) -> tuple[DataFrame, list[Result]]:
     """Train several algorithms side by side and rank them; a failure is a row.
 
@@ -399,7 +444,8 @@ def automl(
     rows = []
     for r in results:
         info = algorithm(r.algo_id) or {}
-        score = None if r.error else r.metrics.get("f1_macro" if r.problem_type == "classification" else "r2")
+        headline = {"classification": "f1_macro", "clustering": "silhouette", "anomaly": "anomaly_share", "dim_reduction": "explained_1"}
+        score = None if r.error else r.metrics.get(headline.get(r.problem_type, "r2"))
         rows.append((r.algo_id, info.get("name"), info.get("family"), score, r.error, r.seconds))
     frame = S.small_frame(
         df.sparkSession, rows, "algo_id string, algo_name string, family string, score double, error string, seconds double"
@@ -432,8 +478,11 @@ def run_row(spark: SparkSession, r: Result, dataset: str, user: str = "anonymous
 def predict(df: DataFrame, path: str) -> DataFrame:
     """Score a whole table with a stored model: prediction (class or number),
     probabilities by class and confidence in percent. Missing feature columns
-    count as missing values."""
-    fitted = Fitted.load(df.sparkSession, path)
+    count as missing values. Models without a target add their answer to the complete rows."""
+    try:
+        fitted = Fitted.load(df.sparkSession, path)
+    except AnalysisException:  # no such folder: not a model with a target
+        return unlabelled.Unlabelled.load(df.sparkSession, path).apply(df)
     scored = fitted.score(df)
     if fitted.classes is None:
         return scored
@@ -452,6 +501,8 @@ def model_importances(fitted: Fitted) -> DataFrame:
     names = fitted.preprocessor.feature_names
     if hasattr(stage, "featureImportances"):
         values = stage.featureImportances.toArray()
+    elif isinstance(stage, ExpressionModel) and stage.kind == "linear":
+        values = np.abs(stage.state["coef"])
     elif hasattr(stage, "coefficients") and not getattr(stage, "numClasses", 2) > 2:
         values = np.abs(stage.coefficients.toArray())
     elif hasattr(stage, "coefficientMatrix"):

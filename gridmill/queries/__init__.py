@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from gridmill.queries import charts, columns, decisions, kpis, models, runs, series, sources, streams  # noqa: F401
+    from gridmill.queries import charts, closed, columns, decisions, kpis, models, runs, series, sources, streams  # noqa: F401
