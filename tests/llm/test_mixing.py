@@ -15,7 +15,7 @@ from gridmill.llm.queries import op6
 def seats_by_hand(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats):
-        best = max((i for i in range(len(votes)) if votes[i]), key=lambda i: (Fraction(votes[i], 2 * won[i] + 1), -i), default=None)
+        best = max((i for i in range(len(votes)) if votes[i]), key=lambda i: (Fraction(votes[i]) / (2 * won[i] + 1), -i), default=None)
         if best is None:
             break
         won[best] += 1
@@ -93,6 +93,46 @@ def test_rows_hold_the_words_taken(docs):
     assert all((r.doc_id, r.text) in whole or any(d == r.doc_id and (t or "").startswith(r.text) for d, t in whole) for r in rows.collect())
 
 
+def test_a_repeated_row_is_taken_row_by_row(spark):
+    """Its copies are numbered part by part: whole ones first, one in part, the rest not at all."""
+    rows = [(i, f"some words {i} " * 7, "a") for i in range(300)] + [(1000, "one two three four five", "a")] * 600 + [(2000, "x y", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    out = mixing.mix(df, shard_words=1500).cache()
+    assert out.count() == len(rows)
+    copies = sorted(r.taken for r in out.filter("doc_id = 1000").collect())
+    low = min(copies) // 5 * 5
+    assert sum(x not in (low, low + 5) for x in copies) <= 1 and len(copies) == 600
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= mixing.BLOCK_WORDS
+    again = mixing.mix(df.repartition(2), shard_words=1500)
+    key = lambda d: sorted(map(str, d.select("doc_id", "text", "taken").collect()))
+    assert key(out) == key(again)
+
+
+def test_many_sources_need_no_single_task(spark, monkeypatch):
+    from gridmill.functions import positions
+
+    monkeypatch.setattr(positions, "SMALL_GROUP_ROWS", 10)
+    monkeypatch.setattr(positions, "BLOCK_ROWS", 7)
+    rnd = random.Random(3)
+    sizes = {f"s{i:03d}": rnd.randint(0, 900) for i in range(90)}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=100).collect()
+    names = sorted(sizes)
+    want = dict(zip(names, targets_by_hand([sizes[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5, 2)))
+    assert {r.source: r.target for r in out} == pytest.approx(want)
+    block = max(1, min(mixing.BLOCK_WORDS, int(min(v for v in want.values() if v > 0) // 50)))
+    seats = round(sum(want.values()) / block)
+    quota = dict(zip(names, seats_by_hand([want[n] for n in names], seats)))
+    assert all(r.taken == min(quota[r.source] * block, 2 * r.size) for r in out)
+
+
+def test_rows_of_a_mix_with_nulls(spark):
+    df = spark.createDataFrame([(1, None, 0, 0), (2, "a b c", 3, None), (3, "a  b c", 3, 5), (4, "d", 1, 0), (5, None, None, 4)], "doc_id long, text string, size long, taken long")
+    assert sorted((r.doc_id, r.text) for r in mixing.mixed_rows(df).collect()) == [(3, "a  b"), (3, "a  b c")]
+    assert mixing.mixed_rows(df.limit(0)).count() == 0
+
+
 def test_empty_and_clashing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     named = docs.limit(5).selectExpr("doc_id", "text", "source", "'s' AS size", "'t' AS taken", "1 AS _n", "2 AS _quota", "3 AS source_no")
