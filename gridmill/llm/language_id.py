@@ -2,8 +2,9 @@
 
 Letters are lower-cased, everything else counts as one space, and n-grams of one to three characters are
 hashed into a fixed number of buckets. Training adds up buckets by language in each task, then over tasks. The
-matrix of log-probabilities (buckets x languages, of fixed height) is broadcast; a text's score for a language
-is the sum of the matrix rows of its n-grams, gathered in numpy.
+matrix of log-probabilities (buckets x languages, of fixed height) is broadcast. Texts are scored by the batch: a batch is a sparse
+matrix of n-gram counts, kept as the buckets of its texts one after another, and its product with the broadcast matrix is a sum of
+matrix rows over each text's stretch, in numpy.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ ORDERS = 3
 BLOCK = 1_000_000  # characters of a text that are hashed at a time
 SMOOTHING = 0.5
 UNKNOWN = "und"
-MAX_LANGUAGES = 1000  # more mean that the label column is no language; the matrix stays under 0.5 GB
+MAX_LANGUAGES = 200  # more mean that the label column is no language; the matrix stays under 0.1 GB
+GATHERED = 4_000_000  # numbers that a batch gathers from the matrix at a time
 
 _LETTERS: list[np.ndarray] = []
 
@@ -82,15 +84,44 @@ class Model:
     languages: tuple[str, ...]
     matrix: np.ndarray
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Log-probabilities up to a constant: texts x languages, NaN for a text without a letter."""
+        known = np.array([has_letter(t) for t in texts], bool)
+        out = np.where(known[:, None], self.matrix[-1][None, :], np.nan)
+        limit, held, owners, size = max(1, GATHERED // max(1, len(self.languages))), [], [], 0
+
+        def add_up() -> None:
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            np.add.at(out, owners, np.add.reduceat(self.matrix[np.concatenate(held)], starts, axis=0))
+            held.clear()
+            owners.clear()
+
+        for i in np.flatnonzero(known).tolist():
+            for grams in buckets(texts[i]):
+                for k in range(0, len(grams), limit):
+                    held.append(grams[k : k + limit])
+                    owners.append(i)
+                    size += len(held[-1])
+                    if size >= limit:
+                        add_up()
+                        size = 0
+        if held:
+            add_up()
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior probability; ``und`` and 0 without a letter or without a model."""
+        if not self.languages or not texts:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        total = self.scores(texts)
+        known = ~np.isnan(total[:, 0])
+        best = np.argmax(np.where(known[:, None], total, 0.0), axis=1)
+        spread = np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, 1.0 / spread, 0.0)
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability; ``und`` and 0 without a letter or without a model."""
-        if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        total = self.matrix[-1].copy()
-        for grams in buckets(text):
-            total += self.matrix[grams].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        names, chances = self.predict_all([text])
+        return names[0], float(chances[0])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS) -> Model:
@@ -103,8 +134,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for name, words in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        parts = (part for batch in batches for part in slices(batch, "text"))
+        for part in parts:
+            for name, words in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 if not has_letter(words):
                     continue
                 counts = held.setdefault(name, np.zeros((1 << bits) + 1, np.int64))
@@ -149,8 +181,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
         held = Model(*shared.value)
         for batch in batches:
             for part in slices(batch, text):
-                found = [held.predict(t) for t in part.column(text).to_pylist()]
-                arrays = [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                names, chances = held.predict_all(part.column(text).to_pylist())
+                arrays = [*part.columns, pa.array(names, pa.string()), pa.array(chances, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, lang_pred, score])
 
     return kept.mapInArrow(run, schema)
