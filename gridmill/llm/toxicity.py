@@ -3,7 +3,7 @@
 Categories stand in a fixed order, each with a linear model (logistic regression). A model sees the words of
 a text and the probabilities of the categories before its own. In training these are out-of-fold: every
 labelled row's earlier probabilities come from models that were fitted without its fold, as the
-corpus will be scored by models that have not seen its rows.
+corpus will be scored by models that have not seen its rows. A fold's model also chooses its tokens without that fold.
 
 A text's features are its distinct words, and their first three to five letters, hashed. Of them, those that
 tell the categories apart best (by chi square over the labelled rows) enter the models.
@@ -176,26 +176,39 @@ def fit(
     rows = distinct_texts(rows, "_id", "_text", "_hash")
     fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "_text"), F.lit(folds)).cast("int").alias("_fold")  # copies share a fold
     rows = written(rows.select("_id", "_hash", fold, tokens_of(F.col("_text")).alias("_tokens"), *names), "toxicity-sample")
-    vocabulary = np.array(sorted(telling(rows, names, tokens)), np.int64)
+    # a fold's labels must not choose the tokens of the model that scores it
+    own = [np.array(sorted(telling(rows.filter(F.col("_fold") != k), names, tokens)), np.int64) for k in range(folds)]
+    chosen_by_all = np.array(sorted(telling(rows, names, tokens)), np.int64)
+    vocabulary = np.unique(np.concatenate([chosen_by_all, *own]))
     sample = collected(rows, vocabulary, names)
     lists = sample["_chosen"].tolist()
     x, ends = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64), np.cumsum([len(v) for v in lists], dtype=np.int64)
+    views = [narrowed(x, ends, vocabulary, v) for v in own]
+    x, ends = narrowed(x, ends, vocabulary, chosen_by_all)
     part = sample["_fold"].to_numpy()
     models: list[Linear | float] = []
     thresholds: list[float] = []
     known: list[np.ndarray] = []  # out-of-fold probabilities
     for name in names:
         y = sample[name].to_numpy(float)
-        model = fitted(x, ends, known, y, np.ones(len(y), bool), len(vocabulary), regularization)
+        model = fitted(x, ends, known, y, np.ones(len(y), bool), len(chosen_by_all), regularization)
         out = np.zeros(len(y))
-        for k in range(folds):
+        for k, (fold_x, fold_ends) in enumerate(views):
             inside = part == k
-            apart = fitted(x, ends, known, y, ~inside, len(vocabulary), regularization)
-            out[inside] = apart if isinstance(apart, float) else apart.probability(x, ends, known)[inside]
+            apart = fitted(fold_x, fold_ends, known, y, ~inside, len(own[k]), regularization)
+            out[inside] = apart if isinstance(apart, float) else apart.probability(fold_x, fold_ends, known)[inside]
         known.append(np.clip(out, LEAST, 1 - LEAST))
         models.append(model)
         thresholds.append(best_threshold(known[-1], y))
-    return Chain(tuple(categories), vocabulary, tuple(models), tuple(thresholds))
+    return Chain(tuple(categories), chosen_by_all, tuple(models), tuple(thresholds))
+
+
+def narrowed(x: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers in ``vocabulary``, as numbers in ``part`` of it; the other tokens are left out."""
+    at = np.full(len(vocabulary), -1)
+    at[np.searchsorted(vocabulary, part)] = np.arange(len(part))
+    new = at[x]
+    return new[new >= 0], np.concatenate([[0], np.cumsum(new >= 0)])[ends]
 
 
 def collected(rows: DataFrame, vocabulary: np.ndarray, names: list[str]) -> pd.DataFrame:
