@@ -120,8 +120,8 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     )
 
 
-def univariate_scores(df: DataFrame, target: str, classification: bool, k: int = 20) -> DataFrame:
-    """(feature, score): the F statistic of each number column, best first."""
+def univariate_scores(df: DataFrame, target: str, classification: bool, k: int | None = None) -> DataFrame:
+    """(feature, score): the F statistic of each number column, or the ``k`` best, best first."""
     names = [c for c in S.numeric_columns(df) if c != target]
     if classification:
         scores = _anova(df, target, names)
@@ -132,7 +132,8 @@ def univariate_scores(df: DataFrame, target: str, classification: bool, k: int =
         rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(names, f)]
         scores = S.small_frame(df.sparkSession, rows, "feature string, score double")
     best = scores.select("feature", F.round("score", 4).alias("score"))
-    return best.orderBy(F.desc_nulls_last("score"), "feature").limit(k)
+    ordered = best.orderBy(F.desc_nulls_last("score"), "feature")
+    return ordered if k is None else ordered.limit(k)
 
 
 def _anova(df: DataFrame, target: str, names: Sequence[str]) -> DataFrame:

@@ -357,7 +357,7 @@ def stats_bars(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def radar(df: DataFrame, spec: dict) -> DataFrame:
-    names = [c for c in (spec.get("cols") or S.numeric_columns(df)) if S.is_numeric(df, c)][:8]
+    names = [c for c in (spec.get("cols") or S.numeric_columns(df)[: spec.get("max_cols")]) if S.is_numeric(df, c)]
     if len(names) < 3:
         raise ChartSpecError("need at least 3 numeric columns")
     q = column_quantiles(df, names, [0.5])
@@ -495,8 +495,11 @@ def pack_scatter(df: DataFrame, roles: dict[str, str], key: str | None = None, n
     )
 
 
-def chart_pack(df: DataFrame, roles: dict[str, str]) -> dict[str, DataFrame]:
-    """All charts that the detected roles allow, by name, each a lazy frame."""
+def chart_pack(df: DataFrame, roles: dict[str, str], heat_columns: int | None = None, box_columns: int | None = None) -> dict[str, DataFrame]:
+    """All charts that the detected roles allow, by name, each a lazy frame.
+
+    The heat map and the boxes show all numbers, or the first ``heat_columns`` and ``box_columns``.
+    """
     value, date, cat = roles.get("value"), roles.get("date"), roles.get("category")
     region, person = roles.get("region"), roles.get("person")
     numbers = S.numeric_columns(df)
@@ -520,9 +523,10 @@ def chart_pack(df: DataFrame, roles: dict[str, str]) -> dict[str, DataFrame]:
             "ord", "label", F.col("parent").alias("series"), "value"
         )
     if len(numbers) >= 3:
-        out["heatmap"] = heatmap(df, {"cols": numbers[:8], "max_cols": 8, "digits": 2})
+        shown = numbers[:heat_columns]
+        out["heatmap"] = heatmap(df, {"cols": shown, "max_cols": len(shown), "digits": 2})
     if len(numbers) >= 2:
-        out["box_plot"] = box_stats(df, numbers[:6])
+        out["box_plot"] = box_stats(df, numbers[:box_columns])
     return out
 
 

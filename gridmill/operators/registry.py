@@ -1,4 +1,4 @@
-"""The run registry and the event log: append-only tables.
+"""The run registry: append-only tables.
 
 Nothing is updated in place. A run is one appended row; stars, notes and
 deletions are appended marks, and the current state is one aggregation of the
@@ -24,7 +24,6 @@ RUN_SCHEMA = (
     "is_imbalanced boolean, source string, y_true_json string, y_pred_json string"
 )
 MARK_SCHEMA = "run_id string, user_id string, kind string, value string, marked_at timestamp"
-EVENT_RETENTION = 500
 # Which metric ranks a run, in order of preference.
 PRIMARY_METRICS = {"classification": ("f1_macro", "f1", "balanced_accuracy", "accuracy"), "other": ("r2", "rmse", "mae")}
 
@@ -164,21 +163,3 @@ def rank_runs(runs: DataFrame, score: str = "score", tie: str = "algo_id", by: S
     """Leaderboard rank per group, failed runs (no score) last."""
     placed = with_position(runs, by, [F.desc_nulls_last(score), F.asc(tie)], name="rank")
     return placed.withColumn("rank", F.col("rank") + 1)
-
-
-# --- event log --------------------------------------------------------------
-
-def log_event(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Append event rows (ts, type, …) to the log table."""
-    rows.write.mode("append").parquet(path)
-
-
-def recent_events(events: DataFrame, n: int, ts: str = "ts", tie: Column | None = None) -> DataFrame:
-    """The latest ``n`` events, newest first."""
-    order = [F.desc(ts)] + ([tie.desc()] if tie is not None else [])
-    return events.orderBy(*order).limit(n)
-
-
-def retained_events(events: DataFrame, ts: str = "ts", tie: Column | None = None, keep: int = EVENT_RETENTION) -> DataFrame:
-    """What the log keeps: the latest ``keep`` events."""
-    return recent_events(events, keep, ts, tie)

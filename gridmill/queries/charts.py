@@ -317,7 +317,7 @@ register(
 register("c33_pack_heatmap", heat_sql(t.LINEITEM, _NUM8, 2))(
     lambda spark, sf: charts.chart_pack(t.lineitem(spark, sf), {})["heatmap"]
 )
-register("c34_pack_box", box_sql(t.LINEITEM_NULLS, _NUM8[:6]))(
+register("c34_pack_box", box_sql(t.LINEITEM_NULLS, _NUM8))(
     lambda spark, sf: charts.chart_pack(t.lineitem_nulls(spark, sf), {})["box_plot"]
 )
 register("c35_stats_panel", _facts_sql(t.LINEITEM_NULLS, [i for c in _NUM8 for i in stats_items(c)]))(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridmill.functions.joins import small_side
 from gridmill.operators import analytics, kpi, timeagg
 from gridmill.queries import register
 from gridmill.queries import tables as t
@@ -140,7 +141,7 @@ _NATIONS = "SELECT r_name, n_name, c_acctbal::DECIMAL(18,2) AS c_acctbal FROM cu
 
 def nations(spark, sf):
     """Customer balances with their nation and region."""
-    n = load(spark, sf, "nation").join(F.broadcast(load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = load(spark, sf, "nation").join(small_side(load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     c = load(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "c_acctbal")
 

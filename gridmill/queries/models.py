@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
 from gridmill.functions.joins import small_side
-from gridmill.ml import forecast, groups, metrics, neighbours, prep, train
+from gridmill.ml import estimators, forecast, groups, metrics, neighbours, prep, train
 from gridmill.ml.moments import as_array
 from gridmill.plans import catalog, shortlist
 from gridmill.queries import register
@@ -166,7 +166,7 @@ def baseline(spark, sf) -> DataFrame:
     """Price predicted by the mean price of its quantity."""
     li = t.lineitem(spark, sf).select(F.col("l_quantity"), F.col("l_extendedprice").alias("y"))
     means = li.groupBy(F.col("l_quantity").alias("q")).agg(S.mean(F.col("y")).alias("yhat"))
-    return li.join(F.broadcast(means), F.col("l_quantity") == F.col("q")).select(F.col("y").cast("double").alias("y"), "yhat")
+    return li.join(small_side(means), F.col("l_quantity") == F.col("q")).select(F.col("y").cast("double").alias("y"), "yhat")
 
 
 _BASE = (
@@ -382,10 +382,8 @@ for _name, _algo, _params in (
     "SELECT round(regr_slope(p_retailprice, p_partkey), 4) AS slope, round(regr_intercept(p_retailprice, p_partkey), 2) AS intercept FROM part",
 )
 def _(spark, sf):
-    from pyspark.ml.regression import LinearRegression
-
     rows = load(spark, sf, "part").select(array_to_vector(F.array(F.col("p_partkey").cast("double"))).alias("features"), F.col("p_retailprice").alias("label"))
-    model = LinearRegression(regParam=0.0).fit(rows)
+    model = estimators.build("linear_regression", None, estimators.Context(rows.count(), 1)).fit(rows)
     # the fitted line read back through predictions at 0 and 1
     line = spark.range(2).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), "id")
     at = model.transform(line).groupBy().pivot("id", [0, 1]).agg(F.first("prediction"))

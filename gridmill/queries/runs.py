@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridmill.operators import registry
+from gridmill.operators import eventlog, registry
 from gridmill.queries import register
 from gridmill.queries.tables import load
 from gridmill.session import scratch_path
@@ -173,8 +173,10 @@ def _(spark, sf):
 
 @register("k06_event_log", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def _(spark, sf):
-    path = scratch_path(spark, "log")
+    """Two appends, then a purge: what is left on disk."""
+    log = eventlog.EventLog(spark, scratch_path(spark, "log"))
     e = load(spark, sf, "events").select("event_id", "ts", "event_type")
-    registry.log_event(spark, path, e.filter("event_id % 2 = 0"))
-    registry.log_event(spark, path, e.filter("event_id % 2 = 1"))
-    return registry.retained_events(spark.read.parquet(path), tie=F.col("event_id"))
+    log.append(e.filter("event_id % 2 = 0"))
+    log.append(e.filter("event_id % 2 = 1"))
+    log.purge(tie=F.col("event_id"))
+    return log.read()

@@ -50,22 +50,37 @@ def _(spark, sf):
 
 @register(
     "s04_sniff_encoding",
-    "SELECT * FROM (VALUES ('plain', 'utf-8'), ('latin', 'latin-1'), ('wide', 'utf-16-le'), ('accents', 'utf-8')) v(folder, encoding) "
+    "SELECT * FROM (VALUES ('plain', 'utf-8'), ('latin', 'latin-1'), ('wide', 'utf-16-le'), ('accents', 'utf-8'), ('mac', 'mac_roman'), ('dos', 'cp437'), ('central', 'cp1250')) v(folder, encoding) "
     "WHERE (SELECT count(*) FROM conversations) > 0",
 )
 def _(spark, sf):
     root = scratch_path(spark, "encoded")
-    text = F.regexp_replace("text", "[\\r\\n]+", " ")
+    text = F.regexp_replace(F.regexp_replace("text", "[\\r\\n]+", " "), "[^ -~à-ÿ]", "")
     c = load(spark, sf, "conversations").select("conv_id", text.alias("text"))
-    accents = c.filter(F.regexp_like("text", F.lit("[à-ÿ]"))).select("conv_id", F.regexp_replace("text", "[^ -~à-ÿ]", "").alias("text")).coalesce(1)
+    accents = c.filter(F.regexp_like("text", F.lit("[àâçèéêëîïôùûüäöñáíóúß]")))  # without one, a file is plain ASCII in any page
     load(spark, sf, "orders").write.csv(f"{root}/plain")
-    accents.write.csv(f"{root}/accents")
+    c.write.csv(f"{root}/accents")
     accents.write.option("encoding", "ISO-8859-1").csv(f"{root}/latin")
-    load(spark, sf, "supplier").coalesce(1).write.option("encoding", "UTF-16LE").csv(f"{root}/wide")
+    # these pages are written as the Latin-1 text that has their bytes
+    for folder, page in (("mac", "mac_roman"), ("dos", "cp437")):
+        accents.select("conv_id", _as_latin("text", page)).write.option("encoding", "ISO-8859-1").csv(f"{root}/{folder}")
+    polish = accents.withColumn("text", F.translate(F.regexp_replace("text", "[à-ÿ]", ""), "aeszco", "ąęśżćó"))
+    polish.select("conv_id", _as_latin("text", "cp1250")).write.option("encoding", "ISO-8859-1").csv(f"{root}/central")
+    load(spark, sf, "supplier").write.option("encoding", "UTF-16LE").csv(f"{root}/wide")
     found = sniff.sniff_encoding(spark, f"{root}/*/*.csv")
     return found.select(F.regexp_extract("file", "/([a-z]+)/[^/]+$", 1).alias("folder"), "encoding").distinct()
 
 
+def _as_latin(column: str, page: str):
+    """Text whose Latin-1 bytes are those of ``column`` in ``page``; characters that the page lacks are left out."""
+    high = bytes(range(128, 256))
+    there = high.decode(page, "replace")
+    known = "".join(c for c in there if c != "\ufffd")
+    bare = F.regexp_replace(column, "[^\\x00-\\x7F" + known.replace("\xa0", "") + "]", "")
+    pairs = [(c, chr(128 + i)) for i, c in enumerate(there) if c != "\ufffd"]
+    return F.translate(bare, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(column)
+
+
 def _ragged(spark, sf) -> str:
     """Orders as lines: every tenth with a field too many, some with one too few."""
     path = scratch_path(spark, "ragged")

@@ -20,7 +20,7 @@ EXTENSIONS = {
     "xml": "xml", "xlsx": "workbook", "xlsm": "workbook",
 }
 UNSUPPORTED = ("xls", "xlsb", "ods")
-_SPARK_CHARSET = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "windows-1252"}
+_SPARK_CHARSET = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
 _CORRUPT = "__corrupt"
 
 
@@ -128,9 +128,9 @@ def _read_one_format(
 ) -> DataFrame:
     if encoding.startswith("utf-16"):
         multiline = True
-    charset = _SPARK_CHARSET.get(encoding, encoding)
-    if charset == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # single-byte pages are read as Latin-1, which keeps every byte, and put right below
+    page = encoding if encoding in sniff.CODE_PAGES and encoding != "latin-1" else None
+    charset = "ISO-8859-1" if page else _SPARK_CHARSET.get(encoding, encoding)
     base = spark.read.option("header", "true").option("sep", sep).option("encoding", charset).option("multiLine", str(multiline).lower())
     base = base.option("escape", '"')
     if schema is None:
@@ -145,11 +145,13 @@ def _read_one_format(
     too_long = F.size(F.split(bare, f"\\Q{sep}\\E", -1)) > len(names)
     # the reader wants a data column next to the corrupt-record column
     anchored = too_long | (F.coalesce(F.length(col(names[0]).cast("string")), F.lit(0)) < 0)
-    clean = [col(n) for n in names]
+    text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)} if page else set()
+    clean = [(sniff.decoded(col(n), page) if n in text else col(n)).alias(sniff.decoded_name(n, page) if page else n) for n in names]
     out = rows.withColumn("_rejected", anchored)
+    # the words NaN and Infinity are missing values in a table of text
     if keep_rejected:
-        return out.select(*clean, "_rejected")
-    return out.filter(~F.col("_rejected")).select(*clean)
+        return S.fold_missing(out.select(*clean, "_rejected"))
+    return S.fold_missing(out.filter(~F.col("_rejected")).select(*clean))
 
 
 def rejected_rows(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -172,3 +172,24 @@ def test_the_first_sheet_of_a_book_is_the_default(spark, tmp_path):
             z.writestr(n, body)
     assert rows(workbooks.read_workbook_table(spark, str(tmp_path / "b.xlsx"))) == [(1,)]
     assert rows(workbooks.read_workbook_table(spark, str(tmp_path / "b.xlsx"), "a")) == [(2,)]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("cp1250", "Zażółć gęślą jaźń, příliš žluťoučký kůň"), ("mac_roman", "Où est l’été, garçon? Über die Straße, señor"),
+    ("cp437", "Où est été, garçon? Über die Straße, señor"), ("cp1252", "Où est l’été, “garçon”? Über die Straße"), ("latin-1", "Où est été, garçon? Über die Straße"),
+])
+def test_code_pages_are_told_and_read_back(spark, tmp_path, page, text):
+    words = text.split()
+    rows = [f"{i},{words[i % len(words)]} {words[(i * 7 + 1) % len(words)]}".replace(",", ";", 1) for i in range(300)]
+    path = tmp_path / "file.csv"
+    path.write_bytes("\n".join(["id;texté" if page != "cp1250" else "id;zażółć", *rows]).encode(page))
+    assert sniff.sniff_encoding(spark, str(path)).first()["encoding"] == page
+    got = tables.read_table(spark, str(path))
+    assert got.columns[1] in ("texté", "zażółć")
+    assert sorted(f"{r[0]};{r[1]}" for r in got.collect()) == sorted(rows)
+
+
+def test_words_for_no_number_are_missing(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a,b\n1.5,x\nNaN,y\nInfinity,z\n")
+    assert [r.a for r in tables.read_table(spark, str(path)).orderBy("b").collect()] == [1.5, None, None]
