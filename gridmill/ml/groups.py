@@ -109,7 +109,8 @@ def minibatch_centres(df: DataFrame, k: int = 4, steps: int = 100, batch: int =
                     home = neighbours.distances(x, centres).argmin(axis=1)
                     np.add.at(total, home, x)
                     seen += np.bincount(home, minlength=len(centres))
-            yield pd.DataFrame({"cluster": np.flatnonzero(seen), "n": seen[seen > 0], "total": list(total[seen > 0])})
+            if seen.any():
+                yield pd.DataFrame({"cluster": np.flatnonzero(seen), "n": seen[seen > 0], "total": list(total[seen > 0])})
 
         found = laid.filter(F.col("batch") == step % batches).mapInPandas(sums, "cluster int, n double, total array<double>").collect()
         moved = centres.copy()

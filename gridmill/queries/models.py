@@ -488,7 +488,21 @@ def _(spark, sf):
     return groups.cluster_summary(groups.kmeans(rows, 4), ["c_nationkey", "c_acctbal"])
 
 
-@register("l29_dbscan")
+@register(
+    "l29_dbscan",
+    """
+    WITH RECURSIVE s AS (SELECT avg(c_nationkey) AS a, stddev_pop(c_nationkey) AS b, avg(c_acctbal) AS c, stddev_pop(c_acctbal) AS d FROM customer),
+    p AS MATERIALIZED (SELECT c_custkey AS id, (c_nationkey - a) / b AS x, (c_acctbal - c) / d AS y FROM customer, s),
+    n AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 0.2),
+    core AS MATERIALIZED (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 5),
+    e AS MATERIALIZED (SELECT a, b FROM n WHERE a <> b AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    reach AS (SELECT id, id AS root FROM core UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id AND r.root < e.b),
+    parts AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id),
+    near AS (SELECT a AS id, min(b) AS core FROM n WHERE b IN (SELECT id FROM core) GROUP BY a)
+    SELECT p.id, coalesce(own.root, via.root, -1) AS cluster, own.id IS NOT NULL AS is_core
+    FROM p LEFT JOIN parts own ON own.id = p.id LEFT JOIN near ON near.id = p.id LEFT JOIN parts via ON via.id = near.core
+    """,
+)
 def _(spark, sf):
     rows = groups.vectors(_customers(spark, sf), ["c_nationkey", "c_acctbal"])
     return groups.dbscan(rows, "c_custkey", 0.2, 5)

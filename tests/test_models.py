@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from gridmill.functions import semantics as S
-from gridmill.ml import forecast, groups, metrics, models, neighbours, prep, train
+from gridmill.ml import forecast, groups, metrics, models, neighbours, prep, train, unlabelled
 from gridmill.ml.moments import as_array, dot, grouped_gram, mean_cov, quadratic
 
 
@@ -216,6 +216,67 @@ def test_clusters_recover_blobs(blobs):
     assert cells.sort_values("count").groupby("label")["count"].last().sum() > 540
 
 
+def test_minibatch_kmeans(spark, blobs, monkeypatch):
+    x, _, df = blobs
+    out = groups.minibatch_kmeans(df, 3, steps=40, batch=120)
+    cells = out.groupBy("label", "cluster").count().toPandas()
+    assert cells.sort_values("count").groupby("label")["count"].last().sum() > 520
+    # the cost from sums by cluster is that of the stored labels
+    held = out.select("id", "cluster", "features").toPandas()
+    want = sum(((x[held.loc[held.cluster == c, "id"]] - x[held.loc[held.cluster == c, "id"]].mean(axis=0)) ** 2).sum() for c in held.cluster.unique())
+    found = groups.cluster_quality(out)
+    assert found["cost"] == pytest.approx(want) and found["silhouette"] > 0.2
+    best = groups.cluster_quality(groups.kmeans(df, 3, restarts=3))
+    assert found["cost"] < 1.15 * best["cost"]
+
+
+def test_runs_without_a_target(spark, tmp_path):
+    rng = np.random.RandomState(3)
+    v = np.vstack([rng.normal(size=(120, 2)), rng.normal(size=(120, 2)) + 6, [[40.0, -40.0], [np.nan, 1.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"key": [f"k{i}" for i in range(len(v))], "x": v[:, 0], "y": v[:, 1]}))
+    for algo in unlabelled.ALGORITHMS:
+        r = train.train(df, None, algo, {"n_clusters": 2} if algo in ("kmeans", "minibatch_kmeans", "spectral") else {"n_components": 2}, "key")
+        assert r.n_train == 241 and r.metrics and r.rows.count() == 241 and r.path, algo
+        if algo in ("kmeans", "minibatch_kmeans", "gmm", "pca", "truncated_svd", "elliptic_envelope"):
+            again = train.predict(df, r.path)
+            name = next(c for c in ("cluster", "axis_1", "is_anomaly") if c in again.columns)
+            both = again.select("key", F.col(name).alias("a")).join(r.rows.select("key", F.col(name).alias("b")), "key")
+            assert both.count() == 241 and both.filter("a <> b").count() <= 1, algo
+    tried, best = train.tune(df, None, "kmeans", grid={"n_clusters": [2, 5]}, key="key", save=False)
+    assert best.params == {"n_clusters": 2} and tried.count() == 2
+    board, runs = train.automl(df, None, ["kmeans", "gmm"], key="key", save=False)
+    assert board.filter("error IS NULL").count() == 2
+    with pytest.raises(train.TrainingError):
+        train.train(df, None, "ridge")
+
+
+def test_series_runs_and_gaps(spark, tmp_path):
+    months = pd.date_range("2020-01-01", periods=40, freq="MS")
+    rows = [("up", m.date(), 100.0 + 2 * i) for i, m in enumerate(months) if i not in (20, 38)]
+    rows += [("season", m.date(), float([5, 9, 1, 7, 3, 8, 2, 6, 4, 11, 12, 10][m.month - 1])) for i, m in enumerate(months) if i not in (3, 30, 31)]
+    s = spark.createDataFrame(rows, "series string, ds date, y double")
+    assert forecast.spine(s).filter("y IS NULL").count() == 5
+    line = lambda f: [r["forecast"] for r in f.filter("series = 'up'").orderBy("ds").collect()]
+    assert line(forecast.arima(s, 3)) == pytest.approx([180, 182, 184]) and line(forecast.holt_winters(s, 3)) == pytest.approx([180, 182, 184], abs=1e-6)
+    wave = {(r.ds.month): r.forecast for r in forecast.seasonal_naive(s, 12).filter("series = 'season'").collect()}
+    assert wave == {m: float([5, 9, 1, 7, 3, 8, 2, 6, 4, 11, 12, 10][m - 1]) for m in range(1, 13)}
+    named = s.withColumnRenamed("series", "name")
+    for algo in forecast.ALGORITHMS:
+        r = train.train(named, "y", algo, {"level": "monthly"}, date="ds", by=["name"])
+        assert r.metrics["mae"] >= 0 and r.n_test > 0 and r.rows.columns == ["series", "ds", "y", "forecast"]
+        assert forecast.Forecaster.load(spark, r.path).predict(2).count() == 4
+
+
+def test_importances_of_all_columns(spark):
+    rng = np.random.RandomState(8)
+    x = rng.normal(size=(300, 25))
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(25)]).assign(id=np.arange(300), y=3 * x[:, 0] - x[:, 7])
+    df = spark.createDataFrame(pdf)
+    r = train.train(df, "y", "ridge", None, "id", folds=0, save=False)
+    names = [f for f, _ in r.importance]
+    assert len(names) == 25 and names[:2] == ["c0", "c7"] and all(v < 0.01 for _, v in r.importance[2:])
+
+
 # --- training ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")

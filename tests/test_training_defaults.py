@@ -46,3 +46,14 @@ def test_groups_use_defaults(spark, sf, monkeypatch, query, name, of):
     with pytest.raises(Called) as call:
         entry.queries()[query](spark, sf)
     assert call.value.args[0][of] == default[of]
+
+
+@pytest.mark.parametrize("name", ["l12_adaboost_reg", "l12_adaboost_clf", "l11_hist_gb_clf", "l22_mlp_clf", "l25_ml_lags"])
+def test_training_ends(spark, sf, name):
+    """Default rounds, layers, trees, folds and repeats, on the smallest tables."""
+    import __spark_entry__ as entry
+
+    rows = {r.metric: r.value for r in entry.queries()[name](spark, sf).collect()}
+    assert {"cv_mean", "cv_std", "n_train", "n_test"} <= set(rows) and any(m.startswith("importance_") for m in rows)
+    score = rows.get("f1_weighted", rows.get("accuracy", rows.get("r2")))
+    assert score is not None and score > -1
