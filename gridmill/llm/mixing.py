@@ -31,6 +31,7 @@ SHARE = 1.5
 TIMES = 2
 SHARD_WORDS = 500_000
 BLOCK_WORDS = 64
+BROADCAST_BYTES = 16 * 1024 * 1024  # of what is known of the records; beyond that texts are shuffled to it
 
 
 def apportion(takers: DataFrame, group: Sequence[str], votes: str, seats: str, tie: Sequence[str], quota: str = "quota") -> DataFrame:
@@ -130,7 +131,7 @@ def mix(
     taken = ahead.select(
         F.col("a").alias("_a"), F.col("b").alias("_b"), "times", F.col("source_size").alias("_all"), F.col("target").alias("_target"), whole.alias("_whole"), rest.alias("_rest")
     )
-    joined = sized.join(small_side(written(taken, "mix-taken")), (col(a) == F.col("_a")) & (col(b) == F.col("_b")))
+    joined = sized.join(small_side(written(taken, "mix-taken"), size=BROADCAST_BYTES), (col(a) == F.col("_a")) & (col(b) == F.col("_b")))
     result = lambda rows, nth: rows.select(
         *[col(c) for c in names], "size", F.col("_all").alias("source_size"), F.col("_target").alias("target"),
         (F.col("_whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - nth * F.col("size")))).cast("bigint").alias("taken"),
