@@ -157,13 +157,16 @@ def _look_up(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, in
     sum before they shuffle. Odd slices are brackets, even ones lie between them.
     """
     own = {c: [b for b in brackets if b.column == c] for c in sorted({b.column for b in brackets})}
-    parts = []
+    x, place = F.col("x"), F.lit(None).cast("int")
     for c, mine in own.items():
-        x, place = F.col(numbers.columns[c]), F.lit(0)
+        here = F.lit(0)
         for low, high in _spans(mine):  # ascending: each end that is reached adds one
-            place = place + F.when(x >= F.lit(low), 1).otherwise(0) + F.when(x > F.lit(high), 1).otherwise(0)
-        parts.append(F.struct(F.lit(c).alias("c"), F.when(x.isNotNull(), place).alias("s"), F.when(place % 2 == 1, x).alias("v")))
-    counted = numbers.select(F.inline(F.array(*parts))).filter("s IS NOT NULL").groupBy("c", "s", "v").agg(F.count(F.lit(1)).alias("m"))
+            here = here + F.when(x >= F.lit(low), 1).otherwise(0) + F.when(x > F.lit(high), 1).otherwise(0)
+        place = F.when(F.col("c") == c, here).otherwise(place)
+    # unpivoted first, so that a value is worked out once and only its own column's ends are looked at
+    tall = numbers.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(numbers.columns[c]).alias("x")) for c in own]))).filter("x IS NOT NULL")
+    placed_in = tall.select("c", place.alias("s"), "x")
+    counted = placed_in.groupBy("c", "s", F.when(F.col("s") % 2 == 1, F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("m"))
     run = Window.partitionBy("c").orderBy("s", "v").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("e", F.sum("m").over(run)).withColumn("b", F.col("e") - F.col("m"))
     ranks = [F.lit(c) if k == 0 else F.array(*[F.lit(r).cast("bigint") for r in sorted({r for b in mine for r in b.ranks})]) for c, mine in own.items() for k in (0, 1)]
