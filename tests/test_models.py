@@ -145,6 +145,77 @@ def test_dbscan_matches_brute_force(cloud, monkeypatch):
     assert (got["cluster"].to_numpy() == _brute_dbscan(v, 0.35, 6)).all()
 
 
+def _density(spark, v, eps, m):
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(v)), "v": list(v)}), "id bigint, v array<double>")
+    return neighbours.dbscan(df, eps, m).orderBy("id").toPandas()
+
+
+def test_dbscan_on_a_grid(spark):
+    rng = np.random.RandomState(9)
+    apart = rng.uniform(0, 1, (250, 2)) * [0.5, 3]
+    v = np.vstack([apart, rng.uniform(0, 1, (250, 2)) * [0.5, 3] + [0.69, 0], np.round(rng.uniform(5, 8, (150, 2)), 1)])
+    got = _density(spark, v, 0.2, 4)
+    assert (got["cluster"].to_numpy() == _brute_dbscan(v, 0.2, 4)).all()
+    assert (got["is_core"].to_numpy() == ((neighbours.distances(v, v) <= 0.2).sum(axis=1) >= 4)).all()
+
+
+@pytest.mark.parametrize("widest", [3, 0])
+def test_dbscan_in_space(spark, monkeypatch, widest):
+    monkeypatch.setattr(neighbours, "GRID_WIDTH", widest)
+    v = np.random.RandomState(5).uniform(0, 3, (400, 3))
+    assert (_density(spark, v, 0.4, 5)["cluster"].to_numpy() == _brute_dbscan(v, 0.4, 5)).all()
+
+
+def test_density_of_a_crowd_compares_no_pairs(spark, monkeypatch):
+    """Cells with enough points need no distances: neither their points nor the links between them."""
+    monkeypatch.setattr(neighbours, "distances", None)
+    v = np.random.RandomState(5).uniform(0, 1, (5000, 2))
+    got = _density(spark, v, 0.3, 5)
+    assert (got["cluster"] == 0).all() and got["is_core"].all()
+
+
+def test_search_holds_one_block_of_distances(monkeypatch):
+    """The matrix of distances is a block of queries by a block of points, and only likely neighbours are measured exactly."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    rng = np.random.RandomState(8)
+    v, seen = rng.normal(size=(1000, 4)), []
+    real = neighbours._within
+
+    def within(a, b, *more):
+        found = real(a, b, *more)
+        seen.append((len(a), len(b), len(found[0])))
+        return found
+
+    monkeypatch.setattr(neighbours, "_within", within)
+    ids = np.arange(1000)
+    row, near, dist = neighbours._Blocks(ids, v).search(v, ids, 5)
+    assert max(a for a, _, _ in seen) <= 100 and max(b for _, b, _ in seen) <= 100 and sum(n for _, _, n in seen) < 100 * 1000
+    d = neighbours.distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((near, dist, row))
+    assert (near[order].reshape(-1, 5) == np.argsort(d, axis=1)[:, :5]).all()
+
+
+@pytest.mark.parametrize("width", [2, 40])
+def test_neighbours_across_groups(spark, monkeypatch, width):
+    for name, value in (("SMALL_CORPUS_VALUES", 0), ("BLOCK_ROWS", 50), ("GROUP_VALUES", 150 * width), ("FAN", 6)):
+        monkeypatch.setattr(neighbours, name, value)
+    v = np.vstack([np.random.RandomState(1).normal(size=(500, width)), np.ones((260, width))])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(760), "v": list(v)}), "id bigint, v array<double>").repartition(3)
+    got = neighbours.nearest(df, df, 6, exclude_self=True).orderBy("id", "place").toPandas()
+    d = neighbours.distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(760), d.shape), d), axis=1)[:, :6]
+    assert (got["neighbour"].to_numpy().reshape(-1, 6) == want).all()
+
+
+def test_rounds_of_components_carry_no_constraints(spark, monkeypatch):
+    """A round reads a plain table; a checkpoint would hand on the constraints of every round before."""
+    monkeypatch.setattr(neighbours, "pinned", None)
+    got = neighbours.connected_components(spark.range(40), spark.range(39).selectExpr("id AS a", "id + 1 AS b"))
+    assert {r["component"] for r in got.collect()} == {0}
+
+
 def test_compared_pairs_grow_slower_than_the_square(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
     rng = np.random.RandomState(4)
