@@ -158,3 +158,51 @@ def test_perfect_and_useless_features(spark):
     same = frame(spark, x[:, 1:], y)
     for model in (ht.fit_adaboost_classifier([same], 2, 5)[0], ht.fit_boosted([same], 2, 3)[0], ht.fit_adaboost_regressor([same], 5)[0]):
         assert len(set(predictions(model, same))) == 1
+
+
+def test_bin_edges_share_one_list_of_quantiles(spark, monkeypatch):
+    """Bins of many features are cut without a literal for each quantile of each feature."""
+    df = spark.range(600).select(array_to_vector(F.array(*[(F.col("id") * (i + 1)).cast("double") for i in range(6)])).alias("features"))
+    made, real = [], F.lit
+    monkeypatch.setattr(F, "lit", lambda v: made.append(v) or real(v))
+    given, quantiles = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, p, a: given.append(p) or quantiles(c, p, a))
+    edges = ht.bin_edges(df, 6)
+    assert len({id(p) for p in given}) == 1 and not isinstance(given[0], list) and len(made) < 50
+    assert edges[1] == [2 * v for v in edges[0]] and len(edges[0]) == ht.BINS - 1
+
+
+def test_tree_walks_like_its_nodes():
+    """A tree with branches of unequal depth, missing values to either side, and cuts at the ends of a byte."""
+    t = ht.Tree()
+    for _ in range(7):
+        t.add([0.0], 1.0)
+    t.feature[0], t.cut[0], t.missing_left[0], t.left[0], t.right[0] = 1, 0, False, 1, 2
+    t.feature[2], t.cut[2], t.missing_left[2], t.left[2], t.right[2] = 0, 254, True, 3, 4
+    t.feature[3], t.cut[3], t.missing_left[3], t.left[3], t.right[3] = 2, 7, False, 5, 6
+    cells = np.array([[a, b, c] for a in (0, 254, 255) for b in (0, 1, 255) for c in (7, 8, 255)], np.uint8)
+
+    def walked(row, node=0):
+        while (f := t.feature[node]) >= 0:
+            left = t.missing_left[node] if row[f] == ht.MISSING else row[f] <= t.cut[node]
+            node = t.left[node] if left else t.right[node]
+        return node
+
+    assert t.nodes_of(cells).tolist() == [walked(r) for r in cells.tolist()]
+
+
+def test_a_round_reads_only_its_own_trees(spark, monkeypatch):
+    """What earlier rounds found is read from the rows, so a level does not walk their trees again."""
+    walked, real = [], ht.grow
+
+    def grow(rows, stats, *args, **options):
+        seen = [c.cell_contents for c in stats.__closure__ or ()] + list(stats.__defaults__ or ())
+        walked.append("Tree(" in repr(seen))
+        return real(rows, stats, *args, **options)
+
+    monkeypatch.setattr(ht, "grow", grow)
+    df = spark.range(60).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 7).cast("double").alias("label"))
+    (model,) = ht.fit_boosted([df], 0, rounds=3, depth=2, min_rows=1)
+    assert len(model.rounds) == 3 and not any(walked)
+    x = np.arange(60.0)[:, None]
+    assert ((model.scores(x)[:, 0] - x[:, 0] % 7) ** 2).mean() < ((x[:, 0] % 7 - (x[:, 0] % 7).mean()) ** 2).mean()
