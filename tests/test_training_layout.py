@@ -30,3 +30,9 @@ def test_forests_use_the_cores(spark):
     forest, line = (estimators.build(a, None, estimators.Context(10, 3)) for a in ("extra_trees_clf", "lasso"))
     assert [train._forest_tasks(forest, n, 12) for n in (2_000, 16_000, 960_000)] == [1, 2, 12]
     assert train._forest_tasks(line, 50_000_000, 12) == 1
+
+
+def test_forests_remember_the_nodes_of_rows(spark):
+    """Without it every level walks all trees from their roots."""
+    for algo in ("random_forest_reg", "extra_trees_clf", "bagging_reg", "ml_lag_rf"):
+        assert estimators.build(algo, None, estimators.Context(10, 3)).getStages()[-1].getCacheNodeIds()
