@@ -37,8 +37,8 @@ def test_importances_are_those_of_single_columns(spark):
 def test_the_plan_holds_the_model_once(spark, monkeypatch):
     """Each column used to add the preprocessor and the model to the plan, which cost the driver minutes for 64 columns."""
     rows = spark.range(0, 200, 1, 1).selectExpr("id", *[f"((id * {2 * i + 3}) % 97) * 1.0D AS e{i}" for i in range(12)], "id * 1.0D AS y")
-    fitted, calls, real = _fitted(rows, "y", "ridge"), [], train.Fitted.score
-    monkeypatch.setattr(train.Fitted, "score", lambda self, df: calls.append(1) or real(self, df))
+    fitted, calls, real = _fitted(rows, "y", "ridge"), [], train.ExpressionModel.transform
+    monkeypatch.setattr(train.ExpressionModel, "transform", lambda self, df: calls.append(1) or real(self, df))
     found = train.permutation_importance(fitted, rows, 2, key="id").collect()
     assert len(found) == 12 and len(calls) == 3  # the whole rows, and each repeat
 
@@ -46,12 +46,12 @@ def test_the_plan_holds_the_model_once(spark, monkeypatch):
 def test_few_rows_are_dealt_for_their_columns(spark, monkeypatch):
     monkeypatch.setattr(train, "IMPORTANCE_ROWS", 300)
     rows = spark.range(0, 300, 1, 1).selectExpr("id", "id * 1.0D AS a", "id % 7 * 1.0D AS b", "id % 5 * 1.0D AS c", "id * 3.0D AS y")
-    fitted, tasks, real = _fitted(rows, "y", "ridge"), [], train.Fitted.score
+    fitted, tasks, real = _fitted(rows, "y", "ridge"), [], train.ExpressionModel.transform
 
     def seen(self, df):
         tasks.append(df.rdd.getNumPartitions())
         return real(self, df)
 
-    monkeypatch.setattr(train.Fitted, "score", seen)
+    monkeypatch.setattr(train.ExpressionModel, "transform", seen)
     train.permutation_importance(fitted, rows, 1, key="id").collect()
     assert 3 in tasks
