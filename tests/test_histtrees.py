@@ -206,3 +206,14 @@ def test_a_round_reads_only_its_own_trees(spark, monkeypatch):
     assert len(model.rounds) == 3 and not any(walked)
     x = np.arange(60.0)[:, None]
     assert ((model.scores(x)[:, 0] - x[:, 0] % 7) ** 2).mean() < ((x[:, 0] % 7 - (x[:, 0] % 7).mean()) ** 2).mean()
+
+
+def test_passes_use_the_cores(spark, monkeypatch):
+    """All rows in one small file, and the cuts of many nodes, used to be one task each."""
+    monkeypatch.setattr(ht, "ROWS_IN_TASK", 100)
+    assert [ht._tasks(spark.range(1), n, 250) for n in (10, 251, 10**6)] == [1, 2, spark.sparkContext.defaultParallelism]
+    table = ht.stored(spark.range(0, 350, 1, 1).withColumn("fit", F.lit(0)), "binned-rows")
+    assert table.rdd.getNumPartitions() == 1
+    rows = ht._Rows(table)
+    assert rows.table.rdd.getNumPartitions() == 4 and rows.table.distinct().count() == 350
+    rows.close()
