@@ -217,3 +217,18 @@ def test_passes_use_the_cores(spark, monkeypatch):
     rows = ht._Rows(table)
     assert rows.table.rdd.getNumPartitions() == 4 and rows.table.distinct().count() == 350
     rows.close()
+
+
+def test_levels_read_blocks_of_rows(spark, monkeypatch):
+    """A level hands blocks of bytes to its tasks, not a row for each row and fit."""
+    monkeypatch.setattr(ht, "ROWS_IN_BLOCK", 70)
+    x, y = data(n=300)
+    tables = [frame(spark, x, y).coalesce(1), frame(spark, x[:90], y[:90]).coalesce(1)]
+    rows = ht._Rows(ht.stacked(tables, ht._edges(tables), [[0.0], [1.0]]))
+    rows.move(lambda fit, cells, label, state: state + label[:, None])
+    found = rows.table.collect()
+    assert len(found) <= 10 and {f: sum(r["n"] for r in found if r["fit"] == f) for f in (0, 1)} == {0: 300, 1: 90}
+    for r in found:
+        assert np.allclose(np.frombuffer(r["state"]), r["fit"] + np.frombuffer(r["label"]))
+        assert len(r["bins"]) == r["n"] * x.shape[1] and len(set(np.frombuffer(r["row"], np.int64))) == r["n"]
+    rows.close()
